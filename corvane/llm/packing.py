@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._common import batch_rows, materialize
-from corvane.llm.tokens import batches, encoder
+from corvane.llm.tokens import encoder, slices, with_end
 
 GROUP_ITEMS = 60_000
 #: A bin with at most this share of its capacity free is final.
@@ -88,18 +88,19 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
         return pa.RecordBatch.from_pydict(columns), used + len(fills)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
         rows: list[tuple] = []
         base, used = _bin_base(0), 0
         for part in parts:
-            texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-            for lo, hi in batches(texts):
-                for doc, raw in zip(ids[lo:hi], enc.encode_batch(texts[lo:hi]), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[at : at + 4 * capacity]
-                        row = (doc, k, at // 4, len(cut) // 4, zlib.crc32(cut))
-                        rows.append((*row, np.frombuffer(cut, "<i4")) if with_ids else row)
+            texts, doc_ids = part.column("text"), part.column("doc_id").to_pylist()
+            for lo, hi in slices(texts):
+                ids, ends = with_end(*enc.encode(texts.slice(lo, hi - lo)), end_id)
+                raw, at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), ends.tolist()
+                for doc, first, last in zip(doc_ids[lo:hi], at, at[1:], strict=False):
+                    for k, a in enumerate(range(first, last, capacity)):
+                        b = min(a + capacity, last)
+                        row = (doc, k, a - first, b - a, zlib.crc32(raw[4 * a : 4 * b]))
+                        rows.append((*row, ids[a:b].view("<i4")) if with_ids else row)
                 if len(rows) >= (group_items // 16 if with_ids else group_items):
                     batch, used = packed(rows, base, used)
                     yield batch
@@ -145,7 +146,7 @@ def pack(
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    batch_rows(spark, 4096)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECES if not with_ids else PIECES.replace("bin bigint", "ids array<int>, bin bigint")
     run = _pack_documents(tokenizer, end_id, capacity, group_items, with_ids)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._common import batch_rows, scratch_path
-from corvane.llm.tokens import batches, encoder
+from corvane.llm.tokens import encoder, slices, with_end
 
 FILE_SCHEMA = "doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 
@@ -30,24 +30,16 @@ FILE_SCHEMA = "doc_id bigint, local_start bigint, n_tokens bigint, ids array<int
 def _encode_partition(path: str, end_id: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = encoder(path), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for part in parts:
-            texts, ids = part.column("text").to_pylist(), part.column("doc_id")
-            for lo, hi in batches(texts):
-                packed = [x + end for x in enc.encode_batch(texts[lo:hi])]
-                sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.frombuffer(b"".join(packed), dtype="<i4")
+            texts, doc_ids = part.column("text"), part.column("doc_id")
+            for lo, hi in slices(texts):
+                ids, rows = with_end(*enc.encode(texts.slice(lo, hi - lo)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(lo, hi - lo).cast(pa.int64()),
-                        pa.array(start + offsets[:-1]),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
-                    ],
+                    [doc_ids.slice(lo, hi - lo), pa.array(start + rows[:-1]), pa.array(np.diff(rows)), lists],
                     names=["doc_id", "local_start", "n_tokens", "ids"],
                 )
-                start += int(offsets[-1])
+                start += int(rows[-1])
 
     return run
 
@@ -58,7 +50,7 @@ def write_token_files(
     """Encode ``docs`` (doc_id, text) and write ORC files under ``path``, which must not exist yet.
 
     One shuffle: texts are range-partitioned by doc_id. Each task then streams its range."""
-    batch_rows(docs.sparkSession)
+    batch_rows(docs.sparkSession, 4096)
     ranged = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")

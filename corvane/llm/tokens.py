@@ -1,30 +1,30 @@
 """Cached encoding with public tokenizer files.
 
 A byte-pair tokenizer never merges across a white-space boundary, so a text is cut before each
-space that follows a character other than white space; equal chunks are encoded once and kept
-as packed little-endian ids. Ids are those that encoding the whole text gives: with the byte-level
-pattern a space only ever starts a token, and the word tokenizer drops white space altogether.
+space that follows a character other than white space; equal chunks are encoded once. Ids are
+those that encoding the whole text gives: with the byte-level pattern a space only ever starts a token,
+and the word tokenizer drops white space altogether. A text to which the cut does not apply is
+encoded whole. Chunks are found and counted by Arrow's own kernels, ids are gathered by numpy.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from corvane.llm._common import LOWER_ASCII
-
-#: Texts whose chunks exceed this length are not cached.
+#: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
-MAX_CACHE_ENTRIES = 700_000
+MAX_CACHE_ENTRIES = 900_000
 #: Chunks that one call encodes, parted by a special token.
 GROUP = 256
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
-_SPACE_AFTER_SPACE = re.compile(r"[\s᠎] ")
-_BOUNDARY = re.compile(r"(?<=[^\s᠎])(?= )")
+_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,95 +34,128 @@ def tokenizer_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """encode(text) -> packed little-endian uint32 ids, as the tokenizers library gives them."""
+    """encode(texts) -> ids of all texts in one array, and where each text's ids start and end."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = drops_space
-        self.cache: dict[str, bytes] = {}
+        self.drops_space = _drops_space(path)
+        self.bare: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.marks = [content for _, content in special]
         self.part_id, self.part = max(special) if special else (-1, "")
 
-    def chunks(self, text: str) -> list[str]:
-        if self.drops_space:
-            if not any(m[:2] in text for m in self.marks):  # the file lower-cases; a special token's own case counts
-                text = text.encode("utf-8", "replace").translate(LOWER_ASCII).decode("utf-8")
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        if _SPACE_AFTER_SPACE.search(text) or text.startswith(" "):
-            return _BOUNDARY.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def _encode_all(self, chunks: list[str]) -> list[bytes]:
-        plain = [c for c in chunks if self.part and not any(m in c for m in self.marks)]
-        ids: dict[str, bytes] = {}
-        for start in range(0, len(plain), GROUP):
-            group = plain[start : start + GROUP]
-            whole = self._ids([self.part.join(group)])[0]
-            at = [-1, *np.flatnonzero(whole == self.part_id).tolist(), len(whole)]
-            raw = whole.tobytes()
-            ids.update((c, raw[4 * at[i] + 4 : 4 * at[i + 1]]) for i, c in enumerate(group))
-        rest = [c for c in chunks if c not in ids]
-        ids.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
-        return [ids[c] for c in chunks]
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > MAX_CACHE_ENTRIES:
-            cache.clear()
-        seen = set()
-        for c in cut:
-            seen.update(c)
-        missing = [x for x in seen if x not in cache]
-        long_ones: dict[str, bytes] = {}
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            for chunk, ids in zip(part, self._encode_all(part), strict=True):
-                (cache if len(chunk) <= MAX_CACHED_CHARS else long_ones)[chunk] = ids
-        if not long_ones:
-            get = cache.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        return [b"".join([long_ones[x] if x in long_ones else cache[x] for x in c]) for c in cut]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _encode_all(self, chunks: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(chunks), GROUP):
+            group = chunks[start : start + GROUP]
+            if not self.part or any(m in c for m in self.marks for c in group):
+                yield from self._whole(group)
+                continue
+            raw = self._whole([self.part.join(group)])[0]
+            at = [-1, *np.flatnonzero(np.frombuffer(raw, "<u4") == self.part_id).tolist(), len(raw) // 4]
+            yield from (raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:], strict=False))
+
+    def _ids_of(self, chunks: list[str], spaced: bool) -> list[bytes]:
+        cache = self.spaced if spaced else self.bare
+        if len(cache) > MAX_CACHE_ENTRIES:  # words that came first are the common ones; the last ones go
+            cache = dict(islice(cache.items(), MAX_CACHE_ENTRIES * 2 // 3))
+            self.spaced, self.bare = (cache, self.bare) if spaced else (self.spaced, cache)
+        missing = [c for c in chunks if c not in cache]
+        if not missing:
+            return [cache[c] for c in chunks]
+        once: dict[str, bytes] = {}
+        for c, ids in zip(missing, self._encode_all([" " + c for c in missing] if spaced else missing), strict=True):
+            (cache if len(c) <= MAX_CACHED_CHARS else once)[c] = ids
+        return [once[c] if c in once else cache[c] for c in chunks] if once else [cache[c] for c in chunks]
+
+    def _odd(self, texts: pa.StringArray) -> pa.BooleanArray:
+        """Texts that are encoded whole."""
+        if not self.drops_space:
+            return pc.match_substring_regex(texts, r"^ |[\s\x{1C}-\x{1F}\x{85}\x{180E}\pZ] ")
+        odd = pa.array(np.zeros(len(texts), bool))
+        for m in self.marks:  # the file lower-cases; a special token's own case counts
+            odd = pc.or_(odd, pc.match_substring(texts, m, ignore_case=True))
+        return odd
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets: text i has ids[offsets[i] : offsets[i + 1]]). Null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = self._odd(texts)
+        odd_rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(odd, "", texts) if len(odd_rows) else texts
+        if self.drops_space:
+            plain = pc.replace_substring(pc.ascii_lower(plain), "\n", " ")
+        lists = pc.split_pattern(plain, " ")
+        chunks = lists.flatten().dictionary_encode()
+        which = chunks.indices.to_numpy().astype(np.int64)
+        words = chunks.dictionary.to_pylist()
+        firsts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+        if self.drops_space:
+            table = self._ids_of(words, False)
+        else:
+            heads = [words[k] for k in which[firsts].tolist()]
+            which[firsts] = len(words) + np.arange(len(heads))
+            used = np.zeros(len(words), bool)
+            used[which[which < len(words)]] = True
+            tails = self._ids_of([w for w, u in zip(words, used.tolist(), strict=True) if u], True)
+            place = np.cumsum(used) - 1
+            low = which < len(words)
+            which[low] = place[which[low]]
+            which[firsts] += len(tails) - len(words)
+            table = tails + self._ids_of(heads, False)
+        if len(odd_rows):
+            # an odd text was cut as the empty text: one chunk, which now stands for the whole
+            which[firsts[odd_rows]] = len(table) + np.arange(len(odd_rows))
+            table = table + self._whole([texts[int(i)].as_py() for i in odd_rows])
+        flat = np.frombuffer(b"".join(table), "<u4")
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        shift = starts[which] - (ends - n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(shift, n)]
+        rows = np.concatenate([[0], ends])[np.append(firsts, len(which))]
+        return ids, rows
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker; workers are reused, and so is the cache."""
-    drops_space = _drops_space(path)
-    key = (path, drops_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, drops_space)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+def with_end(ids: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with ``end_id`` after each."""
+    return np.insert(ids, rows[1:], np.uint32(end_id)), rows + np.arange(len(rows))
 
 
 def _drops_space(path: str) -> bool:
     """Whether the file's pre-tokenizer keeps matches of a pattern alone and so drops white space."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         pre = json.load(f).get("pre_tokenizer") or {}
-    if pre.get("type") == "Sequence":
-        parts = pre.get("pretokenizers", [])
-        return bool(parts) and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and bool(parts[0].get("invert"))
-    if pre.get("type") == "ByteLevel":
+    first = (pre.get("pretokenizers") or [{}])[0] if pre.get("type") == "Sequence" else pre
+    if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
+        return True
+    if first.get("type") == "ByteLevel":
         return False
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def batches(texts: list, limit_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of bounded total length (at least one text each)."""
+def slices(texts: pa.Array, limit_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded total length (at least one row each)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and total + n > limit_chars:
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > limit_bytes:
             yield start, i
             start, total = i, 0
         total += n
