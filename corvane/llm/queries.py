@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import near_dup, packing, token_files
+from corvane.llm import decontaminate, near_dup, packing, token_files
 from corvane.llm._common import table
 from corvane.llm.tokens import tokenizer_path
 
@@ -19,12 +19,16 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op6_residual_packing, op10_near_duplicates)}
+    return {f.__name__: f for f in (op3_token_files, op6_residual_packing, op9_fm_decontamination, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
