@@ -8,8 +8,8 @@
    levels are DataFrame steps over (path, class) rows: no node is gathered in one task.
    A pair of similarity s stays together at a level with 1 - (1 - s)^BRANCH, so at 0.85 the trees
    miss a pair with probability below 1e-6, at 0.8 below 1e-5.
-   A node whose largest child keeps half of it can't be parted (a crowd of near copies); its members
-   are put into one candidate group as a whole.
+   A node of which each selected token leaves most documents in one child can't be parted (a crowd
+   of near copies); its members are put into one candidate group as a whole.
 3. Candidate groups are the components of what 2 found. Shingle sets are made again for their members
    alone, and all links within a group are decided on the full sets. A large group is dealt out as
    pairs of blocks of bounded size; each task returns a spanning forest of the links it confirmed,
@@ -44,8 +44,8 @@ TREES = 3
 BRANCH = 3
 NODE_LIMIT = 32
 MAX_DEPTH = 6
-#: Of a node's documents, the share in its largest child from which it is not parted.
-DENSE = 0.5
+#: A node is not parted if each of its selected tokens leaves this share of it in one child.
+DENSE = 0.6
 #: Sketches must agree in this many places less than expected at the threshold, in standard deviations.
 SLACK = 4.3
 BLOCK = 768
@@ -164,12 +164,13 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
         if depth == MAX_DEPTH:
             whole = large.select("path", "cid")
         else:
-            opened = large.join(slim, "cid").select("cid", F.col("path").alias("parent"), F.col("n").alias("of"), F.explode(_children()).alias("path"))
-            opened = materialize(opened, f"children_{depth}")
-            counts = opened.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("k"), F.first("of").alias("of"))
-            dense = materialize(
-                counts.groupBy("parent").agg((F.max("k") >= F.first("of") * F.lit(DENSE)).alias("dense")), f"dense_{depth}"
+            opened = large.join(slim, "cid").select(
+                "cid", F.col("path").alias("parent"), F.col("n").alias("of"), F.posexplode(_children()).alias("branch", "path")
             )
+            opened = materialize(opened, f"children_{depth}")
+            counts = opened.groupBy("parent", "branch", "path").agg(F.count(F.lit(1)).alias("k"), F.max("of").alias("of"))
+            largest = counts.groupBy("parent", "branch").agg((F.max("k") / F.max("of")).alias("share"))
+            dense = materialize(largest.groupBy("parent").agg((F.min("share") >= DENSE).alias("dense")), f"dense_{depth}")
             whole = large.join(dense.where("dense").select(F.col("parent").alias("path")), "path").select("path", "cid")
             rows = opened.join(dense.where("not dense").select("parent"), "parent").select("cid", "path")
         hubs = whole.groupBy("path").agg(F.min("cid").alias("v"))
