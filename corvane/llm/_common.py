@@ -56,7 +56,7 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
 def batch_rows(spark: SparkSession, rows: int = 512) -> None:
     """Smaller Arrow batches: whole texts may be long, and a batch is held in the Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
 
 
 def bounded_rows(df: DataFrame, key: str, strata: list[str], bound: int, salt: int = 0) -> DataFrame:

@@ -146,7 +146,7 @@ def pack(
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    batch_rows(spark, 4096)
+    batch_rows(spark, 8192)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECES if not with_ids else PIECES.replace("bin bigint", "ids array<int>, bin bigint")
     run = _pack_documents(tokenizer, end_id, capacity, group_items, with_ids)

@@ -47,33 +47,47 @@ class ChunkEncoder:
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.marks = [content for _, content in special]
         self.part_id, self.part = max(special) if special else (-1, "")
+        # a space is written as U+0120 in a byte-level vocabulary
+        names = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.starts[[i for name, i in names.items() if name.startswith("\u0120")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _encode_all(self, chunks: list[str]) -> Iterator[bytes]:
+    def _encode_all(self, chunks: list[str], spaced: bool) -> Iterator[bytes]:
+        """Ids of each chunk; many chunks go into one call and are told apart by a token that only ends
+        or starts one: the special token, or with spaced chunks any token that starts with a space."""
         for start in range(0, len(chunks), GROUP):
             group = chunks[start : start + GROUP]
             if not self.part or any(m in c for m in self.marks for c in group):
-                yield from self._whole(group)
+                yield from self._whole([" " + c for c in group] if spaced else group)
                 continue
-            raw = self._whole([self.part.join(group)])[0]
-            at = [-1, *np.flatnonzero(np.frombuffer(raw, "<u4") == self.part_id).tolist(), len(raw) // 4]
-            yield from (raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:], strict=False))
+            if spaced:
+                raw = self._whole([" " + " ".join(group)])[0]
+                at = np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")]).tolist()
+                at.append(len(raw) // 4)
+                yield from (raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False))
+            else:
+                raw = self._whole([self.part.join(group)])[0]
+                at = [-1, *np.flatnonzero(np.frombuffer(raw, "<u4") == self.part_id).tolist(), len(raw) // 4]
+                yield from (raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:], strict=False))
 
     def _ids_of(self, chunks: list[str], spaced: bool) -> list[bytes]:
         cache = self.spaced if spaced else self.bare
         if len(cache) > MAX_CACHE_ENTRIES:  # words that came first are the common ones; the last ones go
             cache = dict(islice(cache.items(), MAX_CACHE_ENTRIES * 2 // 3))
             self.spaced, self.bare = (cache, self.bare) if spaced else (self.spaced, cache)
-        missing = [c for c in chunks if c not in cache]
-        if not missing:
-            return [cache[c] for c in chunks]
-        once: dict[str, bytes] = {}
-        for c, ids in zip(missing, self._encode_all([" " + c for c in missing] if spaced else missing), strict=True):
-            (cache if len(c) <= MAX_CACHED_CHARS else once)[c] = ids
-        return [once[c] if c in once else cache[c] for c in chunks] if once else [cache[c] for c in chunks]
+        ids = list(map(cache.get, chunks))
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
+            missing = [chunks[i] for i in at]
+            for i, c, x in zip(at, missing, self._encode_all(missing, spaced), strict=True):
+                ids[i] = x
+                if len(c) <= MAX_CACHED_CHARS:
+                    cache[c] = x
+        return ids
 
     def _odd(self, texts: pa.StringArray) -> pa.BooleanArray:
         """Texts that are encoded whole."""
@@ -119,9 +133,11 @@ class ChunkEncoder:
         starts = np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.cumsum(n)
-        shift = starts[which] - (ends - n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(shift, n)]
+        narrow = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+        take = np.repeat((starts[which] - (ends - n)).astype(narrow), n)
+        take += np.arange(total, dtype=narrow)
+        ids = flat[take]
         rows = np.concatenate([[0], ends])[np.append(firsts, len(which))]
         return ids, rows
 
@@ -150,7 +166,7 @@ def _drops_space(path: str) -> bool:
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def slices(texts: pa.Array, limit_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit_bytes: int = 20 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length (at least one row each)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
