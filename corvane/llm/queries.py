@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, near_dup, packing, token_files
+from corvane.llm import decontaminate, near_dup, packing, quality_rules, token_files
 from corvane.llm._common import table
 from corvane.llm.tokens import tokenizer_path
 
@@ -19,6 +19,10 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +32,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op6_residual_packing, op9_fm_decontamination, op10_near_duplicates)}
+    return {f.__name__: f for f in (op3_token_files, op6_residual_packing, op7_line_frequency, op9_fm_decontamination, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
