@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with word boundaries) and itself, hashed into buckets, each
-with an embedding; a window of words is the average of its buckets' embeddings, and a linear softmax over
-it gives the window's classes. A misspelling that was never seen shares most n-grams with its word. A
+with an embedding; a word is the average of its buckets' embeddings, a window of words the average of its
+words', and a linear softmax over it gives the window's classes. A misspelling that was never seen shares most n-grams with its word. A
 document's score is that of its most toxic window, so a few words count in a long text as in a short
 one. Labels are those of whole documents: training starts from all windows of toxic documents and then
 narrows them, round by round, to those that score highest; every window of a clean document stays clean.
@@ -35,11 +35,13 @@ from corvane.llm._common import batch_rows, bounded_rows, held_out
 BUCKETS = 1 << 17
 WIDTH = 16
 NGRAMS = (3, 4, 5, 6)
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 8, 4
 TRAIN_ROWS = 2_500
 ROUNDS = 4
+#: One training document in this many is kept back from the embeddings, to fit slope and offset on.
+CALIBRATE = 5
 #: Windows of each clean training document that are learned from in a round, hardest first.
-CLEAN_WINDOWS = 12
+CLEAN_WINDOWS = 16
 _WORD = re.compile(r"[^\W\d_]+(?:[^\w\s][^\W\d_]+)*")
 _MAX_CACHED = 500_000
 _LONGEST = 40
@@ -60,7 +62,7 @@ def buckets_of(word: str) -> np.ndarray:
 
 
 def window_sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of values and of counts over the windows of WINDOW words, STRIDE apart; the last may be shorter."""
+    """Sums of the words' values, and of words with letters, over the windows of WINDOW words, STRIDE apart; the last may be shorter."""
     n = len(values)
     starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
     stops = np.minimum(starts + WINDOW, n)
@@ -90,14 +92,15 @@ class Trainer:
         """Mean score of each window of each document."""
         by_word = np.add.reduceat(np.append(scalars[self.flat], 0.0), self.starts) if len(self.starts) else np.zeros(1)
         by_word[self.sizes == 0] = 0.0
+        by_word /= np.maximum(self.sizes, 1)
         found = []
         for d in self.docs:
-            s, c = window_sums(by_word[d], self.sizes[d])
+            s, c = window_sums(by_word[d], (self.sizes[d] > 0).astype(np.float64))
             found.append(s / np.maximum(c, 1))
         return found
 
-    def _gather(self, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the windows (document, place), and the number of each window's."""
+    def _gather(self, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the windows (document, place), whose window each is of, and its share of it."""
         words = [self.docs[d][k * STRIDE : k * STRIDE + WINDOW] for d, k in windows]
         n_words = np.array([len(w) for w in words])
         flat_words = np.concatenate(words)
@@ -105,20 +108,21 @@ class Trainer:
         ends = np.cumsum(sizes)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[flat_words] - (ends - sizes), sizes)
         owner = np.repeat(np.arange(len(windows)), n_words)
-        return self.flat[at], np.bincount(owner, weights=sizes, minlength=len(windows)).astype(np.int64)
+        with_letters = np.bincount(owner, weights=sizes > 0, minlength=len(windows))
+        share = 1.0 / (np.maximum(sizes, 1) * np.maximum(with_letters[owner], 1))
+        return self.flat[at], np.repeat(owner, sizes), np.repeat(share, sizes).astype(np.float32)
 
     def epoch(self, windows: list[tuple[int, int]], targets: np.ndarray, weights: np.ndarray, rate: float) -> None:
         order = self.rng.permutation(len(windows))
         for lo in range(0, len(order), 128):
             pick = order[lo : lo + 128]
-            buckets, n = self._gather([windows[i] for i in pick])
+            buckets, owner, part = self._gather([windows[i] for i in pick])
             if not len(buckets):
                 continue
-            owner = np.repeat(np.arange(len(pick)), n)
             used, inverse = np.unique(buckets, return_inverse=True)
             # share of each used bucket in each window: a small dense matrix
             share = np.zeros((len(pick), len(used)), np.float32)
-            np.add.at(share, (owner, inverse), (1.0 / np.maximum(n, 1))[owner].astype(np.float32))
+            np.add.at(share, (owner, inverse), part)
             rows = self.emb[used]
             hidden = share @ rows
             logits = hidden @ self.out
@@ -142,6 +146,8 @@ class Trainer:
         for turn in range(ROUNDS):
             windows, targets, weights = [], [], []
             for d, label in enumerate(self.labels.tolist()):
+                if d % CALIBRATE == 0:
+                    continue
                 n = max(1, len(current[d]) if current else -(-max(1, len(self.docs[d]) - WINDOW + STRIDE) // STRIDE))
                 if not len(self.docs[d]):
                     continue
@@ -159,11 +165,15 @@ class Trainer:
                 self.epoch(windows, np.array(targets), np.array(weights, np.float32), 0.1)
             current = self.doc_windows(self.scalars())
         top = np.array([w.max() if len(w) else 0.0 for w in current])
-        return self.scalars().astype(np.float32), *self._calibrate(top)
-
-    def _calibrate(self, top: np.ndarray) -> tuple[float, float]:
-        """Logistic fit of the documents' best windows to their labels."""
-        y = self.labels.astype(np.float64)
+        back = np.arange(len(top)) % CALIBRATE == 0
+        if len(set(self.labels[back].tolist())) < 2:
+            back[:] = True
+        return self.scalars().astype(np.float32), *self._calibrate(top[back], self.labels[back])
+
+    @staticmethod
+    def _calibrate(top: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+        """Logistic fit of documents' best windows to their labels."""
+        y = labels.astype(np.float64)
         x = (top - top.mean()) / (top.std() + 1e-9)
         a, b = 1.0, 0.0
         for _ in range(2000):
@@ -178,6 +188,7 @@ def _fit_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = [p for p in parts if len(p)]
     frame = pd.concat(held).sort_values(["doc_id", "label"]) if held else pd.DataFrame({"label": []})
     if frame["label"].nunique() == 2:
+        frame = frame.iloc[np.random.default_rng(9).permutation(len(frame))]
         scalars, slope, offset = Trainer(frame["text"].tolist(), frame["label"].to_numpy(np.int64)).fit()
         yield pd.DataFrame({"scalars": [scalars.tobytes()], "slope": [slope], "bias": [offset]})
 
@@ -201,7 +212,7 @@ def _score(model):
             if len(self) > _MAX_CACHED:
                 self.clear()
             b = buckets_of(word)
-            value = self[word] = complex(float(model.value[0][b].sum()), len(b))
+            value = self[word] = complex(float(model.value[0][b].mean()), 1.0) if len(b) else 0j
             return value
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
