@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, near_dup, packing, quality_classifier, quality_rules, token_files, toxicity
+from corvane.llm import decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, token_files, toxicity
 from corvane.llm._common import table
 from corvane.llm.tokens import tokenizer_path
 
@@ -23,6 +23,10 @@ def op4_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_hyperdimensional_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,7 +44,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ftrl, op3_token_files, op4_toxicity_subwords, op6_residual_packing, op7_line_frequency, op9_fm_decontamination, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_ftrl, op3_token_files, op4_toxicity_subwords, op5_hyperdimensional_lang, op6_residual_packing, op7_line_frequency, op9_fm_decontamination, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
