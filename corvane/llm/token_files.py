@@ -40,6 +40,7 @@ def _encode_partition(path: str, end_id: int):
                     names=["doc_id", "local_start", "n_tokens", "ids"],
                 )
                 start += int(rows[-1])
+                pa.default_memory_pool().release_unused()
 
     return run
 
