@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, token_files, toxicity
+from corvane.llm import chat, decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, token_files, toxicity, warc
 from corvane.llm._common import table
 from corvane.llm.tokens import tokenizer_path
 
@@ -15,6 +15,13 @@ def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.chat_digest(turns, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -35,6 +42,10 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ftrl, op3_token_files, op4_toxicity_subwords, op5_hyperdimensional_lang, op6_residual_packing, op7_line_frequency, op9_fm_decontamination, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_ftrl, op2_chat_windows, op3_token_files, op4_toxicity_subwords, op5_hyperdimensional_lang, op6_residual_packing, op7_line_frequency, op8_warc_segments, op9_fm_decontamination, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
