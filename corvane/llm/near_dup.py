@@ -8,8 +8,9 @@
    levels are DataFrame steps over (path, class) rows: no node is gathered in one task.
    A pair of similarity s stays together at a level with 1 - (1 - s)^BRANCH, so at 0.85 the trees
    miss a pair with probability below 1e-6, at 0.8 below 1e-5.
-   A node of which each selected token leaves most documents in one child can't be parted (a crowd
-   of near copies); its members are put into one candidate group as a whole.
+   A node of which most selected tokens leave half its documents in one child can't well be parted (a
+   crowd of near copies); it is dealt out as pairs of blocks of ``CROWD_BLOCK`` sketches, and each task returns
+   a spanning forest of the sketches that agree.
 3. Candidate groups are the components of what 2 found. Shingle sets are made again for their members
    alone, and all links within a group are decided on the full sets. A large group is dealt out as
    pairs of blocks of bounded size; each task returns a spanning forest of the links it confirmed,
@@ -44,8 +45,9 @@ TREES = 3
 BRANCH = 3
 NODE_LIMIT = 32
 MAX_DEPTH = 6
-#: A node is not parted if each of its selected tokens leaves this share of it in one child.
-DENSE = 0.6
+#: A node is not parted if most of its selected tokens leave this share of it in one child.
+DENSE = 0.5
+CROWD_BLOCK = 4096
 #: Sketches must agree in this many places less than expected at the threshold, in standard deviations.
 SLACK = 4.3
 BLOCK = 768
@@ -93,15 +95,21 @@ def _token(sig: Column, place: Column) -> Column:
     return F.substring(sig, place * 4 + 1, F.lit(4))
 
 
+_PLACES = np.random.default_rng(7).permutation(WIDTH).tolist()
+
+
 def _roots() -> Column:
     """Paths of the first level: each tree starts with BRANCH tokens of its own."""
-    places = np.random.default_rng(7).permutation(WIDTH)[: TREES * BRANCH].tolist()
-    return F.array(*[F.xxhash64(F.lit(i), _token(F.col("sig"), F.lit(p))) for i, p in enumerate(places)])
+    return F.array(*[F.xxhash64(F.lit(i), _token(F.col("sig"), F.lit(p))) for i, p in enumerate(_PLACES[: TREES * BRANCH])])
 
 
-def _children() -> Column:
-    """The node's tokens follow from its path alone, so all its documents branch by the same ones."""
-    place = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int")
+def _children(depth: int) -> Column:
+    """The node's tokens follow from its path alone, so all its documents branch by the same ones. Each depth
+    has tokens of its own to select from, so no path selects one twice."""
+    rest = _PLACES[TREES * BRANCH :]
+    size = len(rest) // (MAX_DEPTH - 1)
+    own = rest[(depth - 1) * size : depth * size]
+    place = lambda k: F.element_at(F.array(*map(F.lit, own)), (F.pmod(F.xxhash64("path") + k, F.lit(size)) + 1).cast("int"))
     return F.array(*[F.xxhash64("path", F.lit(k), _token(F.col("sig"), place(k))) for k in range(BRANCH)])
 
 
@@ -152,7 +160,7 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     slim = classes.select("cid", "sig")
     rows = slim.select("cid", F.explode(_roots()).alias("path"))
     small: DataFrame | None = None
-    stars: DataFrame | None = None
+    crowds: DataFrame | None = None
     for depth in range(1, MAX_DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         level = materialize(rows.join(sizes, "path"), f"level_{depth}")
@@ -162,26 +170,82 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
-            whole = large.select("path", "cid")
+            crowd = large
         else:
             opened = large.join(slim, "cid").select(
-                "cid", F.col("path").alias("parent"), F.col("n").alias("of"), F.posexplode(_children()).alias("branch", "path")
+                "cid", F.col("path").alias("parent"), F.col("n").alias("of"), F.posexplode(_children(depth)).alias("branch", "path")
             )
             opened = materialize(opened, f"children_{depth}")
             counts = opened.groupBy("parent", "branch", "path").agg(F.count(F.lit(1)).alias("k"), F.max("of").alias("of"))
             largest = counts.groupBy("parent", "branch").agg((F.max("k") / F.max("of")).alias("share"))
-            dense = materialize(largest.groupBy("parent").agg((F.min("share") >= DENSE).alias("dense")), f"dense_{depth}")
-            whole = large.join(dense.where("dense").select(F.col("parent").alias("path")), "path").select("path", "cid")
+            middle = F.element_at(F.array_sort(F.collect_list("share")), BRANCH // 2 + 1)
+            dense = materialize(largest.groupBy("parent").agg((middle >= DENSE).alias("dense")), f"dense_{depth}")
+            crowd = large.join(dense.where("dense").select(F.col("parent").alias("path")), "path")
             rows = opened.join(dense.where("not dense").select("parent"), "parent").select("cid", "path")
-        hubs = whole.groupBy("path").agg(F.min("cid").alias("v"))
-        star = whole.join(hubs, "path").where("cid <> v").select(F.col("cid").alias("u"), "v")
-        stars = star if stars is None else stars.unionByName(star)
+        crowd = crowd.select("path", "cid", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks"))
+        crowds = crowd if crowds is None else crowds.unionByName(crowd)
     # one byte of each minwise token is enough to compare by
     sketch = F.unhex(F.concat(*[F.hex(F.substring("sig", 4 * j + 4, 1)) for j in range(WIDTH)]))
     joined = small.join(slim, "cid").select("path", "cid", sketch.alias("sketch"))
     near = joined.repartition("path").sortWithinPartitions("path", "cid").mapInArrow(_compare_nodes(agree), "u bigint, v bigint")
-    near = near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return near if stars is None else near.unionByName(stars)
+    if crowds is not None:
+        members = crowds.join(slim, "cid").select("path", "cid", "blocks", sketch.alias("sketch"))
+        dealt = _block_pairs(members, ["path"], ["cid", "sketch"])
+        near = near.unionByName(
+            dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "cid").mapInArrow(_compare_crowds(agree), "u bigint, v bigint")
+        )
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """Rows with ``blocks``, dealt to each pair (i, j) of blocks that has their own block as one."""
+    own = F.pmod(F.xxhash64("cid", F.lit(11)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept)
+
+
+def _grouped(parts: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, str]) -> Iterator[tuple[list, list]]:
+    """The two value columns of each run of equal keys in sorted rows."""
+    key, first, second = None, [], []
+    for part in parts:
+        for row in zip(*[part.column(c).to_pylist() for c in (*keys, *values)], strict=True):
+            if row[: len(keys)] != key:
+                if first:
+                    yield first, second
+                key, first, second = row[: len(keys)], [], []
+            first.append(row[-2])
+            second.append(row[-1])
+    if first:
+        yield first, second
+
+
+def _compare_crowds(agree: int):
+    """Rows sorted by (path, i, j); a spanning forest of the sketches that agree, by breadth-first search."""
+
+    def forest(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+        edges, rest = [], np.arange(len(ids))
+        while len(rest):
+            frontier, rest = [int(rest[0])], rest[1:]
+            while frontier and len(rest):
+                at = frontier.pop()
+                hit = (sketches[rest] == sketches[at]).sum(axis=1) >= agree
+                found = rest[hit].tolist()
+                edges += [(int(ids[at]), int(ids[k])) for k in found]
+                frontier += found
+                rest = rest[~hit]
+        return edges
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for ids, sketches in _grouped(parts, ("path", "i", "j"), ("cid", "sketch")):
+            if len(ids) > 1:
+                out += forest(np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, WIDTH))
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
 
 
 def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -235,22 +299,13 @@ def _confirm(width: int, percent: int):
     """Rows sorted by (grp, i, j), each a member's shingle set; confirmed edges of each task group."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
         out: list[tuple[int, int]] = []
-        for part in parts:
-            columns = [part.column(c).to_pylist() for c in ("grp", "i", "j", "cid", "shingles")]
-            for g, i, j, cid, raw in zip(*columns, strict=True):
-                if (g, i, j) != key:
-                    if len(ids) > 1:
-                        out += _forest(np.array(ids, np.int64), sets, percent)
-                    key, ids, sets = (g, i, j), [], []
-                ids.append(cid)
-                sets.append(np.frombuffer(raw, np.uint64))
+        for ids, sets in _grouped(parts, ("grp", "i", "j"), ("cid", "shingles")):
+            if len(ids) > 1:
+                out += _forest(np.array(ids, np.int64), [np.frombuffer(x, np.uint64) for x in sets], percent)
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
-        if len(ids) > 1:
-            out += _forest(np.array(ids, np.int64), sets, percent)
         yield _edges(out)
 
     return run
@@ -281,13 +336,7 @@ def _confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int) ->
     )
     sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
     blocks = sizes.select("grp", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid", F.lit(11)), F.col("blocks")).cast("int")
-    held = sets.join(blocks, "grp").withColumn("own", own)
-    # a member goes to each pair of blocks that has its own block as one
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.withColumn("other", other).select(
-        "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "shingles"
-    )
+    dealt = _block_pairs(sets.join(blocks, "grp"), ["grp"], ["cid", "shingles"])
     return (
         dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_confirm(width, percent), "u bigint, v bigint")
     )
