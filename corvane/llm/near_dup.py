@@ -52,6 +52,8 @@ CROWD_BLOCK = 4096
 SLACK = 4.3
 BLOCK = 768
 BLOCK_BYTES = 24 << 20
+#: The filter of candidate members that each task holds has at most this many bits (8 MB).
+BLOOM_BITS, BLOOM_HASHES = 26, 3
 
 SIGNED = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"
 
@@ -316,24 +318,50 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _member_sets(width: int):
+def _bloom_places(doc_id: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(bits)) for seed in range(BLOOM_HASHES)]
+
+
+def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """Bloom filter of the column cid; at most 2**BLOOM_BITS bits, whatever the number of ids."""
+    bits = 1 << min(BLOOM_BITS, max(10, (10 * ids.count()).bit_length()))
+    places = ids.select(F.explode(F.array(*_bloom_places(F.col("cid"), bits))).alias("p"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(mask).alias("m"))
+    table = np.zeros(max(1, bits // 64), np.int64)
+    for row in words.toLocalIterator():
+        table[row["w"]] = row["m"]
+    return table, bits
+
+
+def _member_sets(width: int, bloom):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bloom.value
         for part in parts:
+            hit = np.ones(part.num_rows, bool)
+            for k in range(BLOOM_HASHES):
+                p = part.column(f"p{k}").to_numpy(zero_copy_only=False)
+                hit &= ((words[p >> 6] >> (p & 63)) & 1).astype(bool)
+            part = part.filter(pa.array(hit))
             sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("cid"), part.column("grp"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
-                names=["cid", "grp", "shingles", "n"],
+                [part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
+                names=["doc_id", "shingles", "n"],
             )
 
     return run
 
 
 def _confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed edges between the members (cid) of each candidate group (grp)."""
-    texts = docs.join(groups, docs["doc_id"] == groups["cid"]).select("cid", "grp", "text")
-    sets = materialize(
-        texts.mapInArrow(_member_sets(width), "cid bigint, grp bigint, shingles binary, n bigint").where("n > 0"), "sets"
-    )
+    """Confirmed edges between the members (cid) of each candidate group (grp).
+
+    A Bloom filter of the members picks their texts where they are read, so only members' sets are shuffled."""
+    words, bits = _bloom(groups)
+    places = [c.alias(f"p{k}") for k, c in enumerate(_bloom_places(F.col("doc_id"), bits))]
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", *places)
+    bloom = docs.sparkSession.sparkContext.broadcast(words)
+    found = texts.mapInArrow(_member_sets(width, bloom), "doc_id bigint, shingles binary, n bigint").where("n > 0")
+    sets = materialize(found.join(groups, F.col("doc_id") == F.col("cid")).select("cid", "grp", "shingles", "n"), "sets")
     sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
     blocks = sizes.select("grp", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = _block_pairs(sets.join(blocks, "grp"), ["grp"], ["cid", "shingles"])
