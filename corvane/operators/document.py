@@ -50,7 +50,7 @@ def fold_enrichment(enrichment: DataFrame) -> DataFrame:
     out = [F.col("repo_id")]
     for c in ("queries", "aliases", "categories"):
         if c in enrichment.columns:
-            out.append(F.array_distinct(F.flatten(F.transform("r", lambda x, c=c: F.coalesce(x[c], F.array().cast("array<string>"))))).alias(c))
+            out.append(F.array_distinct(F.flatten(F.filter(F.col(f"r.{c}"), lambda x: x.isNotNull()))).alias(c))
     texts = F.filter(F.transform("r", lambda x: x["description"]), lambda d: d.isNotNull() & (d != ""))
     return folded.select(*out, F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("description"))
 
