@@ -171,9 +171,8 @@ def matches(groups: list[list[Term]], lexemes: Column, sequence: Column | None =
         for x in term.lexemes:
             hit = hit & F.array_contains(lexemes, x)
         if len(term.lexemes) > 1 and sequence is not None:
-            size = len(term.lexemes)
-            windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sequence) - size + 1, F.lit(1))), lambda i: F.slice(sequence, i, size))
-            hit = hit & F.array_contains(windows, F.array(*map(F.lit, term.lexemes)))
+            # lexemes hold no spaces
+            hit = hit & F.contains(F.concat(F.lit(" "), F.array_join(sequence, " "), F.lit(" ")), F.lit(f" {' '.join(term.lexemes)} "))
         return ~hit if term.negated else hit
 
     found = F.lit(False)
