@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,17 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == F.lit(value), F.lit(False))
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, clear: Callable[[], object]) -> None:
+    """Called as a task starts to use a cache that outlives it in its Python worker: the other operators'
+    caches in the worker are emptied, so a worker that serves one stage after another holds one of them."""
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
+
+
 def batch_rows(spark: SparkSession, rows: int = 512) -> None:
     """Smaller Arrow batches: whole texts may be long, and a batch is held in the Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -71,5 +83,5 @@ def bounded_rows(df: DataFrame, key: str, strata: list[str], bound: int, salt: i
         hit: Column = F.lit(True)
         for name in strata:
             hit = hit & F.col(name).eqNullSafe(F.lit(row[name]))
-        share = F.when(hit, F.lit(min(1.0, bound / row["count"]))).otherwise(share)
+        share = F.when(hit, F.lit(min(1.0, bound / max(1, row["count"])))).otherwise(share)
     return df.where(unit < share)

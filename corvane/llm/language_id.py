@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, bounded_rows, held_out
+from corvane.llm._common import batch_rows, bounded_rows, held_out, hold
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -121,6 +121,7 @@ _ENCODER: list[Encoder] = []
 
 
 def encoder() -> Encoder:
+    hold("letters", _ENCODER.clear)
     if not _ENCODER:
         _ENCODER.append(Encoder())
     return _ENCODER[0]

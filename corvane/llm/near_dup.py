@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm._common import batch_rows, materialize
 from corvane.llm.components import connected_components
-from corvane.llm.words import shingle_set
+from corvane.llm.words import hold_words, shingle_set
 
 WIDTH = 64
 TREES = 3
@@ -76,6 +76,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def _sign(width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         for part in parts:
             sizes, k1, k2, sigs = [], [], [], []
             for text in part.column("text").to_pylist():
@@ -336,6 +337,7 @@ def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 def _member_sets(width: int, bloom):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         words = bloom.value
         for part in parts:
             hit = np.ones(part.num_rows, bool)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import LOWER_ASCII, batch_rows, bounded_rows, held_out
+from corvane.llm._common import LOWER_ASCII, batch_rows, bounded_rows, held_out, hold
 from corvane.llm.words import mix
 
 BITS = 20
@@ -125,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
 def _score(weights):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("stems", _STEMS.clear)
         w = weights.value
         for part in parts:
             scores = []

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corvane.llm._common import hold
+
 #: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
 MAX_CACHE_ENTRIES = 800_000
@@ -144,6 +146,7 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker; workers are reused, and so is the cache."""
+    hold("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from corvane.llm._common import LOWER_ASCII
+from corvane.llm._common import LOWER_ASCII, hold
 
-MAX_WORDS_CACHED = 1_000_000
+MAX_WORDS_CACHED = 600_000
 
 _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -25,6 +25,11 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def hold_words() -> None:
+    """To be called as a task starts."""
+    hold("words", _HASHES.clear)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Runs of bytes other than space and \\x09-\\x0D of the text with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split() if text else []
