@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +63,15 @@ _HELD: dict[str, Callable[[], object]] = {}
 
 def hold(name: str, clear: Callable[[], object]) -> None:
     """Called as a task starts to use a cache that outlives it in its Python worker: the other operators'
-    caches in the worker are emptied, so a worker that serves one stage after another holds one of them."""
-    for other in [x for x in _HELD if x != name]:
+    caches in the worker are emptied and freed memory is given back, so a worker that serves one stage after another holds one of them."""
+    others = [x for x in _HELD if x != name]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, free memory goes back
+            ctypes.CDLL(None).malloc_trim(0)
     _HELD[name] = clear
 
 

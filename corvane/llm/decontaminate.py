@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corvane.llm._common import batch_rows, materialize
+from corvane.llm._common import batch_rows, hold, materialize
 from corvane.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -113,8 +114,9 @@ def _search_shard(phrases: Phrases, docs: list[list[bytes]]) -> tuple[list[list[
     return spans, names
 
 
-def _find(phrases, shard_words: int, extra: list[str]):
+def _find(phrases, shard_words: int, extra: list[str], cut: bool = False):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("none", dict)
         held: list[pa.RecordBatch] = []
         docs: list[list[bytes]] = []
         words = 0
@@ -124,6 +126,10 @@ def _find(phrases, shard_words: int, extra: list[str]):
             table = pa.Table.from_batches(held).combine_chunks()
             columns = {c: table.column(c).combine_chunks() for c in ("doc_id", *extra)}
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            if cut:  # one Python worker finds and cuts
+                pairs = [[{"start": a, "stop": b} for a, b in s] for s in spans]
+                columns["text"] = pa.array(_cut(table.column("text").to_pylist(), pairs), pa.string())
+                return pa.RecordBatch.from_pydict(columns)
             columns["n_words"] = pa.array([len(d) for d in docs], pa.int64())
             columns["spans"] = pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind)
             columns["items"] = pa.array(names, pa.list_(pa.string()))
@@ -178,14 +184,14 @@ def find_contamination(
         parts = None
         for items in blocks:
             found = source.mapInArrow(
-                _find(spark.sparkContext.broadcast(Phrases(items, window)), shard_words, ["_row"]), f"_row bigint, {FOUND}"
+                _find(spark.sparkContext.broadcast(Phrases(items, window)), shard_words, ["_row"]), FOUND.replace(",", ", _row bigint,", 1)
             ).where("size(spans) > 0")
             found = materialize(found.select("_row", "spans", "items"), "found")
             parts = found if parts is None else parts.unionByName(found)
         # at most one row a block and document
         merged = parts.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("more"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         empty = spark.sparkContext.broadcast(Phrases([], window))
-        counted = source.mapInArrow(_find(empty, shard_words, ["_row", *kept]), f"_row bigint, {schema}").drop("spans", "items")
+        counted = source.mapInArrow(_find(empty, shard_words, ["_row", *kept]), schema.replace("`doc_id` bigint", "`doc_id` bigint, `_row` bigint", 1)).drop("spans", "items")
         joined = counted.join(merged, "_row", "left")
         spans = F.coalesce(_merge(F.col("more")), F.array().cast("array<struct<start:int,stop:int>>"))
         return joined.withColumn("spans", spans).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_row", "more")
@@ -243,9 +249,21 @@ def _cut_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
+def _reordered(schema: StructType) -> StructType:
+    """The schema with doc_id first, as _find puts it."""
+    return StructType(sorted(schema.fields, key=lambda f: f.name != "doc_id"))
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all removal spans cut out of their texts; their other columns stay."""
     names = docs.columns
+    blocks = list(_blocks(benchmark, PHRASE_BYTES))
+    if len(blocks) == 1:
+        spark = docs.sparkSession
+        batch_rows(spark)
+        phrases = spark.sparkContext.broadcast(Phrases(blocks[0], window))
+        rows = docs.withColumn("text", F.col("text").cast("string"))
+        return rows.mapInArrow(_find(phrases, SHARD_WORDS, [c for c in names if c != "doc_id"], cut=True), _reordered(rows.schema)).select(*names)
     found = find_contamination(docs, benchmark, window, extra=tuple(c for c in names if c != "doc_id"))
     return found.mapInArrow(_cut_batches, found.schema).select(*names)
 

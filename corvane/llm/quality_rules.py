@@ -1,6 +1,6 @@
 """Quality rules with DataFrame functions alone: per-document counts, and cross-document line frequency.
 
-Line frequency: each line with a word is normalised (lower case, digits to 0, white space folded) and
+Line frequency: each line with a word is normalised (lower case, numbers to 0, white space folded) and
 hashed to 128 bits. Per host, the distinct texts that hold a line are counted; a line above the limit is
 boilerplate of that host and is removed from every document but the lowest doc_id that has it. A
 document left with too few of its words is rejected. Equal texts count once, so a document is not
@@ -111,7 +111,7 @@ def text_key() -> Column:
 def line_rows(docs: DataFrame) -> DataFrame:
     """Each line with a word: doc_id, t1 (hash of its text), host, pos, line_words, h1, h2."""
     plain = F.regexp_replace(F.lower(F.col("line")), BLANKS, " ")
-    plain = F.trim(F.regexp_replace(plain, r"[0-9]+", "0"))
+    plain = F.trim(F.regexp_replace(plain, r"\b[0-9]+\b", "0"))
     lines = docs.where("text is not null").select(
         "doc_id", F.col("source").alias("host"), text_key().alias("t1"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, bounded_rows, held_out
+from corvane.llm._common import batch_rows, bounded_rows, held_out, hold
 
 BUCKETS = 1 << 17
 WIDTH = 16
@@ -216,6 +216,7 @@ def _score(model):
             return value
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("none", dict)
         sums = Sums()
         known = model.value
         for part in parts:

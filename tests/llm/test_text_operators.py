@@ -38,8 +38,8 @@ def test_line_frequency(spark):
     rng = random.Random(2)
     text = lambda i: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) + f" own{i}"
     rows = [(i, f"{text(i)}\nBoiler   plate line {i % 10}", "h") for i in range(60)]
-    rows += [(100 + i, "Boiler plate line 1\n" + "\n".join(f"common line number {k} with some more words in it here" for k in "abcdefg"), "h") for i in range(3)]
-    rows += [(200 + i, "\n".join(f"common line number {k} with some more words in it here" for k in "abcdefg") + f"\nx{i}", "h") for i in range(30)]
+    rows += [(100 + i, "Boiler plate line 1\n" + "\n".join(" ".join(f"{k}x{j}y" for j in range(9)) for k in "abcdefg"), "h") for i in range(3)]
+    rows += [(200 + i, "\n".join(" ".join(f"{k}x{j}y" for j in range(9)) for k in "abcdefg") + f"\nx{i}", "h") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(df, line_texts=20, line_share=0.01).collect()}
     assert all(got[i].kept and got[i].removed_words == (0 if i == 0 else 4) for i in range(60))
