@@ -48,7 +48,9 @@ _LONGEST = 40
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    """The text's words; one that repeats the word before is left out, so no window is one word over and over."""
+    words = text.lower().split() if text else []
+    return [w for w, before in zip(words, ["", *words], strict=False) if w != before]
 
 
 def buckets_of(word: str) -> np.ndarray:
