@@ -74,6 +74,15 @@ def judge_passage(readme_chars: int = JUDGE_README_CHARS) -> Column:
     )
 
 
+def guide_prompt(readme_chars: int = GUIDE_README_CHARS) -> Column:
+    """What a guide is written from: the record's header and its README, cut."""
+    line = lambda label, c: F.concat(F.lit(label), c)
+    return F.concat_ws(
+        "\n", line("Repository: ", F.col("full_name")), line("Description: ", _filled(F.col("description"))), line("Language: ", _filled(F.col("primary_language"))),
+        line("Topics: ", _filled(F.array_join("topics", ", "))), line("\nREADME:\n", _filled(F.left("readme", F.lit(readme_chars)))),
+    )
+
+
 def trim_preamble(guide: Column, heading: str = "## What it is") -> Column:
     """A guide from its first heading on; as it is without one."""
     at = F.instr(guide, heading)

@@ -137,3 +137,18 @@ def compare(run_a: DataFrame, run_b: DataFrame, qrels: DataFrame, canary: DataFr
 def extremes(deltas: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(best, worst) queries by delta."""
     return deltas.orderBy(F.desc("delta"), "query").limit(n), deltas.orderBy("delta", "query").limit(n)
+
+
+def sample_rows(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, the same for the same seed."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def worst_first(per_query: DataFrame) -> DataFrame:
+    """Per-query rows (query, ndcg_graded, ndcg) from the worst on."""
+    return per_query.orderBy(F.coalesce("ndcg_graded", "ndcg", F.lit(0.0)), "query")
+
+
+def judged_alarm(judged_rows: DataFrame, least: float = 0.90) -> DataFrame:
+    """One row if the mean share of judged documents is too low."""
+    return judged_rows.agg(F.avg("judged").alias("judged")).where(F.col("judged") < least)
