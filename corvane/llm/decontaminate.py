@@ -28,7 +28,7 @@ from corvane.llm.fm_index import FMIndex
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
-PHRASE_BYTES = 32 << 20
+PHRASE_BYTES = 4 << 20
 #: Hit words of a contaminated document, as a share of its words: one in this many.
 ONE_IN = 20
 
@@ -152,15 +152,19 @@ def _find(phrases, shard_words: int, extra: list[str], cut: bool = False):
     return run
 
 
-def _blocks(benchmark: DataFrame, phrase_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Benchmark rows in blocks of about ``phrase_bytes`` of text; sizes are counted before any row is collected."""
+def _blocks(benchmark: DataFrame, phrase_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """Number of blocks of about ``phrase_bytes`` of benchmark text, and the blocks, collected one at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // phrase_bytes))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+    n = max(1, -(-size // phrase_bytes))
+
+    def collected() -> Iterator[list[tuple[str, str]]]:
+        for k in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+            yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+
+    return n, collected()
 
 
 def find_contamination(
@@ -178,8 +182,8 @@ def find_contamination(
     fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     kept = [c for c in extra if c != "doc_id"]
     schema = ", ".join(f"`{c}` {fields[c]}" for c in ("doc_id", *kept)) + FOUND.removeprefix("doc_id bigint")
-    blocks = list(_blocks(benchmark, phrase_bytes)) if phrase_bytes else []
-    if len(blocks) > 1:
+    n_blocks, blocks = _blocks(benchmark, phrase_bytes)
+    if n_blocks > 1:
         source = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         parts = None
         for items in blocks:
@@ -195,7 +199,7 @@ def find_contamination(
         joined = counted.join(merged, "_row", "left")
         spans = F.coalesce(_merge(F.col("more")), F.array().cast("array<struct<start:int,stop:int>>"))
         return joined.withColumn("spans", spans).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_row", "more")
-    phrases = spark.sparkContext.broadcast(Phrases(blocks[0] if blocks else [], window))
+    phrases = spark.sparkContext.broadcast(Phrases(next(blocks), window))
     return source.mapInArrow(_find(phrases, shard_words, kept), schema)
 
 
@@ -257,11 +261,11 @@ def _reordered(schema: StructType) -> StructType:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all removal spans cut out of their texts; their other columns stay."""
     names = docs.columns
-    blocks = list(_blocks(benchmark, PHRASE_BYTES))
-    if len(blocks) == 1:
+    n_blocks, blocks = _blocks(benchmark, PHRASE_BYTES)
+    if n_blocks == 1:
         spark = docs.sparkSession
         batch_rows(spark)
-        phrases = spark.sparkContext.broadcast(Phrases(blocks[0], window))
+        phrases = spark.sparkContext.broadcast(Phrases(next(blocks), window))
         rows = docs.withColumn("text", F.col("text").cast("string"))
         return rows.mapInArrow(_find(phrases, SHARD_WORDS, [c for c in names if c != "doc_id"], cut=True), _reordered(rows.schema)).select(*names)
     found = find_contamination(docs, benchmark, window, extra=tuple(c for c in names if c != "doc_id"))
