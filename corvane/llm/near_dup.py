@@ -47,7 +47,7 @@ NODE_LIMIT = 32
 MAX_DEPTH = 6
 #: A node is not parted if most of its selected tokens leave this share of it in one child.
 DENSE = 0.5
-CROWD_BLOCK = 4096
+CROWD_BLOCK = 1024
 #: Sketches must agree in this many places less than expected at the threshold, in standard deviations.
 SLACK = 4.3
 BLOCK = 768
