@@ -96,8 +96,8 @@ def search(
     fused = rrf_fuse(fts, dense, name, lane_weights)
     hits = blend(fused, corpus, queries, now, weights, signals if enrich else None, enrich)
     rank = Window.partitionBy("query_id").orderBy(F.desc("exact_name"), F.desc(F.round("hybrid_score", 9)), F.desc("stars"), F.asc("repo_id"))
-    page = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
-    # raw cosine for the page alone
+    page = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit).persist()
+    # raw cosine for the page alone; the page is small (limit rows a request) and read twice
     vectors = embeddings.join(page.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "embedding")
     shown = page.join(queries.select("query_id", "vector"), "query_id").join(vectors, "repo_id", "left")
     return shown.withColumn("similarity", F.coalesce(cosine(F.col("embedding"), F.col("vector")), F.lit(0.0))).drop("embedding", "vector")

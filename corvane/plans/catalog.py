@@ -168,11 +168,11 @@ def _(spark, sf_dir):
     return kept.select("repo_id", F.size("queries").cast("bigint").alias("kept"))
 
 
-@query("vec05_codec", " SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 5) AS total FROM embeddings")
+@query("vec05_codec", " SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 6) AS total FROM embeddings")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     decoded = vectors.decode(vectors.encode(F.col("embedding")))
-    return e.select("vec_id", F.round(F.aggregate(decoded, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return e.select("vec_id", F.round(F.aggregate(decoded, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query("vec06_bad_dimension", " SELECT count(*) AS bad FROM repository_embeddings WHERE len(embedding) <> 64")
