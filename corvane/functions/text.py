@@ -60,7 +60,7 @@ def trigram_similarity(shared: Column, left: Column, right: Column) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Inline Markdown reduced to what it shows; images go before links."""
+    """Inline Markdown reduced to what it shows; images go before links. The patterns are fixed values."""
     for pattern, to in (
         (r"!\[[^\]]*\]\([^)]*\)", " "),
         (r"\[([^\]]*)\]\(\s*[^)]*\)", "$1"),

@@ -109,7 +109,7 @@ def fisher_p(deltas: Sequence[float], permutations: int = 100_000, seed: int = 0
 def fisher_p_distributed(deltas: DataFrame, permutations: int = 10_000, seed: int = 0) -> DataFrame:
     """The same test as one row ``p``, with signs from a hash: permutations are spread over the cluster."""
     values = deltas.agg(F.array_sort(F.collect_list(F.struct("query", "delta"))).alias("v")).select(F.transform("v", lambda x: x["delta"]).alias("v"))
-    trials = deltas.sparkSession.range(permutations).crossJoin(F.broadcast(values))  # one row of values
+    trials = deltas.sparkSession.range(permutations).select("id", values.scalar().alias("v"))
     signed = F.transform("v", lambda d, i: F.when(F.xxhash64(F.lit(seed), F.col("id"), i) % 2 == 0, d).otherwise(-d))
     total = F.abs(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.size("v"))
     observed = F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v"))

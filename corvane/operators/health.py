@@ -30,13 +30,12 @@ def counters(repos: DataFrame, embeddings: DataFrame, label: str) -> DataFrame:
     """One row: records, READMEs found, vectors under the label, records that still need one."""
     vectors = embeddings.where(F.col("model_name") == label)
     need = repos.where("not is_archived and readme_status is not null").join(vectors, repos["id"] == vectors["repo_id"], "left_anti")
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    # each side is a single row
-    return (
-        one(repos, "total_repos")
-        .crossJoin(one(repos.where("readme_status = 'ok'"), "readme_success"))
-        .crossJoin(one(vectors, "embeddings"))
-        .crossJoin(one(need, "pending"))
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return repos.sparkSession.range(1).select(
+        n(repos).alias("total_repos"),
+        n(repos.where("readme_status = 'ok'")).alias("readme_success"),
+        n(vectors).alias("embeddings"),
+        n(need).alias("pending"),
     )
 
 
