@@ -22,7 +22,7 @@ from corvane.llm._common import hold
 
 #: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
-MAX_CACHE_ENTRIES = 900_000
+MAX_CACHE_ENTRIES = 800_000
 #: Chunks that one call encodes, parted by a special token.
 GROUP = 256
 
@@ -169,7 +169,7 @@ def _drops_space(path: str) -> bool:
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def slices(texts: pa.Array, limit_bytes: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit_bytes: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length (at least one row each)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
