@@ -53,13 +53,11 @@ def repeated_words(words: Column) -> Column:
     def covered(w: Column) -> Column:
         n = F.size(w) - 2
         shift = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int") + 1
+        hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-        def keyed(bits: Column) -> Column:
+        def keyed(h: Column, bits: Column) -> Column:
             mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-            code = F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")),
-            )
+            code = F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("bigint")))
 
             def place(x: Column) -> Column:
                 return x.bitwiseAND(mask).cast("int")
@@ -83,7 +81,11 @@ def repeated_words(words: Column) -> Column:
             steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
             return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-        return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(let(let(shift, keyed), total))
+        def of_hashes(h: Column) -> Column:
+            none = F.size(F.array_distinct(h)) == n
+            return F.when(none, F.lit(0).cast("bigint")).otherwise(let(let(shift, lambda bits: keyed(h, bits)), total))
+
+        return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(let(hashes, of_hashes))
 
     return let(words, covered)
 
@@ -91,7 +93,7 @@ def repeated_words(words: Column) -> Column:
 def base_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rtrim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = (
         docs.withColumn("_words", split_words(text))
         .withColumn("n_words", F.size("_words").cast("bigint"))
