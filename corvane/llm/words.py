@@ -7,7 +7,7 @@ import xxhash
 
 from corvane.llm._common import LOWER_ASCII, hold
 
-MAX_WORDS_CACHED = 600_000
+MAX_WORDS_CACHED = 250_000
 
 _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
