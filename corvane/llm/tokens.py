@@ -22,7 +22,7 @@ from corvane.llm._common import hold
 
 #: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
-MAX_CACHE_ENTRIES = 800_000
+MAX_CACHE_ENTRIES = 900_000
 #: Chunks that one call encodes, parted by a special token.
 GROUP = 256
 
@@ -110,7 +110,7 @@ class ChunkEncoder:
             plain = pc.replace_substring(pc.ascii_lower(plain), "\n", " ")
         lists = pc.split_pattern(plain, " ")
         chunks = lists.flatten().dictionary_encode()
-        which = chunks.indices.to_numpy().astype(np.int64)
+        which = chunks.indices.to_numpy().copy()
         words = chunks.dictionary.to_pylist()
         firsts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
         if self.drops_space:
@@ -133,14 +133,19 @@ class ChunkEncoder:
         flat = np.frombuffer(b"".join(table), "<u4")
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         starts = np.cumsum(sizes) - sizes
-        n = sizes[which]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
+        del table, words, chunks
+        # 32-bit places where they suffice: these arrays are as long as the text has chunks or ids
+        total = int(sizes @ np.bincount(which, minlength=len(sizes))) if len(which) else 0
         narrow = np.int32 if max(total, len(flat)) < 2**31 else np.int64
-        take = np.repeat((starts[which] - (ends - n)).astype(narrow), n)
+        n = sizes.astype(narrow)[which]
+        ends = np.cumsum(n, dtype=narrow)
+        shift = starts.astype(narrow)[which] - ends
+        shift += n
+        take = np.repeat(shift, n)
         take += np.arange(total, dtype=narrow)
         ids = flat[take]
-        rows = np.concatenate([[0], ends])[np.append(firsts, len(which))]
+        del take, shift
+        rows = np.append(narrow(0), ends)[np.append(firsts, len(which))].astype(np.int64)
         return ids, rows
 
 
@@ -169,7 +174,7 @@ def _drops_space(path: str) -> bool:
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def slices(texts: pa.Array, limit_bytes: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit_bytes: int = 16 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length (at least one row each)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
