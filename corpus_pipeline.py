@@ -32,8 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that fail the base rules or are depleted."""
-    return _measured(quality_rules.clean(docs))
+    """Boilerplate lines (by count alone, however large their host) go, and documents that fail the base rules or are depleted."""
+    return _measured(quality_rules.clean(docs, line_share=None))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,9 @@ j AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= 50 * n_words AS kept FROM j"""
 
+#: The same by the count alone.
+OP7_COUNT = OP7.replace(" AND count(DISTINCT t) > texts * 0.01", "")
+
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),

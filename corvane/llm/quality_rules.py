@@ -27,7 +27,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
-#: A line is boilerplate if over this many of a host's distinct texts hold it, and over this share of them.
+#: A line is boilerplate if over this many of a host's distinct texts hold it, and over this share of them; without a
+#: share (None) the count alone decides, so that the limit doesn't rise with the host.
 LINE_TEXTS = 20
 LINE_SHARE = 0.01
 #: A document with less than this percentage of its words left is depleted.
@@ -123,18 +124,20 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "t1", "host", "pos", words.alias("line_words"), *hashes)
 
 
-def frequent_lines(docs: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, line_texts: int, line_share: float | None) -> DataFrame:
     """host, h1, h2, first_id of the lines held by too many distinct texts of their host."""
-    hosts = docs.where("text is not null").groupBy(F.col("source").alias("host"), text_key().alias("t1")).agg(F.lit(1).alias("x"))
-    hosts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     held = line_rows(docs).groupBy("host", "h1", "h2", "t1").agg(F.min("doc_id").alias("first_id"))
     held = held.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id"))
     held = held.where(F.col("n") > line_texts).alias("l")
+    if line_share is None:
+        return held.select("host", "h1", "h2", "first_id")
+    hosts = docs.where("text is not null").groupBy(F.col("source").alias("host"), text_key().alias("t1")).agg(F.lit(1).alias("x"))
+    hosts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     over = held.join(hosts.alias("h"), F.expr("l.host <=> h.host")).where(F.col("n") > F.col("texts") * F.lit(line_share))
     return over.select(F.col("l.host").alias("host"), "h1", "h2", "first_id")
 
 
-def removed_lines(docs: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+def removed_lines(docs: DataFrame, line_texts: int, line_share: float | None) -> DataFrame:
     """doc_id, t1, removed_words, drop (places of the lines that go), for documents that lose a line.
 
     Keyed by doc_id and text, so rows that repeat a document count once."""
@@ -159,7 +162,7 @@ def _left(left_percent: int) -> Column:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float | None = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, kept, removed_words."""
     docs = _source(docs)
     removed = removed_lines(docs, line_texts, line_share).select(F.col("doc_id").alias("r_id"), F.col("t1").alias("r_t1"), "removed_words")
@@ -169,7 +172,7 @@ def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LIN
     return joined.select("doc_id", *COUNTS, "base_failed", _left(left_percent).alias("kept"), words.alias("removed_words"))
 
 
-def clean(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def clean(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float | None = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The documents that stay, with their boilerplate lines removed; all columns of ``docs``."""
     names = docs.columns
     removed = removed_lines(_source(docs), line_texts, line_share)

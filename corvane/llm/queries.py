@@ -42,6 +42,10 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), line_share=None)
+
+
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,9 +59,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ftrl, op2_chat_windows, op3_token_files, op4_toxicity_subwords, op5_hyperdimensional_lang, op6_residual_packing, op7_line_frequency, op8_warc_segments, op9_fm_decontamination, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_ftrl, op2_chat_windows, op3_token_files, op4_toxicity_subwords, op5_hyperdimensional_lang, op6_residual_packing, op7_line_frequency, op7_line_count, op8_warc_segments, op9_fm_decontamination, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are models, tokenizers or heuristics; tests hold them against plain versions."""
-    return {"op7_line_frequency": oracles.OP7, "op8_warc_segments": oracles.OP8, "op9_fm_decontamination": oracles.OP9, "op10_near_duplicates": oracles.OP10}
+    return {"op7_line_frequency": oracles.OP7, "op7_line_count": oracles.OP7_COUNT, "op8_warc_segments": oracles.OP8, "op9_fm_decontamination": oracles.OP9, "op10_near_duplicates": oracles.OP10}

@@ -52,6 +52,22 @@ def test_line_frequency(spark):
     assert quality_rules.judge(copies, 20, 0.01).where("kept").count() == 50
 
 
+def test_line_count_on_a_large_host(spark):
+    """A passage in a few dozen documents is found however many texts its host has."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(2000)]
+    passage = "this passage stands in a few dozen documents"
+    rows = [(i, " ".join(rng.choices(words, k=60)) + (f"\n{passage}" if i < 30 else ""), "hot") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.removed_words for r in quality_rules.judge(df, line_share=None).where("removed_words > 0").collect()}
+    assert got == {i: 8 for i in range(1, 30)}
+    staged = corpus_pipeline.quality_stage(spark, df, "")
+    assert [r.doc_id for r in staged.where(F.col("text").contains(passage)).collect()] == [0] and staged.count() == 4000
+    assert quality_rules.judge(df).where("removed_words > 0").count() == 0  # the share of op7_line_frequency and its SQL
+
+
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (10, "short item"), (2, ""), (3, None), (None, "null item"), (4, "... !!"), (5, "short item")]
 
 
