@@ -3,7 +3,8 @@
 A word is the bag of its character n-grams (with word boundaries) and itself, hashed into buckets, each
 with an embedding; a word is the average of its buckets' embeddings, a window of words the average of its
 words', and a linear softmax over it gives the window's classes. A misspelling that was never seen shares most n-grams with its word. A
-document's score is that of its most toxic window, so a few words count in a long text as in a short
+token of more than 40 characters, as of text without white space, is read as overlapping pieces that each
+count as a word, so each of its n-grams is learned from and scored. A document's score is that of its most toxic window, so a few words count in a long text as in a short
 one. Labels are those of whole documents: training starts from all windows of toxic documents and then
 narrows them, round by round, to those that score highest; every window of a clean document stays clean.
 
@@ -44,21 +45,40 @@ CALIBRATE = 5
 CLEAN_WINDOWS = 16
 _WORD = re.compile(r"[^\W\d_]+(?:[^\w\s][^\W\d_]+)*")
 _MAX_CACHED = 500_000
+#: A longer token is read as pieces of PIECE characters, which overlap by the longest n-gram.
 _LONGEST = 40
+PIECE = 12
+#: Stands where a piece goes on; no token has white space.
+_CUT = "\n"
+_EDGES = ".,;:!?%&$*#|<>()[]{}\"'-_"
 
 
-def words_of(text: str | None) -> list[str]:
-    """The text's words; one that repeats the word before is left out, so no window is one word over and over."""
-    words = text.lower().split() if text else []
+def _once(words: list[str]) -> list[str]:
     return [w for w, before in zip(words, ["", *words], strict=False) if w != before]
 
 
+def pieces_of(word: str) -> list[str]:
+    """The word, or the pieces of a long one (text without white space, or words that other marks part)."""
+    if len(word) <= _LONGEST or len(word := word.strip(_EDGES)) <= _LONGEST:
+        return [word]
+    starts = range(0, len(word) - max(NGRAMS), PIECE - max(NGRAMS))
+    return [f"{_CUT if i else ''}{word[i : i + PIECE]}{_CUT if i + PIECE < len(word) else ''}" for i in starts]
+
+
+def words_of(text: str | None) -> list[str]:
+    """The text's words, long ones in pieces; one that repeats the word before is left out, so no window is one word over and over."""
+    words = _once(text.lower().split()) if text else []
+    if max(map(len, words), default=0) > _LONGEST:
+        words = _once([p for w in words for p in pieces_of(w)])
+    return words
+
+
 def buckets_of(word: str) -> np.ndarray:
-    """Buckets of a word: itself and its n-grams; without letters: none."""
-    word = word.strip(".,;:!?%&$*#|<>()[]{}\"'-_")[:_LONGEST]
+    """Buckets of a word or piece: itself and its n-grams; without letters: none."""
+    word = word.strip(_EDGES)
     if not any(c.isalpha() for c in word):
         return np.empty(0, np.int64)
-    marked = f"<{word}>"
+    marked = f"<{word}>".replace(f"<{_CUT}", "").replace(f"{_CUT}>", "")
     grams = [marked] + [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
     return np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.int64, len(grams)) % BUCKETS
 
@@ -214,7 +234,9 @@ def _score(model):
             if len(self) > _MAX_CACHED:
                 self.clear()
             b = buckets_of(word)
-            value = self[word] = complex(float(model.value[0][b].mean()), 1.0) if len(b) else 0j
+            value = complex(float(model.value[0][b].mean()), 1.0) if len(b) else 0j
+            if _CUT not in word:
+                self[word] = value
             return value
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, quality_classifier, toxicity
@@ -36,6 +37,19 @@ def test_unseen_misspelling(spark, tables):
     assert min(s[1], s[2]) > 2 * s[3]
 
 
+def test_long_tokens_are_scored_whole(spark, tables):
+    words = "Anat with by of nteres atre are the thnt eringing onheed with erenenst thaner ing tionha and".split() * 8
+    glued = "/".join(words)
+    marked = f"<{glued.lower()}>"
+    grams = {xxhash.xxh32_intdigest(marked[i : i + n]) % toxicity.BUCKETS for n in toxicity.NGRAMS for i in range(len(marked) - n + 1)}
+    assert grams <= {int(b) for w in toxicity.words_of(glued) for b in toxicity.buckets_of(w)}
+    assert toxicity.words_of("a" * 40 + " " + "b" * 40 + "...") == ["a" * 40, "b" * 40]
+    model = toxicity.train(*tables)
+    rows = [(i, glue.join(words + ["pathetic"] * n + words)) for i, (glue, n) in enumerate([("/", 0), ("/", 1), ("_", 0), ("_", 1), ("\u2060", 0), ("\u2060", 1)])]
+    s = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert all(s[i + 1] > 1.2 * s[i] for i in (0, 2, 4)), s  # equal where only a prefix is read
+
+
 def test_language_on_held_out_documents(tables):
     rows = language_id.identify(tables[0]).join(tables[0].select("doc_id", "lang"), "doc_id").where("held_out")
     right = rows.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
