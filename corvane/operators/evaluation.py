@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +108,51 @@ def fisher_p(deltas: Sequence[float], permutations: int = 100_000, seed: int = 0
     return (reached + 1) / (permutations + 1)
 
 
-def fisher_p_distributed(deltas: DataFrame, permutations: int = 10_000, seed: int = 0) -> DataFrame:
-    """The same test as one row ``p``, with signs from a hash: permutations are spread over the cluster."""
-    values = deltas.agg(F.array_sort(F.collect_list(F.struct("query", "delta"))).alias("v")).select(F.transform("v", lambda x: x["delta"]).alias("v"))
-    trials = deltas.sparkSession.range(permutations).select("id", values.scalar().alias("v"))
-    signed = F.transform("v", lambda d, i: F.when(F.xxhash64(F.lit(seed), F.col("id"), i) % 2 == 0, d).otherwise(-d))
-    total = F.abs(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.size("v"))
-    observed = F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v"))
-    return trials.agg(((F.count_if(total >= observed - 1e-12) + 1) / F.lit(permutations + 1.0)).alias("p"))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 even bits of each number (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _flipped(permutations: int, words: int):
+    """Sums of the deltas with the signs of each trial, for rows (key, delta, block of 64 * ``words`` trials)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for part in parts:
+            keys, deltas, blocks = (part.column(c).to_numpy() for c in ("key", "delta", "block"))
+            for block in np.unique(blocks).tolist():
+                rows = np.flatnonzero(blocks == block)
+                total = sums.setdefault(block, np.zeros(64 * words))
+                step = np.arange(1 + block * words, 1 + (block + 1) * words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for lo in range(0, len(rows), 64):
+                    at = rows[lo : lo + 64]
+                    bits = np.unpackbits(_mixed(keys[at].astype(np.uint64)[:, None] + step).view(np.uint8), axis=1, bitorder="little")
+                    total += 2.0 * (deltas[at] @ bits.astype(np.float64)) - deltas[at].sum()
+        for block, total in sums.items():
+            trials = np.arange(64 * words) + 64 * words * block
+            known = trials < permutations
+            yield pa.RecordBatch.from_arrays([pa.array(trials[known]), pa.array(total[known])], names=["trial", "total"])
+
+    return run
+
+
+def fisher_p_distributed(deltas: DataFrame, permutations: int = 10_000, seed: int = 0, block_rows: int = 32_768, words: int = 200) -> DataFrame:
+    """The same test as one row ``p``, with signs from a hash: spread over blocks of trials and of rows.
+
+    The work is rows times trials; a row without a delta is left out, and one of 0 changes no sum."""
+    rows = deltas.where("delta is not null").select("query", F.col("delta").cast("double").alias("delta"))
+    n, total, flips = rows.agg(F.count(F.lit(1)), F.sum("delta"), F.count_if(F.col("delta") != 0)).first()
+    observed = abs(total / n) if n else 0.0
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("delta"))
+    keyed = rows.where("delta <> 0").select(F.xxhash64(F.lit(seed), "query", nth).alias("key"), "delta")
+    blocks, dealt = -(-permutations // (64 * words)), max(1, -(-flips // block_rows))
+    keyed = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("deal", F.pmod("key", F.lit(dealt)))
+    sums = keyed.repartition(blocks * dealt, "block", "deal").select("key", "delta", "block").mapInArrow(_flipped(permutations, words), "trial bigint, total double")
+    sums = sums.groupBy("trial").agg(F.sum("total").alias("total"))
+    below = F.count_if(F.abs(F.col("total") / F.lit(n or 1)) < F.lit(observed - 1e-12))
+    return sums.agg(((F.lit(permutations) - below + 1) / F.lit(permutations + 1.0)).alias("p"))
 
 
 def compare(run_a: DataFrame, run_b: DataFrame, qrels: DataFrame, canary: DataFrame, k: int = 10, gate_query: str | None = None, gate_docs: Sequence[str] = (), min_delta: float = 0.03, alpha: float = 0.05) -> tuple[dict, DataFrame]:

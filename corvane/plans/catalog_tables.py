@@ -647,8 +647,8 @@ def _(spark, sf_dir):
 
 @query("evl06_fisher")
 def _(spark, sf_dir):
-    l = table(spark, sf_dir, "labels").limit(50).select(F.col("doc_id").alias("query"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
-    return evaluation.fisher_p_distributed(l, permutations=2000)
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
+    return evaluation.fisher_p_distributed(l, permutations=100_000)
 
 
 @query("evl07_compare_deltas", f"""WITH {RUNS}, i AS (SELECT query, sum(grade / log2(rn + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS rn FROM qrels) WHERE rn <= 10 GROUP BY query),

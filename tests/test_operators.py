@@ -109,6 +109,26 @@ def test_metrics(spark):
     assert abs(p - spread) < 0.05
 
 
+def test_fisher_over_all_rows(spark, monkeypatch):
+    """The registered query takes every label and 100,000 trials; p is that of all sign changes."""
+    from corvane.plans import catalog
+
+    deltas = [0.3, -0.1, 0.2, 0.05, 0.25, -0.15, 0.1, 0.0, 0.12, 0.07]
+    sums = [abs(sum(d if k >> i & 1 else -d for i, d in enumerate(deltas))) for k in range(1 << len(deltas))]
+    exact = sum(s >= abs(sum(deltas)) - 1e-12 for s in sums) / len(sums)
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(deltas)] + [(99, None)], "query bigint, delta double")
+    p = evaluation.fisher_p_distributed(frame, 100_000).first().p
+    assert abs(p - exact) < 0.006
+    assert evaluation.fisher_p_distributed(frame, 100_000, block_rows=2, words=7).first().p == pytest.approx(p, abs=1e-12)
+    assert evaluation.fisher_p_distributed(frame.where("delta = 0"), 100).first().p == 1.0
+    assert evaluation.fisher_p_distributed(frame.where("false"), 100).first().p == 1.0
+    taken, whole = [], evaluation.fisher_p_distributed
+    monkeypatch.setattr(evaluation, "fisher_p_distributed", lambda d, **k: taken.append((d.count(), k)) or whole(d, **k))
+    assert 0 < catalog.queries()["evl06_fisher"](spark, "/root/testdata/sf0.001").first().p <= 1
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").count()
+    assert taken == [(labels, {"permutations": 100_000})] and labels > 50
+
+
 def test_compare_gate(spark):
     q = [f"q{i}" for i in range(12)]
     good = spark.createDataFrame([(x, "g", 1) for x in q], "query string, doc string, rank int")
