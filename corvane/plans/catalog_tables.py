@@ -521,6 +521,34 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.norm_key(F.left("text", F.lit(200))), 256).alias("k"))
 
 
+# min11_norm_key, doc08_preamble, doc04_sane_strings and snk15_batch_requests read prefixes; these are the same over whole texts.
+
+
+@query("min11_norm_key_whole", r" SELECT doc_id, sha256(regexp_replace(lower(text), '[\s\-._]+', '', 'g')) AS k FROM documents", corpus=False)
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.norm_key(F.col("text")), 256).alias("k"))
+
+
+@query("doc08_preamble_whole", " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('## What it is', text) ELSE text END AS guide FROM documents", corpus=False)
+def _(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("## What it is"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", document.trim_preamble(said).alias("guide"))
+
+
+@query("doc04_sane_strings_whole", r""" SELECT conv_id, array_to_string(list_slice(list_filter(l, lambda x, i: NOT list_contains(list_transform(list_slice(l, 1, i - 1), lambda y: lower(y)), lower(x))), 1, 8), '|') AS kept FROM
+ (SELECT conv_id, list_filter(list_transform(list(text ORDER BY turn), lambda t: regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '' AND length(x) <= 80) AS l FROM conversations GROUP BY conv_id)""", corpus=False)
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("l"))
+    return c.select("conv_id", F.array_join(text.sane_strings(F.transform("l", lambda x: x["t"]), 8, 80), "|").alias("kept"))
+
+
+@query("snk15_batch_prompts", " SELECT CAST((rn - 1) // 150 AS BIGINT) AS chunk, concat('r', (rn - 1) % 150) AS key, sha256(text) AS prompt FROM (SELECT text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)", corpus=False)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("repo_id"), F.col("text").alias("prompt"))
+    line = F.from_json("value", "key string, prompt string")
+    return json_sources.batch_requests(rows, "doc_id", 150)[0].select("chunk", line["key"].alias("key"), F.sha2(line["prompt"], 256).alias("prompt"))
+
+
 LISTS = [
     ("a/list", "# Awesome Widgets\n## Tools\n- [Acme](https://github.com/acme/rocket) - A very fast rocket for everyone.\n- [rocket](https://github.com/acme/rocket#readme)\n```\n- [no](https://github.com/no/no) - inside a fence here\n```\n"),
     ("b/list", "## Engines\n* [Acme Rocket](https://github.com/Acme/Rocket/) — A very fast rocket for everyone.\n| [x](https://github.com/x/y) | Table cell text | MIT |\n"),
