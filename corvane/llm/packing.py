@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm._common import batch_rows, materialize
 from corvane.llm.tokens import encoder, slices, with_end
 
+#: Pieces or bins that a task packs at once.
 GROUP_ITEMS = 60_000
 #: A bin with at most this share of its capacity free is final.
 NEARLY_FULL = 1 / 512
@@ -101,6 +102,8 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
                         b = min(a + capacity, last)
                         row = (doc, k, a - first, b - a, zlib.crc32(raw[4 * a : 4 * b]))
                         rows.append((*row, ids[a:b].view("<i4")) if with_ids else row)
+                del raw, ids, ends
+                pa.default_memory_pool().release_unused()
                 if len(rows) >= (group_items // 16 if with_ids else group_items):
                     batch, used = packed(rows, base, used)
                     yield batch
@@ -146,7 +149,7 @@ def pack(
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    batch_rows(spark, 8192)
+    batch_rows(spark)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECES if not with_ids else PIECES.replace("bin bigint", "ids array<int>, bin bigint")
     run = _pack_documents(tokenizer, end_id, capacity, group_items, with_ids)

@@ -51,7 +51,7 @@ def write_token_files(
     """Encode ``docs`` (doc_id, text) and write ORC files under ``path``, which must not exist yet.
 
     One shuffle: texts are range-partitioned by doc_id. Each task then streams its range."""
-    batch_rows(docs.sparkSession, 8192)
+    batch_rows(docs.sparkSession)
     ranged = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
@@ -59,7 +59,8 @@ def write_token_files(
     )
     (
         ranged.mapInArrow(_encode_partition(tokenizer, end_id), FILE_SCHEMA)
-        .write.option("orc.compress", "LZ4")
+        .write.option("maxRecordsPerFile", "0")  # a task's file holds all its rows, as local_start counts them
+        .option("orc.compress", "LZ4")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(row_stride))
         .option("orc.stripe.size", str(stripe_bytes))

@@ -22,7 +22,10 @@ from corvane.llm._common import hold
 
 #: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
-MAX_CACHE_ENTRIES = 900_000
+#: What the kept chunks and their ids may take in a worker, by the sizes of the objects.
+MAX_CACHE_BYTES = 72 << 20
+#: A string or bytes object's own size, twice, and a place in the table.
+_ENTRY_BYTES = 49 + 33 + 104
 #: Chunks that one call encodes, parted by a special token.
 GROUP = 256
 
@@ -46,6 +49,7 @@ class ChunkEncoder:
         self.drops_space = _drops_space(path)
         self.bare: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
+        self.cached_bytes = 0
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.marks = [content for _, content in special]
         self.part_id, self.part = max(special) if special else (-1, "")
@@ -77,20 +81,26 @@ class ChunkEncoder:
                 yield from (raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:], strict=False))
 
     def _ids_of(self, chunks: list[str], spaced: bool) -> list[bytes]:
+        if self.cached_bytes > MAX_CACHE_BYTES:
+            self._shrink()
         cache = self.spaced if spaced else self.bare
-        if len(cache) > MAX_CACHE_ENTRIES:  # words that came first are the common ones; the last ones go
-            cache = dict(islice(cache.items(), MAX_CACHE_ENTRIES * 2 // 3))
-            self.spaced, self.bare = (cache, self.bare) if spaced else (self.spaced, cache)
         ids = list(map(cache.get, chunks))
         at = [i for i, x in enumerate(ids) if x is None]
         if at:
             missing = [chunks[i] for i in at]
             for i, c, x in zip(at, missing, self._encode_all(missing, spaced), strict=True):
                 ids[i] = x
-                if len(c) <= MAX_CACHED_CHARS:
+                if len(c) <= MAX_CACHED_CHARS and self.cached_bytes <= MAX_CACHE_BYTES:
                     cache[c] = x
+                    self.cached_bytes += _ENTRY_BYTES + len(c) + len(x)
         return ids
 
+    def _shrink(self) -> None:
+        """Chunks that came first are the common ones; the last third goes."""
+        self.spaced, self.bare = (dict(islice(x.items(), len(x) * 2 // 3)) for x in (self.spaced, self.bare))
+        both = (x for cache in (self.spaced, self.bare) for x in cache.items())
+        self.cached_bytes = sum(_ENTRY_BYTES + len(c) + len(x) for c, x in both)
+
     def _odd(self, texts: pa.StringArray) -> pa.BooleanArray:
         """Texts that are encoded whole."""
         if not self.drops_space:
@@ -174,7 +184,7 @@ def _drops_space(path: str) -> bool:
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def slices(texts: pa.Array, limit_bytes: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit_bytes: int = 6 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length (at least one row each)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
