@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: scratch tables, splits, cheap word handling."""
+"""Shared pieces of the corpus operators: scratch tables, splits, bounded samples, worker caches."""
 
 from __future__ import annotations
 
@@ -7,17 +7,24 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _FALLBACK: dict[str, str] = {}
+#: Folders of the scopes that are open, innermost last; below them the session's own folder.
+_SCOPES: list[str] = []
+_SESSIONS: dict[str, str] = {}
 
 #: ASCII A-Z to a-z; every other byte stays.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Arrow batches of all operators here: whole texts may be long, and a batch is held in the Python worker.
+BATCH_ROWS, BATCH_BYTES = 4096, 12 << 20
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: spark.checkpoint.dir, or a temporary folder where
@@ -32,15 +39,48 @@ def scratch_root(spark: SparkSession) -> str:
     return _FALLBACK["root"]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def _session_folder(spark: SparkSession) -> str:
+    """The session's folder; the driver's JVM deletes it as it ends."""
+    key = f"{scratch_root(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if key not in _SESSIONS:
+        _SESSIONS[key] = f"{key}-{uuid.uuid4().hex}"
+        files, at = _file_system(spark, _SESSIONS[key])
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return _SESSIONS[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/corvane/{uuid.uuid4().hex}/{name}"
+    return f"{_SCOPES[-1] if _SCOPES else _session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end: what is kept must be written elsewhere before."""
+    folder = scratch_path(spark, "scope")
+    _SCOPES.append(folder)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(folder)
+        delete(spark, folder)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and return the reread table: lineage is cut, and
     what is read later survives the loss of any executor."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,6 +89,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct named ``row``, so that no helper column can clash with one of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+
+
+def fields(*parts: str | StructField) -> StructType:
+    """A schema of DDL texts and fields, in order."""
+    out = StructType()
+    for part in parts:
+        for field in StructType.fromDDL(part).fields if isinstance(part, str) else [part]:
+            out = out.add(field)
+    return out
+
+
+def from_row(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``as_row`` put away, with some of them changed."""
+    return rows.select(*[changed.get(c.lower(), F.col("row").getField(c)).alias(c) for c in names])
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
@@ -69,29 +128,38 @@ def hold(name: str, clear: Callable[[], object]) -> None:
         _HELD.pop(other)()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can, free memory goes back
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     _HELD[name] = clear
 
 
-def batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Smaller Arrow batches: whole texts may be long, and a batch is held in the Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
+def give_back() -> None:
+    """Freed memory goes back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batch_rows(spark: SparkSession) -> None:
+    """The session's Arrow batches get a size that suits whole texts; the same for every operator here, as frames run after
+    they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def bounded_rows(df: DataFrame, key: str, strata: list[str], bound: int, salt: int = 0) -> DataFrame:
-    """A deterministic sample of at most about ``bound`` rows of each stratum, chosen by the hash of
-    ``key``. Needs one count by stratum; rows then pass a filter, without a shuffle of their texts.
+def bounded_rows(rows: DataFrame, key: str, strata: list[str], bound: int, salt: int = 0) -> DataFrame:
+    """A deterministic sample of at most about ``bound`` of the rows of each stratum, chosen by the hash of ``key``; of rows
+    that are alike in key and stratum, one.
 
-    The number of strata must be small (labels, languages)."""
-    counts = df.groupBy(*strata).count().limit(10_000).collect()
+    ``rows`` are slim (key and strata alone go on). There may be any number of strata: their counts are joined, not listed.
+    The sample is a written table, so Spark knows its size when it plans a join with it."""
+    slim = rows.select(key, *strata).distinct()
     unit = (F.xxhash64(F.col(key), F.lit(salt)).cast("double") / F.lit(float(2**64))) + F.lit(0.5)
-    share: Column = F.lit(0.0)
-    for row in counts:
-        hit: Column = F.lit(True)
-        for name in strata:
-            hit = hit & F.col(name).eqNullSafe(F.lit(row[name]))
-        share = F.when(hit, F.lit(min(1.0, bound / max(1, row["count"])))).otherwise(share)
-    return df.where(unit < share)
+    if strata:
+        counts = slim.groupBy(*[F.col(s).alias(f"s{i}") for i, s in enumerate(strata)]).agg(F.count(F.lit(1)).alias("n_rows"))
+        same = F.lit(True)
+        for i, s in enumerate(strata):
+            same = same & F.col(s).eqNullSafe(F.col(f"s{i}"))
+        slim = slim.join(counts, same)
+    else:
+        slim = slim.withColumn("n_rows", slim.agg(F.count(F.lit(1))).scalar())
+    return materialize(slim.where(unit < F.lit(float(bound)) / F.col("n_rows")).select(key, *strata), "sample")

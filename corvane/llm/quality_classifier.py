@@ -5,8 +5,9 @@ Features are the hashed stems, punctuations, pairs of neighbouring stems (one fe
 repeats the one before) and of punctuations, each weighted by its share of the document's features. A score is
 one sparse dot product; documents are scored whole, where they are read, with no shuffle.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by the hash of doc_id; they are trained
-in one task, in an order that follows from doc_id alone, so a fit can be repeated.
+The model is fitted on about ``TRAIN_ROWS`` labelled documents at most, chosen by the hash of doc_id; they are trained
+in one task, in an order that follows from doc_id alone, so a fit can be repeated. Of documents that share a doc_id
+one is learned from.
 
 Defined results: a null or empty text has the bias alone; labels other than 0 and 1 or without a document
 are not learned from; with no labels at all each score is 0.5; a null doc_id is never held out and never
@@ -114,11 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     batch_rows(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint").alias("l_id"), F.col(label).cast("int").alias("label"))
     known = known.where("l_id is not null and label in (0, 1)").where(~held_out(F.col("l_id"), 5, 0))
-    known = bounded_rows(known, "l_id", [], train_rows)
+    sample = bounded_rows(known, "l_id", [], train_rows)
+    known = known.distinct().join(F.broadcast(sample), "l_id", "left_semi")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most about train_rows pairs of two numbers are broadcast
+    # at most about train_rows pairs of two numbers are broadcast, two of an id that has both labels
     rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
     rows = rows.mapInArrow(_featurize, "doc_id bigint, label int, idx binary, share binary")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("idx", "share")).alias("x")).select("doc_id", "label", "x.idx", "x.share")
     found = rows.repartition(1).mapInPandas(_fit_task, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

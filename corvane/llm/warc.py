@@ -134,7 +134,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> str:
-    batch_rows(pages.sparkSession, 256)
+    batch_rows(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     back = revisits(pages, min_bytes).select(F.col("page_id").alias("b_id"), F.col("sha1").alias("b_sha1"), "refers_to")
@@ -255,7 +255,7 @@ def _read_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row a page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    batch_rows(spark, 16)
+    batch_rows(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     parsed = files.mapInArrow(_parse, PARSED)
     whole = parsed.where("segment is null").mapInArrow(_whole, READ)
