@@ -3,8 +3,8 @@
 A task reads its documents in shards of bounded size, builds the index of each shard's words and
 searches all test phrases in it at once. The index's alphabet is the phrases' vocabulary; any other
 word is a separator, as no phrase can hold it. Occurrences are merged into removal spans. There is
-no shuffle; the phrases are broadcast in blocks of bounded size (``PHRASE_BYTES`` of benchmark text),
-and with more than one block the spans of a document are merged by its row.
+no shuffle; the phrases are broadcast in blocks of bounded size (``PHRASE_BYTES`` of benchmark text, held as flat
+arrays of about 60 bytes a word), and with more than one block the spans of a document are merged by its row.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; benchmark rows
 with a null text or without words have no window; benchmark rows with a null item_id are left out,
@@ -21,14 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from corvane.llm._common import batch_rows, hold, materialize
+from corvane.llm._common import as_row, batch_rows, fields, from_row, hold, materialize
 from corvane.llm.fm_index import FMIndex
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
-PHRASE_BYTES = 4 << 20
+SHARD_WORDS = 500_000
+PHRASE_BYTES = 2 << 20
 #: Hit words of a contaminated document, as a share of its words: one in this many.
 ONE_IN = 20
 
@@ -45,23 +44,38 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of the benchmark items, as right-aligned rows of word codes from 1."""
+    """Distinct windows of the benchmark items, as right-aligned rows of word codes from 1.
+
+    ``owners[owner_at[w] : owner_at[w + 1]]`` are the items (places in ``names``) that hold window ``w``."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.codes: dict[bytes, int] = {}
-        known: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({name for name, _ in items})
         index = {name: i for i, name in enumerate(self.names)}
+        blocks, held_by = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for name, text in items:
-            codes = [self.codes.setdefault(w, len(self.codes) + 1) for w in item_words(text)]
-            size = min(window, len(codes))
-            for k in range(len(codes) - size + 1 if codes else 0):
-                known.setdefault(tuple(codes[k : k + size]), set()).add(index[name])
-        self.lengths = np.fromiter(map(len, known), np.int64, len(known))
-        self.rows = np.zeros((len(known), window), np.int64)
-        for i, codes in enumerate(known):
-            self.rows[i, window - len(codes) :] = codes
-        self.owners = [np.fromiter(v, np.int64, len(v)) for v in known.values()]
+            words = item_words(text)
+            codes = np.fromiter((self.codes.setdefault(w, len(self.codes) + 1) for w in words), np.int32, len(words))
+            if len(codes) >= window:
+                rows = np.lib.stride_tricks.sliding_window_view(codes, window)
+            elif len(codes):
+                rows = np.append(np.zeros(window - len(codes), np.int32), codes)[None, :]
+            else:
+                continue
+            blocks.append(rows)
+            held_by.append(np.full(len(rows), index[name], np.int32))
+        # a row's bytes as one value: equal windows are neighbours once sorted
+        every = np.ascontiguousarray(np.concatenate(blocks))
+        same = np.unique(every.view(np.dtype((np.void, every.itemsize * window))).ravel(), return_index=True, return_inverse=True) if len(every) else None
+        first, which = (same[1], same[2].ravel()) if same else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.rows = every[first]
+        self.lengths = (self.rows > 0).sum(axis=1)
+        pairs = np.unique(which * max(1, len(self.names)) + np.concatenate(held_by))
+        self.owners = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.owner_at = np.searchsorted(pairs, np.arange(len(self.rows) + 1) * max(1, len(self.names)))
+
+    def owned_by(self, window: int) -> list[int]:
+        return self.owners[self.owner_at[window] : self.owner_at[window + 1]].tolist()
 
 
 def _search_shard(phrases: Phrases, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
@@ -108,13 +122,15 @@ def _search_shard(phrases: Phrases, docs: list[list[bytes]]) -> tuple[list[list[
     seen = np.unique(np.stack([doc_of[at], which]), axis=1)
     items: dict[int, set[int]] = {}
     for d, w in seen.T.tolist():
-        items.setdefault(d, set()).update(phrases.owners[w].tolist())
+        items.setdefault(d, set()).update(phrases.owned_by(w))
     for d, owned in items.items():
         names[d] = [phrases.names[i] for i in sorted(owned)]
     return spans, names
 
 
 def _find(phrases, shard_words: int, extra: list[str], cut: bool = False):
+    """Finds in shards; gives doc_id, the ``extra`` columns and what was found, or (``cut``) the texts without it."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("none", dict)
         held: list[pa.RecordBatch] = []
@@ -173,32 +189,34 @@ def find_contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     phrase_bytes: int = PHRASE_BYTES,
-    extra: tuple[str, ...] = (),
+    keep_row: bool = False,
 ) -> DataFrame:
-    """One row a document: doc_id, ``extra`` columns, n_words, merged removal spans (in words), items."""
+    """One row a document: doc_id, n_words, merged removal spans (in words), items; with ``keep_row`` also text and ``row``, a
+    struct of all its columns."""
     spark = docs.sparkSession
     batch_rows(spark)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in extra if c != "text"))
-    fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    kept = [c for c in extra if c != "doc_id"]
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("doc_id", *kept)) + FOUND.removeprefix("doc_id bigint")
+    kept = ["text", "row"] if keep_row else []
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([as_row(docs)] if keep_row else []))
+    found_fields = FOUND.removeprefix("doc_id bigint, ")
+    schema = fields(*[source.schema[c] for c in ("doc_id", *kept)], found_fields)
     n_blocks, blocks = _blocks(benchmark, phrase_bytes)
     if n_blocks > 1:
-        source = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        source = materialize(source.withColumn("nth", F.monotonically_increasing_id()), "numbered")
         parts = None
         for items in blocks:
             found = source.mapInArrow(
-                _find(spark.sparkContext.broadcast(Phrases(items, window)), shard_words, ["_row"]), FOUND.replace(",", ", _row bigint,", 1)
+                _find(spark.sparkContext.broadcast(Phrases(items, window)), shard_words, ["nth"]), FOUND.replace(",", ", nth bigint,", 1)
             ).where("size(spans) > 0")
-            found = materialize(found.select("_row", "spans", "items"), "found")
+            found = materialize(found.select("nth", "spans", "items"), "found")
             parts = found if parts is None else parts.unionByName(found)
         # at most one row a block and document
-        merged = parts.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("more"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = parts.groupBy("nth").agg(F.flatten(F.collect_list("spans")).alias("more"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         empty = spark.sparkContext.broadcast(Phrases([], window))
-        counted = source.mapInArrow(_find(empty, shard_words, ["_row", *kept]), schema.replace("`doc_id` bigint", "`doc_id` bigint, `_row` bigint", 1)).drop("spans", "items")
-        joined = counted.join(merged, "_row", "left")
+        numbered = fields(*[source.schema[c] for c in ("doc_id", "nth", *kept)], found_fields)
+        counted = source.mapInArrow(_find(empty, shard_words, ["nth", *kept]), numbered).drop("spans", "items")
+        joined = counted.join(merged, "nth", "left")
         spans = F.coalesce(_merge(F.col("more")), F.array().cast("array<struct<start:int,stop:int>>"))
-        return joined.withColumn("spans", spans).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_row", "more")
+        return joined.withColumn("spans", spans).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("nth", "more")
     phrases = spark.sparkContext.broadcast(Phrases(next(blocks), window))
     return source.mapInArrow(_find(phrases, shard_words, kept), schema)
 
@@ -253,23 +271,19 @@ def _cut_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def _reordered(schema: StructType) -> StructType:
-    """The schema with doc_id first, as _find puts it."""
-    return StructType(sorted(schema.fields, key=lambda f: f.name != "doc_id"))
-
-
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with all removal spans cut out of their texts; their other columns stay."""
-    names = docs.columns
+    """The documents with all removal spans cut out of their texts; their other columns stay, whatever their names."""
     n_blocks, blocks = _blocks(benchmark, PHRASE_BYTES)
     if n_blocks == 1:
         spark = docs.sparkSession
         batch_rows(spark)
         phrases = spark.sparkContext.broadcast(Phrases(next(blocks), window))
-        rows = docs.withColumn("text", F.col("text").cast("string"))
-        return rows.mapInArrow(_find(phrases, SHARD_WORDS, [c for c in names if c != "doc_id"], cut=True), _reordered(rows.schema)).select(*names)
-    found = find_contamination(docs, benchmark, window, extra=tuple(c for c in names if c != "doc_id"))
-    return found.mapInArrow(_cut_batches, found.schema).select(*names)
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), as_row(docs))
+        cut = rows.mapInArrow(_find(phrases, SHARD_WORDS, ["row"], cut=True), fields(rows.schema["doc_id"], rows.schema["row"], "text string"))
+    else:
+        found = find_contamination(docs, benchmark, window, keep_row=True)
+        cut = found.mapInArrow(_cut_batches, found.schema)
+    return from_row(cut, docs.columns, text=F.col("text"))
 
 
 __all__ = ["FMIndex", "Phrases", "contamination_report", "find_contamination", "item_words", "remove_contamination"]
