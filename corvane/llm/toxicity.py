@@ -5,14 +5,16 @@ with an embedding; a word is the average of its buckets' embeddings, a window of
 words', and a linear softmax over it gives the window's classes. A misspelling that was never seen shares most n-grams with its word. A
 token of more than 40 characters, as of text without white space, is read as overlapping pieces that each
 count as a word, so each of its n-grams is learned from and scored. A document's score is that of its most toxic window, so a few words count in a long text as in a short
-one. Labels are those of whole documents: training starts from all windows of toxic documents and then
-narrows them, round by round, to those that score highest; every window of a clean document stays clean.
+one. Labels are those of whole documents: the first round learns from all windows of a document, or ``DOC_WINDOWS`` random
+ones of a longer document; later rounds from those windows of a toxic document that score highest among all it has, and
+from the hardest of a clean one, which all stay clean.
 
-As the softmax is linear, an embedding's part in the score is one number; a word's sum is kept by
-each worker, and a window is a difference of prefix sums. Texts are scored whole, where they are read.
+As the softmax is linear, an embedding's part in the score is one number, a word's score their mean, and a window a
+difference of prefix sums. A batch of texts is scored at once: its distinct words' n-grams are hashed by numpy. Texts are
+scored whole, where they are read.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled documents of each class, chosen by the hash of doc_id,
-in one task, in an order that follows from doc_id alone.
+The model is fitted on about ``TRAIN_ROWS`` labelled documents of each class at most, chosen by the hash of doc_id,
+in one task, in an order that follows from doc_id alone. Of documents that share a doc_id one is learned from.
 
 Defined results: a null or empty text has the score of an empty window; labels other than 0 and 1 or
 without a document are not learned from; with only one class known each score is 0; a null doc_id is never held
@@ -21,12 +23,12 @@ out and never learned from; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +43,18 @@ TRAIN_ROWS = 2_500
 ROUNDS = 4
 #: One training document in this many is kept back from the embeddings, to fit slope and offset on.
 CALIBRATE = 5
-#: Windows of each clean training document that are learned from in a round, hardest first.
-CLEAN_WINDOWS = 16
-_WORD = re.compile(r"[^\W\d_]+(?:[^\w\s][^\W\d_]+)*")
-_MAX_CACHED = 500_000
+#: Windows of each training document that a round learns from at most: at random in the first round, later the hardest of a clean one.
+DOC_WINDOWS = 16
 #: A longer token is read as pieces of PIECE characters, which overlap by the longest n-gram.
 _LONGEST = 40
 PIECE = 12
 #: Stands where a piece goes on; no token has white space.
 _CUT = "\n"
 _EDGES = ".,;:!?%&$*#|<>()[]{}\"'-_"
-
-
-def _once(words: list[str]) -> list[str]:
-    return [w for w, before in zip(words, ["", *words], strict=False) if w != before]
+#: Words whose n-grams are hashed at once.
+_CHUNK = 1 << 15
+#: The 32-bit xxHash of short keys: fixed values.
+_P1, _P2, _P3, _P4, _P5 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
 
 
 def pieces_of(word: str) -> list[str]:
@@ -65,24 +65,112 @@ def pieces_of(word: str) -> list[str]:
     return [f"{_CUT if i else ''}{word[i : i + PIECE]}{_CUT if i + PIECE < len(word) else ''}" for i in starts]
 
 
+def _keep(which: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return which[kept], np.append(0, np.cumsum(kept))[offsets]
+
+
+def _once(which: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the words that repeat the one before in their text."""
+    if not len(which):
+        return which, offsets
+    new = np.append(True, which[1:] != which[:-1])
+    firsts = offsets[:-1]
+    new[firsts[firsts < len(which)]] = True
+    return _keep(which, offsets, new)
+
+
+def split_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, numbers of all texts' words, offsets of the texts in them).
+
+    Long words are in pieces; one that repeats the word before is left out, so no window is one word over and over."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = lists.flatten().dictionary_encode()
+    words, which = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    if "" in words:
+        which, offsets = _keep(which, offsets, which != words.index(""))
+    which, offsets = _once(which, offsets)
+    long = [i for i, w in enumerate(words) if len(w) > _LONGEST]
+    if long:
+        numbers = dict(zip(words, range(len(words)), strict=True))
+        starts, sizes = np.arange(len(words)), np.ones(len(words), np.int64)
+        places: list[int] = list(range(len(words)))
+        for i in long:
+            starts[i] = len(places)
+            places += [numbers.setdefault(p, len(numbers)) for p in pieces_of(words[i])]
+            sizes[i] = len(places) - starts[i]
+        n = sizes[which]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)
+        which, offsets = _once(np.array(places)[at], np.append(0, ends)[offsets])
+        words = ["" if len(w) > _LONGEST else w for w in words] + list(numbers)[len(words) :]
+    return words, which, offsets
+
+
 def words_of(text: str | None) -> list[str]:
-    """The text's words, long ones in pieces; one that repeats the word before is left out, so no window is one word over and over."""
-    words = _once(text.lower().split()) if text else []
-    if max(map(len, words), default=0) > _LONGEST:
-        words = _once([p for w in words for p in pieces_of(w)])
-    return words
+    """The text's words as they are scored."""
+    words, which, _ = split_texts(pa.array([text], pa.string()))
+    return [words[i] for i in which.tolist()]
+
+
+def _marked(word: str) -> str:
+    """The word with its edges marked, as far as they are its own; empty without a letter."""
+    word = word.strip(_EDGES)
+    if word.isalpha() or any(map(str.isalpha, word)):
+        return f"<{word}>".replace(f"<{_CUT}", "").replace(f"{_CUT}>", "") if _CUT in word else f"<{word}>"
+    return ""
 
 
 def buckets_of(word: str) -> np.ndarray:
     """Buckets of a word or piece: itself and its n-grams; without letters: none."""
-    word = word.strip(_EDGES)
-    if not any(c.isalpha() for c in word):
+    if not (marked := _marked(word)):
         return np.empty(0, np.int64)
-    marked = f"<{word}>".replace(f"<{_CUT}", "").replace(f"{_CUT}>", "")
     grams = [marked] + [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
     return np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.int64, len(grams)) % BUCKETS
 
 
+def _short_hashes(raw: np.ndarray, lanes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """32-bit xxHash of raw[s : s + size] for each start s; size is under 16."""
+    h = np.full(len(starts), _P5 + np.uint32(size), np.uint32)
+    for k in range(0, size - 3, 4):
+        h += lanes[starts + k] * _P3
+        h = ((h << np.uint32(17)) | (h >> np.uint32(15))) * _P4
+    for k in range(size - size % 4, size):
+        h += raw[starts + k].astype(np.uint32) * _P5
+        h = ((h << np.uint32(11)) | (h >> np.uint32(21))) * _P1
+    h = (h ^ (h >> np.uint32(15))) * _P2
+    h = (h ^ (h >> np.uint32(13))) * _P3
+    return h ^ (h >> np.uint32(16))
+
+
+def grams_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the word, bucket) of all that ``buckets_of`` gives for the words, in blocks."""
+    for base in range(0, len(words), _CHUNK):
+        marked = list(map(_marked, words[base : base + _CHUNK]))
+        owners = np.flatnonzero(np.fromiter(map(bool, marked), bool, len(marked)))
+        whole = np.fromiter((xxhash.xxh32_intdigest(m) for m in marked if m), np.int64, len(owners))
+        yield owners + base, whole % BUCKETS
+        raw = np.frombuffer("".join(marked).encode("utf-8", "surrogatepass") + b"\0\0\0", np.uint8)
+        b = raw.astype(np.uint32)
+        lanes = b[:-3] | (b[1:-2] << np.uint32(8)) | (b[2:-1] << np.uint32(16)) | (b[3:] << np.uint32(24))
+        chars = np.append(np.flatnonzero((raw[:-3] & 0xC0) != 0x80), len(raw) - 3)  # where characters start
+        owner = np.repeat(np.arange(len(marked)), np.fromiter(map(len, marked), np.int64, len(marked)))
+        for n in NGRAMS:
+            if len(owner) < n:
+                continue
+            at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
+            starts, sizes = chars[at], chars[at + n] - chars[at]
+            hashes = np.empty(len(at), np.int64)
+            for size in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == size)
+                if size < 16:
+                    hashes[some] = _short_hashes(raw, lanes, starts[some], size)
+                else:
+                    hashes[some] = [xxhash.xxh32_intdigest(raw[s : s + size].tobytes()) for s in starts[some].tolist()]
+            yield owner[at] + base, hashes % BUCKETS
+
+
 def window_sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the words' values, and of words with letters, over the windows of WINDOW words, STRIDE apart; the last may be shorter."""
     n = len(values)
@@ -92,16 +180,37 @@ def window_sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return v[stops] - v[starts], c[stops] - c[starts]
 
 
+def best_windows(texts: pa.Array, scalars: np.ndarray) -> np.ndarray:
+    """The largest mean over a window of each text, for bucket scores ``scalars``."""
+    words, which, offsets = split_texts(texts)
+    total, n_grams = np.zeros(len(words)), np.zeros(len(words), np.int64)
+    for owner, bucket in grams_of(words):
+        total += np.bincount(owner, weights=scalars[bucket], minlength=len(words))
+        n_grams += np.bincount(owner, minlength=len(words))
+    # whole numbers, so that a sum doesn't depend on what else is in the batch
+    means = np.round(total / np.maximum(n_grams, 1) * 2**30).astype(np.int64)
+    v = np.append(0, np.cumsum(means[which]))
+    c = np.append(0, np.cumsum(n_grams[which] > 0))
+    sizes = np.diff(offsets)
+    n = np.maximum(1, -(-(sizes - WINDOW + STRIDE) // STRIDE))
+    ends = np.cumsum(n)
+    starts = np.repeat(offsets[:-1], n) + STRIDE * (np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n))
+    stops = np.minimum(starts + WINDOW, np.repeat(offsets[1:], n))
+    scores = (v[stops] - v[starts]) / (np.maximum(c[stops] - c[starts], 1) * float(2**30))
+    return np.maximum.reduceat(scores, ends - n) if len(ends) else scores
+
+
 class Trainer:
     def __init__(self, texts: list[str | None], labels: np.ndarray, seed: int = 3):
         self.rng = np.random.default_rng(seed)
         self.labels = labels
-        vocabulary: dict[str, int] = {}
-        self.docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
-        bags = [buckets_of(w) for w in vocabulary] or [np.empty(0, np.int64)]
-        self.sizes = np.array([len(b) for b in bags], np.int64)
+        words, which, offsets = split_texts(pa.array(texts, pa.string()))
+        self.docs = [which[a:b].astype(np.int64) for a, b in zip(offsets, offsets[1:], strict=False)]
+        owners, buckets = zip((np.empty(0, np.int64),) * 2, *grams_of(words), strict=True)
+        owner, flat = np.concatenate(owners), np.concatenate(buckets)
+        self.sizes = np.bincount(owner, minlength=len(words))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate(bags)
+        self.flat = flat[np.argsort(owner, kind="stable")]
         self.emb = ((self.rng.random((BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
         self.out = np.zeros((WIDTH, 2), np.float32)
         self.emb_sq = np.full((BUCKETS, 1), 1e-6, np.float32)
@@ -175,11 +284,11 @@ class Trainer:
                     continue
                 if label and current:
                     best = np.flatnonzero(current[d] >= current[d].max() - (0.3 * abs(current[d].max()) if turn < 2 else 0.1 * abs(current[d].max())))[:6]
-                elif current and n > CLEAN_WINDOWS:
-                    hard = np.argsort(-current[d])[: CLEAN_WINDOWS // 2]
-                    best = np.union1d(hard, self.rng.choice(n, CLEAN_WINDOWS // 2, replace=False))
+                elif current and n > DOC_WINDOWS:
+                    hard = np.argsort(-current[d])[: DOC_WINDOWS // 2]
+                    best = np.union1d(hard, self.rng.choice(n, DOC_WINDOWS // 2, replace=False))
                 else:
-                    best = np.arange(n) if n <= CLEAN_WINDOWS else self.rng.choice(n, CLEAN_WINDOWS, replace=False)
+                    best = np.arange(n) if n <= DOC_WINDOWS else self.rng.choice(n, DOC_WINDOWS, replace=False)
                 windows += [(d, int(k)) for k in best]
                 targets += [label] * len(best)
                 weights += [1.0 / len(best) if label else 1.0 / np.sqrt(len(best))] * len(best)
@@ -223,37 +332,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows:
     known = bounded_rows(known, "l_id", ["label"], train_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most about 2 * train_rows pairs of two numbers are broadcast
-    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
+    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = rows.repartition(1).mapInPandas(_fit_task, "scalars binary, slope double, bias double").collect()
     return (np.frombuffer(found[0]["scalars"], np.float32), found[0]["slope"], found[0]["bias"]) if found else None
 
 
 def _score(model):
-    class Sums(dict):
-        def __missing__(self, word: str) -> complex:
-            if len(self) > _MAX_CACHED:
-                self.clear()
-            b = buckets_of(word)
-            value = complex(float(model.value[0][b].mean()), 1.0) if len(b) else 0j
-            if _CUT not in word:
-                self[word] = value
-            return value
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("none", dict)
-        sums = Sums()
         known = model.value
         for part in parts:
-            scores = []
-            for text in part.column("text").to_pylist():
-                if known is None:
-                    scores.append(0.0)
-                    continue
-                words = words_of(text)
-                both = np.fromiter(map(sums.__getitem__, words), np.complex128, len(words))
-                s, c = window_sums(both.real, both.imag)
-                best = float((s / np.maximum(c, 1)).max())
-                scores.append(1 / (1 + np.exp(-min(35.0, max(-35.0, known[1] * best + known[2])))))
+            logits = np.zeros(part.num_rows)
+            if known is not None:
+                logits = np.clip(known[1] * best_windows(part.column("text"), known[0]) + known[2], -35.0, 35.0)
+            scores = 1 / (1 + np.exp(-logits)) if known is not None else logits
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
