@@ -13,9 +13,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
 lines AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '\b[0-9]+\b', '0', 'g')) AS plain FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY source),
-over AS (SELECT l.source, plain, min(doc_id) AS first_id FROM lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, plain, texts
-  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > texts * 0.01),
+over AS (SELECT source, plain, min(doc_id) AS first_id FROM lines GROUP BY source, plain HAVING count(DISTINCT doc_id) > 20),
 gone AS (SELECT doc_id, sum(len(string_split(l.plain, ' '))) AS n FROM lines l JOIN over o ON o.source IS NOT DISTINCT FROM l.source AND o.plain = l.plain WHERE doc_id <> first_id GROUP BY doc_id),
 j AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -24,9 +22,6 @@ j AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= 50 * n_words AS kept FROM j"""
 
-#: The same by the count alone.
-OP7_COUNT = OP7.replace(" AND count(DISTINCT t) > texts * 0.01", "")
-
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),

@@ -1,19 +1,19 @@
 """Quality rules with DataFrame functions alone: per-document counts, and cross-document line frequency.
 
 Line frequency: each line with a word is normalised (lower case, numbers to 0, white space folded) and
-hashed to 128 bits. Per host, the distinct texts that hold a line are counted; a line above the limit is
-boilerplate of that host and is removed from every document but the lowest doc_id that has it. A
-document left with too few of its words is rejected. Equal texts count once, so a document is not
-rejected for having exact copies; duplicates are the next operator's task.
+hashed to 128 bits. Per host, the distinct documents that hold a line are counted; a line above the limit is
+boilerplate of that host and is removed. A document left with too few of its words is rejected. The lowest
+doc_id that has a line keeps it: without that, a text with more copies on a host than the limit would be lost
+with all its copies, and no later stage could keep one.
 
-Only (host, line hash, text hash) rows are shuffled, after the lines of a document are made distinct; the
-count is pre-aggregated, so a host with a third of all rows costs no more than others. Only lines over
-the limit are joined back.
+Lines are hashed once and kept as one row a document. Counting shuffles (host, hash) rows that are aggregated before,
+so a host with a third of all rows costs no more than others; only lines over the limit are joined back, and
+only for them are rows that share a doc_id told apart.
 
 Defined results: a null text has no words and no lines, is base_failed and not kept; a null source is a
-host of its own; rows with an equal doc_id are judged row by row, with the lines of all of them counted;
-a null doc_id never is the document in which a line stays; columns other than doc_id, text and source
-are not read.
+host of its own; rows with an equal doc_id are judged row by row and count as one document of a line;
+a row with a null doc_id is not counted and keeps no line over the limit; columns other than doc_id, text and
+source are not read, and ``clean`` returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import materialize
+from corvane.llm._common import as_row, from_row, materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
-#: A line is boilerplate if over this many of a host's distinct texts hold it, and over this share of them; without a
-#: share (None) the count alone decides, so that the limit doesn't rise with the host.
-LINE_TEXTS = 20
-LINE_SHARE = 0.01
+#: A line is boilerplate if over this many documents of a host hold it, however large the host.
+LINE_DOCS = 20
 #: A document with less than this percentage of its words left is depleted.
 LEFT_PERCENT = 50
 
@@ -112,40 +110,37 @@ def text_key() -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """Each line with a word: doc_id, t1 (hash of its text), host, pos, line_words, h1, h2."""
-    plain = F.regexp_replace(F.lower(F.col("line")), BLANKS, " ")
-    plain = F.trim(F.regexp_replace(plain, r"\b[0-9]+\b", "0"))
-    lines = docs.where("text is not null").select(
-        "doc_id", F.col("source").alias("host"), text_key().alias("t1"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
+    """doc_id, t1 (hash of its text), host and lines (place, words, h1, h2 of each line with a word) of every document."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]+", " "), r"\b[0-9]+\b", "0")
+    cut = F.transform(F.split(plain, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("x")))
+    lines = F.transform(
+        F.filter(cut, lambda s: s["x"] != ""),
+        lambda s: F.struct(
+            s["pos"].alias("pos"),
+            (F.length(s["x"]) - F.length(F.translate(s["x"], " ", "")) + 1).alias("words"),
+            F.xxhash64(s["x"]).alias("h1"),
+            F.xxhash64(F.lit(1), s["x"]).alias("h2"),
+        ),
     )
-    lines = lines.withColumn("plain", plain).where("plain <> ''")
-    words = F.size(F.split("plain", " ")).cast("bigint")
-    hashes = (F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"))
-    return lines.select("doc_id", "t1", "host", "pos", words.alias("line_words"), *hashes)
-
-
-def frequent_lines(docs: DataFrame, line_texts: int, line_share: float | None) -> DataFrame:
-    """host, h1, h2, first_id of the lines held by too many distinct texts of their host."""
-    held = line_rows(docs).groupBy("host", "h1", "h2", "t1").agg(F.min("doc_id").alias("first_id"))
-    held = held.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id"))
-    held = held.where(F.col("n") > line_texts).alias("l")
-    if line_share is None:
-        return held.select("host", "h1", "h2", "first_id")
-    hosts = docs.where("text is not null").groupBy(F.col("source").alias("host"), text_key().alias("t1")).agg(F.lit(1).alias("x"))
-    hosts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    over = held.join(hosts.alias("h"), F.expr("l.host <=> h.host")).where(F.col("n") > F.col("texts") * F.lit(line_share))
-    return over.select(F.col("l.host").alias("host"), "h1", "h2", "first_id")
-
-
-def removed_lines(docs: DataFrame, line_texts: int, line_share: float | None) -> DataFrame:
+    return docs.where("text is not null").select("doc_id", text_key().alias("t1"), F.col("source").alias("host"), lines.alias("lines"))
+
+
+def removed_lines(docs: DataFrame, line_docs: int) -> DataFrame:
     """doc_id, t1, removed_words, drop (places of the lines that go), for documents that lose a line.
 
     Keyed by doc_id and text, so rows that repeat a document count once."""
-    over = materialize(frequent_lines(docs, line_texts, line_share), "frequent_lines").alias("o")
-    lines = line_rows(docs).alias("l")
+    rows = materialize(line_rows(docs), "lines")
+    held = rows.where("doc_id is not null").select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"], x["h2"])))).alias("x"))
+    often = held.groupBy("host", "x.h1", "x.h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).drop("n")
+    often = materialize(often, "often").alias("o")
+    each = rows.select("doc_id", "t1", "host", F.explode("lines").alias("x")).select("doc_id", "t1", "host", "x.*").alias("l")
     same = F.expr("l.host <=> o.host AND l.h1 = o.h1 AND l.h2 = o.h2")
-    hits = lines.join(over, same).where("not (l.doc_id <=> o.first_id)").select("l.doc_id", "l.t1", "l.pos", "l.line_words").distinct()
-    return hits.groupBy("doc_id", "t1").agg(F.sum("line_words").alias("removed_words"), F.collect_list("pos").alias("drop"))
+    hits = materialize(each.join(often, same).select("l.*"), "hits")
+    # rows that share a doc_id were counted one by one so far
+    over = hits.groupBy("host", "h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_id"))
+    over = materialize(over.where(F.col("n") > line_docs).select("host", "h1", "h2", "first_id"), "over").alias("o")
+    gone = hits.alias("l").join(over, same).where("not (l.doc_id <=> o.first_id)").select("l.doc_id", "l.t1", "l.pos", "l.words").distinct()
+    return gone.groupBy("doc_id", "t1").agg(F.sum(F.col("words").cast("bigint")).alias("removed_words"), F.collect_list("pos").alias("drop"))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -162,22 +157,27 @@ def _left(left_percent: int) -> Column:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float | None = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, kept, removed_words."""
     docs = _source(docs)
-    removed = removed_lines(docs, line_texts, line_share).select(F.col("doc_id").alias("r_id"), F.col("t1").alias("r_t1"), "removed_words")
+    removed = removed_lines(docs, line_docs).select(F.col("doc_id").alias("r_id"), F.col("t1").alias("r_t1"), "removed_words")
     base = base_rules(docs.withColumn("t1", text_key())).select("doc_id", "t1", *COUNTS, "base_failed")
     joined = base.join(removed, F.expr("doc_id <=> r_id AND t1 = r_t1"), "left")
     words = F.coalesce("removed_words", F.lit(0).cast("bigint"))
     return joined.select("doc_id", *COUNTS, "base_failed", _left(left_percent).alias("kept"), words.alias("removed_words"))
 
 
-def clean(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float | None = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def clean(docs: DataFrame, line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The documents that stay, with their boilerplate lines removed; all columns of ``docs``."""
-    names = docs.columns
-    removed = removed_lines(_source(docs), line_texts, line_share)
-    removed = removed.select(F.col("doc_id").alias("_r_id"), F.col("t1").alias("_r_t1"), "removed_words", "drop")
-    judged = base_rules(docs.withColumn("_t1", text_key())).drop("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    joined = judged.join(removed, F.expr("doc_id <=> _r_id AND _t1 = _r_t1"), "left").where(_left(left_percent))
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    return joined.withColumn("text", F.when(F.col("drop").isNotNull(), rest).otherwise(F.col("text"))).select(*names)
+    removed = removed_lines(_source(docs), line_docs)
+    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("t1").alias("r_t1"), "removed_words", "drop")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), as_row(docs)).withColumn("t1", text_key())
+    judged = base_rules(rows).drop("word_chars", "n_symbols", "n_dup_lines")
+    joined = judged.join(removed, F.expr("doc_id <=> r_id AND t1 = r_t1"), "left").where(_left(left_percent))
+
+    def rest(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("drop").isNotNull(), let(F.split("text", "\n", -1), rest)).otherwise(F.col("text"))
+    return from_row(joined, docs.columns, text=text)

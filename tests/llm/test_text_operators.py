@@ -41,15 +41,18 @@ def test_line_frequency(spark):
     rows += [(100 + i, "Boiler plate line 1\n" + "\n".join(" ".join(f"{k}x{j}y" for j in range(9)) for k in "abcdefg"), "h") for i in range(3)]
     rows += [(200 + i, "\n".join(" ".join(f"{k}x{j}y" for j in range(9)) for k in "abcdefg") + f"\nx{i}", "h") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r for r in quality_rules.judge(df, line_texts=20, line_share=0.01).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(df, line_docs=20).collect()}
     assert all(got[i].kept and got[i].removed_words == (0 if i == 0 else 4) for i in range(60))
     # one of the documents made of common lines keeps them; the others are depleted
     assert [i for i in got if i >= 100 and got[i].kept] == [100]
-    cleaned = {r.doc_id: r.text for r in quality_rules.clean(df, 20, 0.01).collect()}
+    cleaned = {r.doc_id: r.text for r in quality_rules.clean(df, 20).collect()}
     assert "Boiler" in cleaned[0] and "Boiler" not in cleaned[1] and set(cleaned) == {*range(60), 100}
-    # exact copies count once
-    copies = spark.createDataFrame([(i, rows[0][1], "h") for i in range(50)], "doc_id bigint, text string, source string")
-    assert quality_rules.judge(copies, 20, 0.01).where("kept").count() == 50
+    # copies are documents too: over the limit the lowest stays, up to it all do, and rows that share a doc_id are one document
+    copies = [(i, rows[0][1], "h") for i in range(50)]
+    kind = "doc_id bigint, text string, source string"
+    assert [r.doc_id for r in quality_rules.judge(spark.createDataFrame(copies, kind), 20).where("kept").collect()] == [0]
+    assert quality_rules.judge(spark.createDataFrame(copies[:20], kind), 20).where("kept").count() == 20
+    assert quality_rules.judge(spark.createDataFrame([(7, *c[1:]) for c in copies] + copies[:19], kind), 20).where("kept").count() == 69
 
 
 def test_line_count_on_a_large_host(spark):
@@ -61,11 +64,10 @@ def test_line_count_on_a_large_host(spark):
     passage = "this passage stands in a few dozen documents"
     rows = [(i, " ".join(rng.choices(words, k=60)) + (f"\n{passage}" if i < 30 else ""), "hot") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r.removed_words for r in quality_rules.judge(df, line_share=None).where("removed_words > 0").collect()}
+    got = {r.doc_id: r.removed_words for r in quality_rules.judge(df).where("removed_words > 0").collect()}
     assert got == {i: 8 for i in range(1, 30)}
     staged = corpus_pipeline.quality_stage(spark, df, "")
     assert [r.doc_id for r in staged.where(F.col("text").contains(passage)).collect()] == [0] and staged.count() == 4000
-    assert quality_rules.judge(df).where("removed_words > 0").count() == 0  # the share of op7_line_frequency and its SQL
 
 
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (10, "short item"), (2, ""), (3, None), (None, "null item"), (4, "... !!"), (5, "short item")]
