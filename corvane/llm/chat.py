@@ -1,11 +1,15 @@
 """Chat formatting into windows of a token budget.
 
 Turns are put in order by one range partitioning on (conv_id, turn), so a conversation of any length may
-span tasks. Prefix sums of the turns' tokens, within each task and then over the tasks' totals, give each
-turn its window: the new turns of a window end in one stretch of ``stride`` tokens. A later window starts
-with the system turn and the last turns before it that fit ``history`` tokens; both are repeated without
-loss. The loss mask covers the text of each assistant turn in the one window where it is new. A window has
-at most system + history + 2 * stride tokens, unless one turn alone is longer than the stride.
+span tasks. A turn's tokens are counted as it is written, escaped and marked. Prefix sums of them, within each task
+and then over the tasks' totals, give each turn its place; the turns that begin in one stretch of ``stride`` tokens are
+a window's new turns, but the last of them is a window of its own if they have more than ``stride`` tokens with it. A later window
+starts with the system turn and with as many of the turns before it as fit ``history`` tokens, whole and without a gap; both are
+repeated without loss. The loss mask covers the text of each assistant turn in the one window where it is new.
+
+Budget: a window has at most system + history + stride tokens. Only where one new turn alone has more than
+history + stride is it longer, and then it repeats the system turn alone. (A new turn of more than ``stride`` tokens takes what it
+needs from its window's history.)
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In roles and texts a backslash is doubled and
 ``<|`` becomes ``<\\|`` (in roles a line break becomes ``\\n``), so control strings in them are never read as marks
@@ -24,15 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._common import batch_rows, materialize, scratch_path
-from corvane.llm.tokens import encoder
+from corvane.llm.tokens import encoder, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens that the template adds to a turn, at most.
-MARK_TOKENS = 16
 STRIDE, HISTORY = 1024, 512
 
 WINDOWS = "conv_id bigint, window bigint, formatted string, n_repeated int, loss array<struct<start:int,stop:int>>"
@@ -55,12 +57,24 @@ def unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+def turn_text() -> Column:
+    """A turn as it is written: ``escape``, ``escape_role`` and the marks as expressions."""
+    escaped = lambda c: F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    role = F.replace(escaped("role"), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit(START), role, F.lit("\n"), escaped("text"), F.lit(END + "\n"))
+
+
 def _count_tokens(path: str):
+    """Tokens of the ``formatted`` turns. No token spans two turns: one ends with a line break, the next starts with a mark."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for part in parts:
-            rows = enc.encode(part.column("text"))[1]
-            yield part.append_column("tokens", pa.array(np.diff(rows) + MARK_TOKENS))
+            formatted = part.column("formatted")
+            for lo, hi in slices(formatted):
+                rows = enc.encode(formatted.slice(lo, hi - lo))[1]
+                kept = [part.column(c).slice(lo, hi - lo) for c in ("conv_id", "turn", "role", "text")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(rows))], names=["conv_id", "turn", "role", "text", "tokens"])
 
     return run
 
@@ -90,39 +104,45 @@ def _format(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_windows(conversations: DataFrame, tokenizer: str, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
     """conv_id, window, formatted, n_repeated (turns at its start without loss), loss (spans of code points)."""
-    spark = conversations.sparkSession
-    batch_rows(spark, 1024)
+    batch_rows(conversations.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
-    ordered = turns.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = turns.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("formatted", turn_text())
     ordered = ordered.mapInArrow(_count_tokens(tokenizer), "conv_id bigint, turn bigint, role string, text string, tokens bigint")
     # ids rise with the partition and then the row, which is the order of the whole table
     ordered = materialize(ordered.withColumn("seq", F.monotonically_increasing_id()), "ordered")
 
     slim = ordered.select("conv_id", "seq", F.shiftright("seq", 33).alias("part"), "tokens", (F.col("role") == "system").alias("system"))
     local = Window.partitionBy("part", "conv_id").orderBy("seq")
-    slim = slim.withColumn("end", F.sum("tokens").over(local)).withColumn("nth", F.row_number().over(local))
-    parts = ordered.groupBy("conv_id", F.shiftright("seq", 33).alias("part")).agg(F.sum("tokens").alias("total"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = slim.join(parts, F.expr("part = p AND conv_id <=> c")).withColumn("end", F.col("base") + F.col("end"))
-    placed = placed.select(
-        "conv_id",
-        "seq",
-        "end",
-        (F.col("end") - F.col("tokens")).alias("begin"),
-        F.floor((F.col("end") - 1) / stride).alias("window"),
-        (F.col("system") & (F.col("nth") == 1) & (F.col("base") == 0)).alias("system"),
-    )
-    placed = materialize(placed, "placed")
-
-    windows = placed.groupBy("conv_id", "window").agg(F.min("begin").alias("w_begin")).where("w_begin > 0")
-    windows = materialize(windows.withColumn("prior", F.floor((F.col("w_begin") - 1) / stride)), "later_windows")
-    w = windows.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "w_begin", "prior")
-    past = placed.join(w, F.expr("conv_id <=> c AND window = prior")).where((F.col("end") > F.col("w_begin") - history) & ~F.col("system"))
-    past = past.select("conv_id", F.col("w").alias("window"), "seq", F.lit(1).alias("kind"))
-    systems = placed.where("system").join(w, F.expr("conv_id <=> c")).select("conv_id", F.col("w").alias("window"), "seq", F.lit(0).alias("kind"))
-    new = placed.select("conv_id", "window", "seq", F.lit(2).alias("kind"))
+    slim = slim.withColumn("end", F.sum("tokens").over(local))
+    parts = slim.groupBy("conv_id", "part").agg(F.sum("tokens").alias("total"), F.min_by(F.struct("seq", "system"), "seq").alias("first"))
+    rows = Window.partitionBy("conv_id").orderBy("part")  # a row for each task that has turns of the conversation
+    base = F.coalesce(F.sum("total").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("first").over(rows)
+    system_seq = F.when(first["system"], first["seq"]).alias("system_seq")
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), base.alias("base"), system_seq)
+    placed = slim.join(parts, F.expr("part = p AND conv_id <=> c"))
+    end = F.col("base") + F.col("end")
+    placed = placed.select("conv_id", "seq", "system_seq", (end - F.col("tokens")).alias("begin"), end.alias("end"))
+    placed = materialize(placed.withColumn("stretch", F.floor(F.col("begin") / stride)), "placed")
+
+    # the last turn to begin in a stretch is a window of its own if all that begin there are too long
+    cut = placed.groupBy("conv_id", "stretch").agg(F.min("begin").alias("w_begin"), F.max("end").alias("w_end"), F.max("begin").alias("last"), F.max("system_seq").alias("system_seq"))
+    cut = cut.withColumn("alone", (F.col("w_end") - F.col("w_begin") > stride) & (F.col("last") > F.col("w_begin")))
+    cut = materialize(cut, "stretches")
+    even = F.struct((2 * F.col("stretch")).alias("window"), F.col("w_begin").alias("begin"), F.when(F.col("alone"), F.col("last")).otherwise(F.col("w_end")).alias("end"))
+    odd = F.struct((2 * F.col("stretch") + 1).alias("window"), F.col("last").alias("begin"), F.col("w_end").alias("end"))
+    windows = cut.select(F.col("conv_id").alias("c"), "system_seq", F.explode(F.when(F.col("alone"), F.array(even, odd)).otherwise(F.array(even))).alias("w"))
+    later = windows.select("c", "system_seq", "w.window", F.col("w.begin").alias("w_begin"), (F.col("w.end") - F.col("w.begin")).alias("fresh")).where("w_begin > 0")
+    # earlier turns from here on fit the history; they begin in a bounded number of stretches
+    room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(history + stride) - F.col("fresh")))
+    later = later.withColumn("from", F.greatest(F.lit(0), F.col("w_begin") - room))
+    spread = later.where(F.col("from") < F.col("w_begin")).withColumn("s", F.explode(F.sequence(F.floor(F.col("from") / stride), F.floor((F.col("w_begin") - 1) / stride))))
+    past = placed.join(spread.drop("system_seq"), F.expr("conv_id <=> c AND stretch = s AND begin >= from AND begin < w_begin"))
+    past = past.where("not (seq <=> system_seq)").select("conv_id", "window", "seq", F.lit(1).alias("kind"))
+    systems = later.where("system_seq is not null").select(F.col("c").alias("conv_id"), "window", F.col("system_seq").alias("seq"), F.lit(0).alias("kind"))
+    new = placed.join(cut.where("alone").select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.col("last").alias("l")), F.expr("conv_id <=> c AND stretch = s"), "left")
+    new = new.select("conv_id", (2 * F.col("stretch") + F.coalesce((F.col("begin") == F.col("l")).cast("int"), F.lit(0))).alias("window"), "seq", F.lit(2).alias("kind"))
     rows = new.unionByName(past).unionByName(systems).join(ordered.select("seq", "role", "text"), "seq")
     # a group is one window, so its size is bounded by the budget
     turns = F.array_sort(F.collect_list(F.struct("kind", "seq", "role", "text"))).alias("turns")
