@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import materialize
+from corvane.llm._common import delete, materialize, scratch_path
 
 MAX_ROUNDS = 60
 
@@ -24,9 +24,13 @@ def _sum_of(edges: DataFrame) -> tuple[int, int]:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u, v) reaches."""
-    e = materialize(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    spark = edges.sparkSession
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "edges")
+        return materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path), path
+
+    e, path = written(edges.where("u <> v"))
     state = _sum_of(e)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
@@ -39,9 +43,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(small_min.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = materialize(
-            small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-        )
+        before = path
+        e, path = written(small)
+        delete(spark, before)
         now = _sum_of(e)
         if now == state:
             break

@@ -6,8 +6,10 @@
    document goes on to the child named by its own token's value. Nodes of up to ``NODE_LIMIT``
    documents are compared exhaustively by their token sketches; larger ones branch again. All
    levels are DataFrame steps over (path, class) rows: no node is gathered in one task.
-   A pair of similarity s stays together at a level with 1 - (1 - s)^BRANCH, so at 0.85 the trees
-   miss a pair with probability below 1e-6, at 0.8 below 1e-5.
+   A pair of similarity s stays together at a level with 1 - (1 - s)^BRANCH. If it has to at all MAX_DEPTH levels, the
+   trees miss a pair at the threshold with probability 1.7e-7 at 0.85 and 4.9e-6 at 0.8, at three levels 1e-8 and 3.2e-7.
+   Sketches that disagree too often rule a pair out in any tree: at the threshold with probability 1.5e-7 at
+   0.85 and 8e-8 at 0.8 (binomial). Pairs above the threshold are missed less often.
    A node of which most selected tokens leave half its documents in one child can't well be parted (a
    crowd of near copies); it is dealt out as pairs of blocks of ``CROWD_BLOCK`` sketches, and each task returns
    a spanning forest of the sketches that agree.
@@ -36,12 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, materialize
+from corvane.llm._common import as_row, batch_rows, from_row, materialize, scratch_path, scratch_scope
 from corvane.llm.components import connected_components
 from corvane.llm.words import hold_words, shingle_set
 
 WIDTH = 64
-TREES = 3
+TREES = 4
 BRANCH = 3
 NODE_LIMIT = 32
 MAX_DEPTH = 6
@@ -49,7 +51,7 @@ MAX_DEPTH = 6
 DENSE = 0.5
 CROWD_BLOCK = 1024
 #: Sketches must agree in this many places less than expected at the threshold, in standard deviations.
-SLACK = 4.3
+SLACK = 5.5
 BLOCK = 768
 BLOCK_BYTES = 24 << 20
 #: The filter of candidate members that each task holds has at most this many bits (8 MB).
@@ -388,9 +390,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select("k1", "k2", F.col("x.doc_id").alias("cid"), "x.sig"),
         "classes",
     )
-    candidates = connected_components(_candidates(classes, percent / 100))
-    groups = materialize(candidates.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
-    found = connected_components(_confirmed(docs, groups, width, percent))
+    at = {name: scratch_path(spark, name) for name in ("groups", "linked")}
+    with scratch_scope(spark):
+        candidates = connected_components(_candidates(classes, percent / 100))
+        groups = materialize(candidates.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups", at["groups"])
+    with scratch_scope(spark):
+        found = materialize(connected_components(_confirmed(docs, groups, width, percent)), "linked", at["linked"])
     by_class = classes.select("k1", "k2", "cid").join(found, F.col("cid") == F.col("node"), "left")
     by_class = materialize(by_class.select("k1", "k2", F.coalesce("component", "cid").alias("of_class")), "class_components")
     linked = F.col("n_shingles") > 0
@@ -399,3 +404,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group of near duplicates, all columns whatever their names.
+
+    Here a document is a doc_id and a text: rows that share a doc_id, or have none, are documents of their own if their
+    texts differ, and stay unless they are near duplicates; of rows alike in both, one stays. A null text, or one without
+    words, is linked with nothing. Only ids and hashes are compared for that; texts are moved once, to be
+    joined with the ids that stay."""
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), as_row(docs))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    keys = materialize(rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "keys")
+    several = keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("s_id"), F.lit(True).alias("several"))
+    several = materialize(several, "several")
+    again = materialize(keys.where("n > 1").select(F.col("doc_id").alias("a_id"), F.col("h1").alias("a1"), F.col("h2").alias("a2")), "again")
+    if not again.isEmpty():
+        same = F.expr("doc_id <=> a_id AND h1 = a1 AND h2 = a2")
+        first = rows.join(again, same, "left_semi").groupBy("doc_id", "h1", "h2").agg(F.first("text").alias("text"), F.first("row").alias("row"))
+        rows = rows.join(again, same, "left_anti").unionByName(first)
+    # documents whose id isn't theirs alone get numbers above all others
+    other = F.xxhash64("doc_id", "h1", "h2").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.join(several, F.expr("doc_id <=> s_id"), "left").withColumn("own_id", F.when(F.col("several"), other).otherwise(F.col("doc_id")))
+    found = near_duplicates(rows.select(F.col("own_id").alias("doc_id"), "text"), width, percent)
+    kept = materialize(found.where("kept").select(F.col("doc_id").alias("own_id")).distinct(), "kept")
+    return from_row(rows.join(kept, "own_id", "left_semi"), names)
