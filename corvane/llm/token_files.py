@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from corvane.llm._common import batch_rows, scratch_path
 from corvane.llm.tokens import encoder, slices, with_end
 
+#: The encoder's cache in a worker: nothing else here needs memory, and words that come again are not encoded again.
+CACHE_BYTES = 176 << 20
 FILE_SCHEMA = "doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 
 
 def _encode_partition(path: str, end_id: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, start = encoder(path), 0
+        enc, start = encoder(path, CACHE_BYTES), 0
         for part in parts:
             texts, doc_ids = part.column("text"), part.column("doc_id")
             for lo, hi in slices(texts):

@@ -22,8 +22,8 @@ from corvane.llm._common import hold
 
 #: Longer chunks are not kept.
 MAX_CACHED_CHARS = 48
-#: What the kept chunks and their ids may take in a worker, by the sizes of the objects.
-MAX_CACHE_BYTES = 72 << 20
+#: What the kept chunks and their ids may take in a worker, by the sizes of the objects, unless the operator says otherwise.
+MAX_CACHE_BYTES = 64 << 20
 #: A string or bytes object's own size, twice, and a place in the table.
 _ENTRY_BYTES = 49 + 33 + 104
 #: Chunks that one call encodes, parted by a special token.
@@ -41,7 +41,8 @@ def tokenizer_path(name: str) -> str:
 class ChunkEncoder:
     """encode(texts) -> ids of all texts in one array, and where each text's ids start and end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        self.cache_bytes = cache_bytes or MAX_CACHE_BYTES
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class ChunkEncoder:
                 yield from (raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:], strict=False))
 
     def _ids_of(self, chunks: list[str], spaced: bool) -> list[bytes]:
-        if self.cached_bytes > MAX_CACHE_BYTES:
+        if self.cached_bytes > self.cache_bytes:
             self._shrink()
         cache = self.spaced if spaced else self.bare
         ids = list(map(cache.get, chunks))
@@ -90,16 +91,16 @@ class ChunkEncoder:
             missing = [chunks[i] for i in at]
             for i, c, x in zip(at, missing, self._encode_all(missing, spaced), strict=True):
                 ids[i] = x
-                if len(c) <= MAX_CACHED_CHARS and self.cached_bytes <= MAX_CACHE_BYTES:
+                if len(c) <= MAX_CACHED_CHARS and self.cached_bytes <= self.cache_bytes:
                     cache[c] = x
                     self.cached_bytes += _ENTRY_BYTES + len(c) + len(x)
         return ids
 
     def _shrink(self) -> None:
-        """Chunks that came first are the common ones; the last third goes."""
+        """Chunks that came first are the common ones; the last third goes. They are the shorter ones too, so a share by
+        number is more than what they take."""
         self.spaced, self.bare = (dict(islice(x.items(), len(x) * 2 // 3)) for x in (self.spaced, self.bare))
-        both = (x for cache in (self.spaced, self.bare) for x in cache.items())
-        self.cached_bytes = sum(_ENTRY_BYTES + len(c) + len(x) for c, x in both)
+        self.cached_bytes = self.cached_bytes * 2 // 3
 
     def _odd(self, texts: pa.StringArray) -> pa.BooleanArray:
         """Texts that are encoded whole."""
@@ -159,11 +160,12 @@ class ChunkEncoder:
         return ids, rows
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_bytes: int | None = None) -> ChunkEncoder:
     """One encoder for each Python worker; workers are reused, and so is the cache."""
     hold("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].cache_bytes = cache_bytes or MAX_CACHE_BYTES
     return _ENCODERS[path]
 
 
@@ -184,7 +186,7 @@ def _drops_space(path: str) -> bool:
     raise ValueError(f"{path}: its pre-tokenizer is neither byte-level nor a pattern that drops white space")
 
 
-def slices(texts: pa.Array, limit_bytes: int = 6 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length (at least one row each)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
