@@ -1,12 +1,10 @@
-"""Shared pieces of the corpus operators: scratch tables, splits, bounded samples, worker caches."""
+"""Shared pieces of the corpus operators: splits, bounded samples, worker caches, columns put away."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,75 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-_FALLBACK: dict[str, str] = {}
-#: Folders of the scopes that are open, innermost last; below them the session's own folder.
-_SCOPES: list[str] = []
-_SESSIONS: dict[str, str] = {}
+from corvane.scratch import delete, materialize, scratch_path, scratch_root, scratch_scope
+
+__all__ = [
+    "LOWER_ASCII", "as_row", "batch_rows", "batches", "bounded_rows", "delete", "fields", "from_row", "give_back", "held_out", "hold", "materialize",
+    "remainder", "scratch_path", "scratch_root", "scratch_scope", "table",
+]
 
 #: ASCII A-Z to a-z; every other byte stays.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Arrow batches of all operators here: whole texts may be long, and a batch is held in the Python worker.
-BATCH_ROWS, BATCH_BYTES = 4096, 12 << 20
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or a temporary folder where
-    that is unset (single-machine sessions such as the tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "root" not in _FALLBACK:
-        _FALLBACK["root"] = tempfile.mkdtemp(prefix="corvane-")
-    return _FALLBACK["root"]
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    files, at = _file_system(spark, path)
-    files.delete(at, True)
-
-
-def _session_folder(spark: SparkSession) -> str:
-    """The session's folder; the driver's JVM deletes it as it ends."""
-    key = f"{scratch_root(spark)}/corvane/{spark.sparkContext.applicationId}"
-    if key not in _SESSIONS:
-        _SESSIONS[key] = f"{key}-{uuid.uuid4().hex}"
-        files, at = _file_system(spark, _SESSIONS[key])
-        files.mkdirs(at)
-        files.deleteOnExit(at)
-    return _SESSIONS[key]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_SCOPES[-1] if _SCOPES else _session_folder(spark)}/{uuid.uuid4().hex}/{name}"
-
-
-@contextlib.contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside are deleted at its end: what is kept must be written elsewhere before."""
-    folder = scratch_path(spark, "scope")
-    _SCOPES.append(folder)
-    try:
-        yield
-    finally:
-        _SCOPES.remove(folder)
-        delete(spark, folder)
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and return the reread table: lineage is cut, and
-    what is read later survives the loss of any executor."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +80,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; a batch's memory goes back to the system once it is done."""
+    for part in parts:
+        yield part
+        del part
+        pa.default_memory_pool().release_unused()
+
+
 def batch_rows(spark: SparkSession) -> None:
     """The session's Arrow batches get a size that suits whole texts; the same for every operator here, as frames run after
     they are made."""

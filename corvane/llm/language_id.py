@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import as_row, batch_rows, bounded_rows, fields, from_row, held_out, hold, materialize
+from corvane.llm._common import as_row, batch_rows, batches, bounded_rows, fields, from_row, held_out, hold, materialize
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -155,7 +155,7 @@ def _sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         sums.clear()
 
-    for part in parts:
+    for part in batches(parts):
         texts, langs = part.column("text").to_pylist(), part.column("lang").to_pylist()
         for lo, hi in _batches(texts):
             vectors = enc.bundle([t or "" for t in texts[lo:hi]])
@@ -170,7 +170,7 @@ def _sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each language's sums as a unit vector."""
-    for part in parts:
+    for part in batches(parts):
         langs, vectors = [], []
         for lang, places, values in zip(*[part.column(c).to_pylist() for c in ("lang", "dims", "vals")], strict=True):
             v = np.zeros(DIMENSIONS)
@@ -219,7 +219,7 @@ def _predict(block, carried: list[str], again: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = block.value
         enc = encoder()
-        for part in parts:
+        for part in batches(parts):
             texts = part.column("text").to_pylist()
             names: list[str] = []
             scores: list[float] = []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, materialize
+from corvane.llm._common import batch_rows, batches, materialize
 from corvane.llm.tokens import encoder, slices, with_end
 
 #: Pieces or bins that a task packs at once.
@@ -92,7 +92,7 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
         enc = encoder(tokenizer)
         rows: list[tuple] = []
         base, used = _bin_base(0), 0
-        for part in parts:
+        for part in batches(parts):
             texts, doc_ids = part.column("text"), part.column("doc_id").to_pylist()
             for lo, hi in slices(texts):
                 ids, ends = with_end(*enc.encode(texts.slice(lo, hi - lo)), end_id)
@@ -103,7 +103,6 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
                         row = (doc, k, a - first, b - a, zlib.crc32(raw[4 * a : 4 * b]))
                         rows.append((*row, ids[a:b].view("<i4")) if with_ids else row)
                 del raw, ids, ends
-                pa.default_memory_pool().release_unused()
                 if len(rows) >= (group_items // 16 if with_ids else group_items):
                     batch, used = packed(rows, base, used)
                     yield batch

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import LOWER_ASCII, batch_rows, bounded_rows, held_out, hold
+from corvane.llm._common import LOWER_ASCII, batch_rows, batches, bounded_rows, held_out, hold
 from corvane.llm.words import mix
 
 BITS = 20
@@ -88,7 +88,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs
 
 
 def _featurize(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in batches(parts):
         idx, share = [], []
         for text in part.column("text").to_pylist():
             found, counts = np.unique(features(text), return_counts=True)
@@ -130,7 +130,7 @@ def _score(weights):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("stems", _STEMS.clear)
         w = weights.value
-        for part in parts:
+        for part in batches(parts):
             scores = []
             for text in part.column("text").to_pylist():
                 idx = features(text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, bounded_rows, held_out, hold
+from corvane.llm._common import batch_rows, batches, bounded_rows, held_out, hold
 
 BUCKETS = 1 << 17
 WIDTH = 16
@@ -341,7 +341,7 @@ def _score(model):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("none", dict)
         known = model.value
-        for part in parts:
+        for part in batches(parts):
             logits = np.zeros(part.num_rows)
             if known is not None:
                 logits = np.clip(known[1] * best_windows(part.column("text"), known[0]) + known[2], -35.0, 35.0)
