@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import as_row, batch_rows, from_row, materialize, scratch_path, scratch_scope
+from corvane.llm._common import as_row, batch_rows, batches, from_row, materialize, scratch_path, scratch_scope
 from corvane.llm.components import connected_components
 from corvane.llm.words import hold_words, shingle_set
 
@@ -79,7 +79,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 def _sign(width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_words()
-        for part in parts:
+        for part in batches(parts):
             sizes, k1, k2, sigs = [], [], [], []
             for text in part.column("text").to_pylist():
                 s = shingle_set(text, width)
@@ -341,7 +341,7 @@ def _member_sets(width: int, bloom):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_words()
         words = bloom.value
-        for part in parts:
+        for part in batches(parts):
             hit = np.ones(part.num_rows, bool)
             for k in range(BLOOM_HASHES):
                 p = part.column(f"p{k}").to_numpy(zero_copy_only=False)
@@ -429,4 +429,5 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = rows.join(several, F.expr("doc_id <=> s_id"), "left").withColumn("own_id", F.when(F.col("several"), other).otherwise(F.col("doc_id")))
     found = near_duplicates(rows.select(F.col("own_id").alias("doc_id"), "text"), width, percent)
     kept = materialize(found.where("kept").select(F.col("doc_id").alias("own_id")).distinct(), "kept")
-    return from_row(rows.join(kept, "own_id", "left_semi"), names)
+    # one plan at every size: ids of what stays are hashed in each task, texts are not sorted
+    return from_row(rows.join(kept.hint("shuffle_hash"), "own_id", "left_semi"), names)
