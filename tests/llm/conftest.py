@@ -46,6 +46,10 @@ def odd_frame(spark, odd_docs):
     """The same with columns whose names clash with those the operators use."""
     kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, score double, cid string, path int, sig binary, t1 int, host string, _row int, ids array<int>, fill int, grp int"
     extra = ("x", 0.5, "c", 1, b"s", 2, "h", 3, [1], 4, 5)
+    more = """lang_pred lang_score word_chars n_symbols n_dup_lines n_repeat_words n_words base_failed kept _words _t1 _r_id drop removed_words _nth
+        row own_id h1 h2 several again component_id k1 n lines often over first_id bin parent shift spans items nth predicted held_out a.b""".split()
+    kind += ", " + ", ".join(f"`{m}` string" for m in more)
+    extra += tuple(f"of {m}" for m in more)
     return spark.createDataFrame([(*r, len(r[1] or ""), *extra) for r in odd_docs], kind)
 
 

@@ -1,9 +1,11 @@
 import gzip
+import random
 
 import brute
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from corvane.llm import chat, warc
 from corvane.llm.tokens import tokenizer_path
@@ -38,6 +40,57 @@ def test_windows(spark, stride, history):
     assert chat.chat_digest(df.where("false"), TOKENIZER).count() == 0
 
 
+def plain_windows(sizes, systems, stride, history):
+    """(new turns, repeated turns, system repeated) of each window of a conversation, by a loop over its turns."""
+    begins = [sum(sizes[:i]) for i in range(len(sizes))]
+    groups, out = {}, []
+    for i, b in enumerate(begins):
+        groups.setdefault(b // stride, []).append(i)
+    for _, g in sorted(groups.items()):
+        split = len(g) > 1 and sum(sizes[i] for i in g) > stride
+        for new in [g[:-1], g[-1:]] if split else [g]:
+            room, past = min(history, max(0, history + stride - sum(sizes[i] for i in new))), []
+            for i in range(new[0] - 1, -1, -1):
+                if systems and i == 0 or sum(sizes[j] for j in past) + sizes[i] > room:
+                    break
+                past.insert(0, i)
+            out.append((new, past, systems and new[0] > 0))
+    return out
+
+
+@pytest.mark.parametrize("stride, history", [(1024, 512), (60, 40), (50, 120), (20, 0)])
+def test_budget_and_history(spark, stride, history):
+    """No window is longer than documented, counted on what is written, and its history is the longest that fits."""
+    rng, tokenizer = random.Random(stride), Tokenizer.from_file(TOKENIZER)
+    text = lambda n: " ".join(rng.choice(["the", "of", "<|", "\\", "\n", "é", "word"]) for _ in range(n))
+    turns = []
+    for conv in range(12):
+        n = 0
+        if conv % 3:
+            turns.append((conv, n, "system", text(rng.randint(0, stride // 3))))
+        for n in range(1, 40):
+            size = rng.choice([0, 1, 5, stride // 8, stride // 2, stride, 2 * stride, 3 * stride] if conv % 2 else [5, 7, stride // 9])
+            turns.append((conv, n, rng.choice(["user", "assistant", "a<|b\n"]), text(size)))
+    turns += [(50, i, "user", "x " * k) for i, k in enumerate([513, 512, 1024, 1024, 1023])] + [(51, i, "user", "<|" * 450) for i in range(9)]
+    turns += [(52, i, "user", "w " * (1030 if i == 12 else 90)) for i in range(13)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    rows = chat.format_windows(df, TOKENIZER, stride, history).orderBy("conv_id", "window").collect()
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    written = lambda r, t: f"{chat.START}{chat.escape_role(r)}\n{chat.escape(t)}{chat.END}\n"
+    for conv in sorted({t[0] for t in turns}):
+        own = [t[2:] for t in turns if t[0] == conv]
+        sizes, systems = [count(written(*t)) for t in own], own[0][0] == "system"
+        want = plain_windows(sizes, systems, stride, history)
+        got = [r for r in rows if r.conv_id == conv]
+        assert len(got) == len(want)
+        for r, (new, past, with_system) in zip(got, want, strict=True):
+            assert chat.parse(r.formatted) == [own[i] for i in ([0] if with_system else []) + past + new]
+            assert r.n_repeated == with_system + len(past)
+            system, fresh = sizes[0] if with_system else 0, sum(sizes[i] for i in new)
+            assert count(r.formatted) <= system + (history + stride if len(new) > 1 else max(history + stride, fresh))
+        assert [i for new, _, _ in want for i in new] == list(range(len(own)))
+
+
 def test_archives(spark, tmp_path):
     long = "".join(chr(0x4E00 + i % 5000) for i in range(60_000))
     pages = [(1, "same"), (2, "same"), (3, "same"), (4, None), (5, ""), (6, long), (7, long), (8, "a\r\n\r\nb\r\nWARC/1.1\r\n"), (None, "same"), (None, "lonely"), (9, "twice"), (9, "twice"), (9, "other")]

@@ -1,8 +1,14 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, quality_classifier, toxicity
+from corvane.llm._common import bounded_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -83,6 +89,138 @@ def test_scores_do_not_read_other_columns(spark, tables):
     assert score(part) == score(changed)
 
 
+MASK = 2**64 - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & MASK
+    return x ^ (x >> 29)
+
+
+def plain_features(text):
+    """Counts of the quality classifier's hashed features, by a loop over the words."""
+    found, stems, tails = Counter(), [], []
+    for w in (text or "").encode().split():
+        stem = w.rstrip(quality_classifier._CLOSING)
+        tail = w[len(stem) :]
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in stem)
+        stems.append(xxhash.xxh32_intdigest(low, seed=int(stem.isupper() and len(stem) > 1)))
+        tails.append(xxhash.xxh32_intdigest(tail) | 1 if tail else 0)
+    for i, (s, t) in enumerate(zip(stems, tails, strict=True)):
+        found[plain_mix(s + 5) >> 44] += 1
+        found[plain_mix(t + 17) >> 44] += 1
+        if i:
+            same = stems[i - 1] == s
+            found[(1 if same else plain_mix((stems[i - 1] * 0x9E3779B97F4A7C15 + s) & MASK)) >> 44] += 1
+            found[plain_mix((tails[i - 1] * 0xC2B2AE3D27D4EB4F + t + 3) & MASK) >> 44] += 1
+    return found
+
+
+def test_quality_scores_by_brute_force(spark, tables, odd_docs):
+    weights = quality_classifier.train(*tables)
+    got = quality_classifier.score(spark.createDataFrame([d[:2] for d in odd_docs], "doc_id bigint, text string"), weights).collect()
+    for (_, text, *_), row in zip(odd_docs, got, strict=True):
+        found = plain_features(text)
+        total = sum(found.values())
+        logit = float(weights[-1]) + (20.0 * sum(float(weights[k]) * n for k, n in found.items()) / total if total else 0.0)
+        assert row.score == pytest.approx(1 / (1 + math.exp(-min(35.0, max(-35.0, logit)))), abs=1e-6)
+
+
+def test_updates_by_brute_force():
+    """Follow-the-regularised-leader updates of single coordinates in dictionaries give the same weights."""
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 40, 6)).astype(np.uint32), None, int(rng.integers(0, 2))) for _ in range(60)]
+    rows = [(i, np.full(len(i), 1 / len(i), np.float32), y) for i, _, y in rows]
+    z, n = Counter(), Counter()
+    alpha, beta, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    for _ in range(2):
+        for idx, share, y in rows:
+            x = {int(k): 20.0 * float(s) for k, s in zip(idx, share, strict=True)} | {64: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v in x.items():
+                g, w = (p - y) * v, weight(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w
+                n[k] += g * g
+    got = quality_classifier.fit(rows, bits=6, epochs=2)
+    assert got.tolist() == pytest.approx([weight(k) for k in range(65)], abs=1e-5)
+
+
+def test_toxicity_scores_by_brute_force(spark, tables, odd_docs):
+    scalars, slope, offset = model = toxicity.train(*tables)
+    rows = [d[:2] for d in odd_docs] + [(900, "ein İstanbul " * 5 + "日本語テキスト好き " * 3 + "x" * 70 + " a.b/c_" * 30)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    for (_, text), row in zip(rows, got, strict=True):
+        means = []
+        for w in toxicity.words_of(text):
+            w = w.strip(toxicity._EDGES)
+            marked = f"<{w}>".replace("<\n", "").replace("\n>", "")
+            grams = [marked] + [marked[i : i + k] for k in (3, 4, 5, 6) for i in range(len(marked) - k + 1)]
+            known = any(c.isalpha() for c in w)
+            means.append(sum(float(scalars[xxhash.xxh32_intdigest(g) % toxicity.BUCKETS]) for g in grams) / len(grams) if known else None)
+        best = -math.inf
+        for lo in range(0, max(1, len(means) - 4), 4):
+            window = [m for m in means[lo : lo + 8] if m is not None]
+            best = max(best, sum(window) / max(1, len(window)))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-min(35.0, max(-35.0, slope * best + offset)))), abs=1e-6)
+
+
+def test_toxicity_words():
+    assert toxicity.words_of("A a B,  b\tb\u00a0c") == ["a", "b,", "b", "c"] and toxicity.words_of(None) == toxicity.words_of(" \n") == []
+    words = ["héllo", "a", "..", "xx-yy", "ab", "日本語テキスト", "x" * 60, "\nab", "ab\n", "naïve\U0001f600s"]
+    found = {}
+    for owner, bucket in toxicity.grams_of(words):
+        for i, b in zip(owner.tolist(), bucket.tolist(), strict=True):
+            found.setdefault(i, []).append(b)
+    assert all(sorted(found.get(i, [])) == sorted(toxicity.buckets_of(w).tolist()) for i, w in enumerate(words))
+
+
+def plain_profile(text):
+    """Sum of the bound vectors of a text's letter triples, by a loop."""
+    vector = lambda c: np.random.default_rng([71, c]).integers(0, 2, 1024, dtype=np.int8) * 2 - 1
+    total, run = np.zeros(1024), [0]
+    for c in (text or "").lower() + "\n":
+        if c.isalpha() or run[-1]:
+            run.append(ord(c) if c.isalpha() else 0)
+    for a, b, c in zip(run, run[1:], run[2:], strict=False):
+        if b:
+            total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return total
+
+
+def test_language_by_brute_force(spark):
+    base = {"aa": "tha tho ther and thing ", "bb": "sch ein der und ich nicht ", "cc": "öde größe süß üben "}
+    rows = [(i, base[lang] * (1 + i % 3), lang) for i, lang in enumerate(list(base) * 6)]
+    rows += [(100, "the thing und", None), (101, None, None), (102, "12 34 ..", "aa"), (103, "größe thing", None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    sums = {}
+    for i, text, lang in rows:
+        v = plain_profile(text)
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2 and np.linalg.norm(v):
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    for i, text, _ in rows:
+        v = plain_profile(text)
+        cosines = {lang: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for lang, s in sums.items()} if np.linalg.norm(v) else {"und": 0.0}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(max(0.0, cosines[best]), abs=1e-4)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_any_number_of_languages(spark):
+    """Prototypes in blocks give what one block gives, and a sample has rows of each of more than 10,000 strata."""
+    rows = [(i, " ".join(f"{chr(97 + i % 20)}{chr(97 + (i * j) % 26)}x" for j in range(9)), f"l{i % 40}") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one, many = language_id.train(df), language_id.train(df, lang_block=7)
+    assert many.n_blocks > 3 and one.n_langs == many.n_langs > 30
+    found = lambda model: sorted((r[0], r[1], round(r[2], 4)) for r in language_id.nearest(df, ["doc_id"], model).collect())
+    assert found(one) == found(many)
+    strata = spark.range(36_000).selectExpr("id", "concat('s', id % 12000) as s")
+    sample = bounded_rows(strata, "id", ["s"], 2)
+    assert sample.select("s").distinct().count() > 11_000 and sample.groupBy("s").count().where("count > 3").count() == 0
+    again = strata.unionByName(strata)
+    assert bounded_rows(again, "id", [], 500).distinct().count() == bounded_rows(strata, "id", [], 500).count() == bounded_rows(again, "id", [], 500).count()
+
+
 def test_many_letters():
     enc = language_id.Encoder()
     texts = ["".join(chr(0x4E00 + (i * 7 + k) % 900) for k in range(300)) for i in range(3)] + ["plain text"]

@@ -75,3 +75,20 @@ def test_pipeline(spark, odd_frame):
     assert {r.doc_id for r in odd.collect()} <= {0, 1, 2, 3, 9, 12, None, *range(20, 60)}
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_stages_with_clashing_columns(spark, odd_frame):
+    """Names that the operators use themselves pass through each stage unchanged."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    names = [c for c in odd_frame.columns if c not in ("text", "n_chars")]
+    before = {(r.doc_id, r.source): [r[c] for c in names] for r in odd_frame.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd_frame, SF)
+        assert out.columns == odd_frame.columns, name
+        rows = out.collect()
+        assert rows and all([r[c] for c in names] == before[r.doc_id, r.source] for r in rows), name
+    # where no language can be learned, documents with letters stay
+    from pyspark.sql import functions as F
+
+    unknown = pipeline.language_stage(spark, odd_frame.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert {r.doc_id for r in odd_frame.collect()} - {r.doc_id for r in unknown.collect()} == {4, 5, 6}

@@ -147,3 +147,41 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 85).collect()
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute.components(docs, 3, 85))
     assert Counter(r.kept for r in got)[True] < 120
+
+
+def test_one_document_of_each_group(spark, odd_frame, no_docs):
+    """Rows that share a doc_id are told apart by their texts; of alike rows one stays, and no differing text is lost."""
+    a, b, c, d = near_copies(1, 0, 3) + near_copies(1, 0, 4) + near_copies(1, 0, 5) + near_copies(1, 0, 6)
+    rows = [(1, a, "1a"), (1, b, "1b"), (2, a, "2a"), (None, a, "na"), (None, c, "nc"), (3, d, "3d"), (3, d, "3d again"), (4, None, "4"), (4, "", "4e"), (5, a + " end", "5a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own_id string")
+    got = sorted(r.own_id for r in near_dup.keep_one(df).collect())
+    assert got in (["1b", "2a", "3d", "4", "4e", "nc"], ["1b", "2a", "3d again", "4", "4e", "nc"])
+    assert near_dup.keep_one(no_docs).columns == no_docs.columns and near_dup.keep_one(no_docs).count() == 0
+    assert near_dup.keep_one(odd_frame).columns == odd_frame.columns
+    many = spark.range(3000).selectExpr("7L as doc_id", "'a text of some words that all share' as text")
+    assert near_dup.keep_one(many).count() == 1
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_recall_just_above_the_threshold(spark, width, percent):
+    """400 pairs whose sets are within 0.02 of the threshold: the trees and sketches together find all of them."""
+    rng, docs = random.Random(percent), []
+    while len(docs) < 800:
+        w = [f"p{rng.randint(0, 10**6)}" for _ in range(180)]
+        x = list(w)
+        for k in rng.sample(range(180), rng.randint(2, 9)):
+            x[k] = f"q{k}"
+        s, t = brute.shingles(" ".join(w), width), brute.shingles(" ".join(x), width)
+        if 0 <= 100 * len(s & t) / len(s | t) - percent <= 2:
+            docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(x))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), width, percent).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 800, 2)) == 400
+
+
+def test_phrases():
+    items = [("b", "one two three"), ("a", "two three four " * 7), ("b", "one two three"), ("c", None), ("d", "..")]
+    p = decontaminate.Phrases(items, 3)
+    back = {v: k.decode() for k, v in p.codes.items()}
+    found = {tuple(back[c] for c in row if c): [p.names[i] for i in p.owned_by(w)] for w, row in enumerate(p.rows.tolist())}
+    assert found == {("one", "two", "three"): ["b"], ("two", "three", "four"): ["a"], ("three", "four", "two"): ["a"], ("four", "two", "three"): ["a"]}
+    assert len(decontaminate.Phrases([], 3).rows) == 0

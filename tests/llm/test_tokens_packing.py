@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from corvane.llm import packing, token_files
@@ -57,6 +58,51 @@ def test_token_files_with_repeated_ids_and_empty(spark, no_docs):
     assert token_files.token_file_digest(no_docs, path).count() == 0
 
 
+def rows_scanned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    """Files have several stripes; statistics and Bloom filters let a lookup skip row groups, and a stripe can be read alone."""
+    rng = random.Random(3)
+    rows = [(2 * i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(60))) for i in range(6000)]
+    path = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), str(tmp_path / "t"), tokenizer_path(FILES[0]), 2, 1 << 18, 1000)
+    files = [orc.ORCFile(str(f)) for f in sorted((tmp_path / "t").glob("*.orc"))]
+    assert sum(f.nrows for f in files) == 6000 and sum(f.nstripes for f in files) > len(files)
+    assert all(f.row_index_stride == 1000 for f in files)
+    whole = next(f for f in files if f.nstripes > 1)
+    assert sum(whole.read_stripe(k).num_rows for k in range(whole.nstripes)) == whole.nrows
+    assert spark.read.orc(path).count() == 6000
+    assert 0 < rows_scanned(token_files.lookup(spark, path, [4000])) <= 1000
+    assert rows_scanned(token_files.lookup(spark, path, [10**9])) == 0  # outside all ranges
+    assert sum(rows_scanned(token_files.lookup(spark, path, [2 * k + 1])) > 0 for k in range(1000, 1020)) <= 3  # inside ranges, not in the filter
+
+
+def test_files_of_limited_records(spark):
+    path = tokenizer_path(FILES[0])
+    df = spark.createDataFrame([(i, "a b c " * i) for i in range(50)], "doc_id bigint, text string")
+    want = sorted(token_files.token_file_digest(df, path).collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert sorted(token_files.token_file_digest(df, path).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_cache_is_bounded(monkeypatch):
+    from corvane.llm import tokens
+
+    monkeypatch.setattr(tokens, "MAX_CACHE_BYTES", 20_000)
+    enc, plain = tokens.ChunkEncoder(tokenizer_path(FILES[1])), Tokenizer.from_file(tokenizer_path(FILES[1]))
+    for k in range(6):
+        text = " ".join(f"w{i * 7}x" for i in range(k * 300, k * 300 + 400))
+        ids, _ = enc.encode(pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        kept = sum(tokens._ENTRY_BYTES + len(c) + len(x) for cache in (enc.bare, enc.spaced) for c, x in cache.items() if c)
+        assert kept <= 1.05 * (20_000 + tokens._ENTRY_BYTES)
+
+
 def check_packing(rows, capacity):
     places = defaultdict(list)
     for r in rows:
