@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import norm_key
-
 #: Fixed values.
 MAX_PACKAGES, MAX_SAMPLES = 3, 6
+NOT_IN_A_NAME = "[^a-z0-9]+"
+
+
+def bare_name(name: Column) -> Column:
+    """A name's lower-case letters and digits, ASCII alone."""
+    return F.regexp_replace(F.lower(name), NOT_IN_A_NAME, "")
 
 
 def select_packages(packages: DataFrame, cap: int = MAX_PACKAGES) -> DataFrame:
     """repo_name, system, name, rnk: source packages; those named like the record, then short, then by name."""
     rows = packages.where("relation_type = 'SOURCE_REPO' and system <> '' and name <> ''").select("repo_name", "system", "name").distinct()
-    last = norm_key(F.element_at(F.split(F.element_at(F.split("name", "/"), -1), ":"), -1))
-    own = norm_key(F.col("repo_name"))
+    last = bare_name(F.element_at(F.split(F.element_at(F.split("name", "/"), -1), ":"), -1))
+    own = bare_name(F.coalesce("repo_name", F.lit("")))
     eponymous = (last != "") & (F.endswith(last, own) | F.endswith(own, last))
     order = Window.partitionBy("repo_name").orderBy(F.when(eponymous, 0).otherwise(1), F.length("name"), "system", "name")
     return rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= cap)
