@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -49,6 +50,7 @@ def _short_end(w: str) -> bool:
     return bool(re.search(r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$", w))
 
 
+@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     """Porter2 stem of a lower-case word."""
     if len(word) <= 2:
