@@ -45,8 +45,8 @@ def repository_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's user turns as queries and first turn as description, for the record of its number."""
     c = table(spark, sf_dir, "conversations")
-    queries = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: F.left(x["text"], F.lit(60)))
-    first = F.min_by(F.left("text", F.lit(200)), "turn")
+    queries = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"])
+    first = F.min_by("text", "turn")
     folded = c.groupBy("conv_id").agg(queries.alias("queries"), first.alias("description"))
     return folded.select(F.concat(F.lit("d"), "conv_id").alias("repo_id"), F.lit("llm").alias("source"), "queries", "description")
 
@@ -70,8 +70,8 @@ SELECT concat('d', vec_id) AS repo_id, 'base' AS model_name, embedding FROM embe
 UNION ALL SELECT concat('d', vec_id), 'base+enrich', embedding FROM embeddings WHERE label < 5"""
 ENRICHMENT_SQL = """
 SELECT concat('d', conv_id) AS repo_id, 'llm' AS source,
-       coalesce(list(left(text, 60) ORDER BY turn, text) FILTER (WHERE role = 'user'), []) AS queries,
-       arg_min(left(text, 200), turn) AS description
+       coalesce(list(text ORDER BY turn, text) FILTER (WHERE role = 'user'), []) AS queries,
+       arg_min(text, turn) AS description
 FROM conversations GROUP BY conv_id"""
 SIGNALS_SQL = "SELECT concat('d', l_partkey) AS repo_id, count(*) AS dependent_count FROM lineitem GROUP BY l_partkey"
 WITH = f"WITH repositories AS ({REPOSITORIES_SQL}), repository_embeddings AS ({EMBEDDINGS_SQL}), enrichment AS ({ENRICHMENT_SQL}), signals AS ({SIGNALS_SQL}) "

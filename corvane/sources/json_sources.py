@@ -14,8 +14,8 @@ PAYLOAD = "description string, queries array<string>, aliases array<string>, cat
 
 
 def flatten_nodes(nodes: DataFrame) -> DataFrame:
-    """Rows of search nodes given as JSON text in ``node``."""
-    n = nodes.select(F.from_json("node", NODE).alias("n"))
+    """Rows of search nodes given as JSON text in ``node``; rows without one (the ends of fragments) go."""
+    n = nodes.where("node is not null").select(F.from_json("node", NODE).alias("n"))
     topics = F.coalesce(F.transform("n.repositoryTopics.nodes", lambda x: x["topic"]["name"]), F.array().cast("array<string>"))
     return n.select(
         "n.id", F.col("n.nameWithOwner").alias("full_name"), "n.name", F.col("n.owner.login").alias("owner"), "n.description", "n.url",
@@ -70,9 +70,9 @@ def judgments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("judgments").alias("query", "docs")).select("query", F.explode("docs").alias("doc", "j")).select("query", "doc", "j.grade")
 
 
-def query_set(spark: SparkSession, path: str) -> DataFrame:
-    """id, query, stratum of {queries: [...]}."""
-    raw = spark.read.schema("queries array<struct<id:string,query:string,stratum:string,notes:string,expected:array<string>,relevant:array<string>>>").json(path, multiLine=True)
+def query_set(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """id, query, stratum of {queries: [...]}, one document a file or (``multi_line`` off) a line."""
+    raw = spark.read.schema("queries array<struct<id:string,query:string,stratum:string,notes:string,expected:array<string>,relevant:array<string>>>").json(path, multiLine=multi_line)
     return raw.select(F.explode("queries").alias("q")).select("q.*")
 
 
@@ -86,3 +86,9 @@ def scorecards(rows: DataFrame) -> DataFrame:
     """repo_id, scorecard_score, scorecard_date; rows with neither go."""
     out = rows.select("repo_id", F.col("score").cast("float").alias("scorecard_score"), F.to_date(F.left("date", F.lit(10))).alias("scorecard_date"))
     return out.where("scorecard_score is not null or scorecard_date is not null")
+
+
+def tree_cut(paths: DataFrame, column: str = "path", limit: int = 500) -> DataFrame:
+    """A tree's listing, its shallow paths first, cut to ``limit``."""
+    depth = F.length(column) - F.length(F.replace(F.col(column), F.lit("/"), F.lit("")))
+    return paths.orderBy(depth, column).limit(limit)

@@ -1,16 +1,22 @@
-"""Paged APIs as a Spark data source, README fetching, an embedding endpoint, and their rate limiter.
+"""Paged APIs as a Spark data source, README fetching, batch lookups, an embedding endpoint, and their rate limiter.
 
-Transport is a function given by the caller, so that all of this runs without a network."""
+Transport is a function given by the caller, so that all of this runs without a network. Each task has a limiter of its own; the
+server's limits are divided among tasks by the number of partitions that the caller runs at once."""
 
 from __future__ import annotations
 
+import base64
+import binascii
+import importlib
+import json
 import time
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,6 +25,9 @@ LOW_WATER_MARK = 50
 MAX_RETRIES = 5
 GONE = (404, 451)
 LIMITED = (403, 429)
+SECONDARY_PAUSE, SECONDARY_RETRIES = 60.0, 3
+RAW_BYTES = 256 << 10
+PROJECTS_A_CALL = 5000
 
 
 @dataclass
@@ -55,40 +64,71 @@ class RateLimiter:
             self.sleep(wait)
 
 
+def wait_seconds(remaining: Column, reset_at: Column, paused_until: Column, now: Column, low: int = LOW_WATER_MARK) -> Column:
+    """How long a limiter in this state waits, as an expression over recorded states."""
+    return F.greatest(F.lit(0.0), (paused_until - now).cast("double"), F.when(remaining <= low, reset_at - now).cast("double"))
+
+
 @dataclass(frozen=True)
 class Response:
+    """Status 0 stands for a request that got no answer."""
+
     status: int
-    body: dict | list | str | None = None
+    body: dict | list | str | bytes | None = None
     headers: dict[str, str] = field(default_factory=dict)
 
 
+def _retry_after(response: Response) -> float | None:
+    value = next((v for k, v in response.headers.items() if k.lower() == "retry-after"), None)
+    try:
+        return None if value is None else float(value)
+    except ValueError:
+        return SECONDARY_PAUSE
+
+
 def with_retries(call: Callable[[], Response], limiter: RateLimiter, retries: int = MAX_RETRIES, backoff: float = 1.0) -> Response:
-    """The response, after waiting out server errors and rate limits as often as ``retries``."""
+    """The response, after waiting out network and server errors and rate limits as often as ``retries``.
+
+    A limit that names no time is waited out for a minute and twice as long each time, as often as SECONDARY_RETRIES."""
+    secondary = 0
     for attempt in range(retries + 1):
         limiter.acquire()
-        response = call()
+        try:
+            response = call()
+        except OSError as e:  # connection errors and timeouts
+            response = Response(0, f"{type(e).__name__}: {e}")
         limiter.update_from_headers(response.headers)
-        after = response.headers.get("Retry-After") or response.headers.get("retry-after")
-        limited = response.status in LIMITED and (after or limiter.remaining == 0 or "secondary rate limit" in str(response.body).lower())
-        if not limited and response.status < 500:
+        after = _retry_after(response)
+        told = "secondary rate limit" in str(response.body).lower()
+        limited = response.status in LIMITED and (after is not None or limiter.remaining == 0 or told)
+        if not limited and 0 < response.status < 500:
             return response
-        if attempt < retries:
-            limiter.pause(float(after)) if limited and after else limiter.pause(backoff * 2**attempt)
+        if attempt == retries or (told and secondary == SECONDARY_RETRIES):
+            return response
+        if limited and after is not None:
+            limiter.pause(after)
+        elif limited and told:
+            limiter.pause(SECONDARY_PAUSE * 2**secondary)
+        elif not limited:
+            limiter.pause(backoff * 2**attempt)
+        secondary += told
     return response
 
 
 class PagedSource(DataSource):
-    """Rows ``fragment, cursor, node`` (JSON text) of a cursor-paged search, one partition a fragment.
+    """Rows ``fragment, cursor, node, outcome`` of a cursor-paged search, one partition a fragment.
 
-    Options: ``fragments`` (separated by ``|``) and ``fetch``, the dotted name of a function
-    (fragment, cursor) -> {nodes: [json text], next: cursor or null}."""
+    A row is a node (JSON text), or the end of its fragment: ``outcome`` is then ``done``, ``deadline`` (cut short) or
+    ``aborted: why``, so that what is missing can be told (``outcomes``). Options: ``fragments`` (separated by ``|``), ``fetch``, the
+    dotted name of a function (fragment, cursor) -> {nodes: [json text], next: cursor or null}, or a ``Response`` with that as its
+    body; ``deadline_seconds`` of a fragment; ``retries`` and ``backoff_seconds`` of a page."""
 
     @classmethod
     def name(cls) -> str:
         return "corvane_paged"
 
     def schema(self) -> str:
-        return "fragment string, cursor string, node string"
+        return "fragment string, cursor string, node string, outcome string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
@@ -99,27 +139,63 @@ class PagedReader(DataSourceReader):
         self.fragments = [x for x in options.get("fragments", "").split("|") if x]
         self.fetch = options["fetch"]
         self.deadline = float(options.get("deadline_seconds", "inf"))
+        self.retries, self.backoff = int(options.get("retries", MAX_RETRIES)), float(options.get("backoff_seconds", "1"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(x) for x in self.fragments]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
+    def _page(self, fetch, fragment: str, cursor: str | None, limiter: RateLimiter) -> tuple[dict | None, str]:
+        def call() -> Response:
+            found = fetch(fragment, cursor)
+            return found if isinstance(found, Response) else Response(200, found)
 
+        response = with_retries(call, limiter, self.retries, self.backoff)
+        body = response.body if isinstance(response.body, dict) else {}
+        if response.status != 200 or "errors" in body:
+            return None, f"aborted: HTTP {response.status}: {str(body.get('errors', response.body))[:200]}"
+        return body, ""
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, name = self.fetch.rpartition(".")
-        fetch = getattr(importlib.import_module(module), name)
+        fetch, limiter = getattr(importlib.import_module(module), name), RateLimiter()
         cursor, stop = None, time.monotonic() + self.deadline
         while True:
-            page = fetch(partition.value, cursor)
+            page, why = self._page(fetch, partition.value, cursor, limiter)
+            if page is None:
+                yield partition.value, cursor, None, why
+                return
             for node in page["nodes"]:
-                yield partition.value, cursor, node
+                yield partition.value, cursor, node, None
             cursor = page.get("next")
             if not cursor or time.monotonic() > stop:
+                yield partition.value, cursor, None, "deadline" if cursor else "done"
                 return
 
 
-def fetch_readmes(repos: DataFrame, fetch: Callable[[str], Response]) -> DataFrame:
-    """id, readme_status, readme of pending records: ok, not_found, empty or error."""
+def outcomes(rows: DataFrame) -> DataFrame:
+    """fragment, outcome, n (nodes) of each fragment that was read."""
+    return rows.groupBy("fragment").agg(F.max("outcome").alias("outcome"), F.count("node").alias("n"))
+
+
+def _content(body: object, fetch_raw: Callable[[str], Response] | None, limiter: RateLimiter, backoff: float) -> tuple[str, bytes | None]:
+    """(ok or error, bytes) of a README's payload: plain text, or a dict with base64 content or the address of a large file."""
+    if not isinstance(body, dict):
+        return "ok", body if isinstance(body, bytes) else str(body or "").encode("utf-8", "surrogatepass")
+    if not body.get("content") and body.get("download_url") and fetch_raw is not None:
+        raw = with_retries(lambda: fetch_raw(body["download_url"]), limiter, backoff=backoff)
+        data = raw.body.encode() if isinstance(raw.body, str) else raw.body
+        return ("ok", bytes(data or b"")[:RAW_BYTES]) if raw.status == 200 else ("error", None)
+    if body.get("encoding") != "base64":
+        return "error", None
+    try:
+        return "ok", base64.b64decode(body.get("content") or "")
+    except (binascii.Error, ValueError):
+        return "error", None
+
+
+def fetch_readmes(repos: DataFrame, fetch: Callable[[str], Response], fetch_raw: Callable[[str], Response] | None = None, backoff: float = 1.0) -> DataFrame:
+    """id, readme_status, readme of pending records: ok, not_found, empty or error. A record's failure never ends the task; a file
+    of more than a megabyte comes by its own address, its first 256 KB."""
     from corvane.functions.text import finalize_readme
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,15 +203,77 @@ def fetch_readmes(repos: DataFrame, fetch: Callable[[str], Response]) -> DataFra
         for part in parts:
             rows = []
             for id_, name in zip(part["id"], part["full_name"], strict=True):
-                r = with_retries(lambda name=name: fetch(name), limiter)
-                rows.append((id_, r.status, r.body if r.status == 200 else None))
-            yield pd.DataFrame(rows, columns=["id", "http", "body"])
+                r = with_retries(lambda name=name: fetch(name), limiter, backoff=backoff)
+                state, data = _content(r.body, fetch_raw, limiter, backoff) if r.status == 200 else ("not_found" if r.status in GONE else "error", None)
+                rows.append((id_, state, None if data is None else data.decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["id", "state", "body"])
 
-    got = repos.select("id", "full_name").mapInPandas(run, "id string, http int, body string")
+    got = repos.select("id", "full_name").mapInPandas(run, "id string, state string, body string")
     status, content = finalize_readme(F.coalesce("body", F.lit("")))
-    return got.select(
-        "id", F.when(F.col("http") == 200, status).when(F.col("http").isin(*GONE), "not_found").otherwise("error").alias("readme_status"), content.alias("readme")
-    )
+    return got.select("id", F.when(F.col("state") == "ok", status).otherwise(F.col("state")).alias("readme_status"), content.alias("readme"))
+
+
+def lookup_projects(names: DataFrame, post: Callable[[dict], Response], size: int = PROJECTS_A_CALL) -> DataFrame:
+    """project_id (lower case), project (JSON text) of the records (full_name) that the batch endpoint knows.
+
+    Calls have at most ``size`` ids of a task and follow ``nextPageToken``; a call that fails for good is an error."""
+
+    def ask(ids: list[str], limiter: RateLimiter) -> Iterator[tuple[str, str]]:
+        payload: dict = {"requests": [{"projectKey": {"id": x}} for x in ids]}
+        while True:
+            r = with_retries(lambda: post(payload), limiter)
+            if r.status == 404:
+                return
+            if r.status != 200:
+                raise RuntimeError(f"project lookup: HTTP {r.status}: {str(r.body)[:200]}")
+            for item in r.body.get("responses", []):
+                project = item.get("project") or {}
+                keys = ((x.get("projectKey") or {}).get("id") for x in (item.get("request") or {}, project))
+                if project and (key := next(filter(None, keys), None)):
+                    yield key.lower(), json.dumps(project)
+            if not (token := r.body.get("nextPageToken")):
+                return
+            payload = payload | {"pageToken": token}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter, held = RateLimiter(), []
+        for part in parts:
+            held += part["project_id"].tolist()
+            while len(held) >= size:
+                yield pd.DataFrame(list(ask(held[:size], limiter)), columns=["project_id", "project"])
+                held = held[size:]
+        if held:
+            yield pd.DataFrame(list(ask(held, limiter)), columns=["project_id", "project"])
+
+    ids = names.select(F.lower(F.concat(F.lit("github.com/"), "full_name")).alias("project_id")).where("project_id is not null")
+    return ids.mapInPandas(run, "project_id string, project string")
+
+
+def endpoint(kind: str, *parts: str) -> str:
+    """Path of a package endpoint, its parts quoted: packages of a project, a package, dependents of a version."""
+    names = [quote(p, safe="") for p in parts]
+    if kind == "packages":
+        return f"projects/{names[0]}:packageversions"
+    system = f"systems/{names[0]}/packages/{names[1]}"
+    return system if kind == "package" else f"{system}/versions/{names[2]}:dependents"
+
+
+def lookup_each(rows: DataFrame, kind: str, parts: list[str], get: Callable[[str], Response]) -> DataFrame:
+    """``parts`` columns and body (JSON text) of an endpoint for each row; not found is a fact, so its body is null."""
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter = RateLimiter()
+        for page in pages:
+            bodies = []
+            for values in page[parts].itertuples(index=False):
+                r = with_retries(lambda values=values: get(endpoint(kind, *map(str, values))), limiter)
+                if r.status not in (200, 404):
+                    raise RuntimeError(f"{kind} of {values}: HTTP {r.status}: {str(r.body)[:200]}")
+                bodies.append(json.dumps(r.body) if r.status == 200 else None)
+            yield page[parts].assign(body=bodies)
+
+    schema = ", ".join(f"`{p}` string" for p in parts) + ", body string"
+    return rows.select(*[F.col(p).cast("string").alias(p) for p in parts]).mapInPandas(run, schema)
 
 
 def hashing_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
