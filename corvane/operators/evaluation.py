@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to this many queries are compared by one generator on the driver, as their number is known by then; more by hashed signs.
+SEQUENTIAL = 2_000
+
+
 def _gain(grade: Column, rank: Column) -> Column:
     return grade / F.log2(rank + F.lit(1.0))
 
@@ -146,7 +150,8 @@ def fisher_p_distributed(deltas: DataFrame, permutations: int = 10_000, seed: in
     n, total, flips = rows.agg(F.count(F.lit(1)), F.sum("delta"), F.count_if(F.col("delta") != 0)).first()
     observed = abs(total / n) if n else 0.0
     nth = F.row_number().over(Window.partitionBy("query").orderBy("delta"))
-    keyed = rows.where("delta <> 0").select(F.xxhash64(F.lit(seed), "query", nth).alias("key"), "delta")
+    named = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query").cast("string"), nth.cast("string")))
+    keyed = rows.where("delta <> 0").select(F.conv(F.left(named, F.lit(16)), 16, -10).cast("bigint").alias("key"), "delta")
     blocks, dealt = -(-permutations // (64 * words)), max(1, -(-flips // block_rows))
     keyed = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("deal", F.pmod("key", F.lit(dealt)))
     sums = keyed.repartition(blocks * dealt, "block", "deal").select("key", "delta", "block").mapInArrow(_flipped(permutations, words), "trial bigint, total double")
@@ -161,15 +166,17 @@ def compare(run_a: DataFrame, run_b: DataFrame, qrels: DataFrame, canary: DataFr
     a, b = run_a.join(both, "query"), run_b.join(both, "query")
     deltas = ndcg(a, qrels, k).withColumnRenamed("ndcg", "ndcg_a").join(ndcg(b, qrels, k).withColumnRenamed("ndcg", "ndcg_b"), "query")
     deltas = deltas.withColumn("delta", F.col("ndcg_b") - F.col("ndcg_a"))
-    rows = sorted((r["query"], r["delta"]) for r in deltas.select("query", "delta").collect())
-    p = fisher_p([d for _, d in rows])
-    delta = sum(d for _, d in rows) / len(rows) if rows else 0.0
+    n, delta = deltas.agg(F.count(F.lit(1)), F.coalesce(F.avg("delta"), F.lit(0.0))).first()
+    if n <= SEQUENTIAL:  # the seeded sequence of one generator, for few queries
+        p = fisher_p([r["delta"] for r in deltas.orderBy("query").select("delta").collect()])
+    else:
+        p = fisher_p_distributed(deltas, 100_000).first()["p"]
     known = canary.join(both, "query", "left_semi")
     ca, cb = (canary_recall(x, known, k).agg(F.avg("canary")).first()[0] or 0.0 for x in (a, b))
     in_gate = {r["doc"] for r in run_b.where((F.col("query") == gate_query) & (F.col("rank") <= k)).select("doc").collect()} if gate_query else set()
     ja, jb = (judged(x, qrels, k).agg(F.avg("judged")).first()[0] or 0.0 for x in (a, b))
     checks = {"delta": delta >= min_delta, "p": p < alpha, "canary": cb > ca, "gate_docs": set(gate_docs) <= in_gate}
-    summary = {"n_queries": len(rows), "delta": delta, "p": p, "canary_a": ca, "canary_b": cb, "judged_a": ja, "judged_b": jb, "judged_low": min(ja, jb) < 0.9}
+    summary = {"n_queries": n, "delta": delta, "p": p, "canary_a": ca, "canary_b": cb, "judged_a": ja, "judged_b": jb, "judged_low": min(ja, jb) < 0.9}
     return summary | {"checks": checks, "gate_pass": all(checks.values())}, deltas
 
 
@@ -179,8 +186,9 @@ def extremes(deltas: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
 
 
 def sample_rows(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same for the same seed."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """``n`` rows without replacement, the same for the same seed: those whose key and seed have the smallest MD5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return rows.orderBy(digest, *key).limit(n)
 
 
 def worst_first(per_query: DataFrame) -> DataFrame:

@@ -40,9 +40,18 @@ def pending(base: DataFrame, done: DataFrame | None, on: Column | list[str] | No
     return rows if n is None else rows.limit(n)
 
 
+#: Fixed value: what a full name may be made of.
+FULL_NAME = r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+"
+
+
+def well_named(df: DataFrame, column: str = "full_name") -> DataFrame:
+    """Rows whose name has the form owner/name."""
+    return df.where(F.col(column).rlike(rf"^{FULL_NAME}\z"))
+
+
 def guarded_names(names: list[str]) -> list[str]:
     """Names of the form owner/name; anything else is refused."""
-    bad = [n for n in names if not re.fullmatch(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", n)]
+    bad = [n for n in names if not re.fullmatch(FULL_NAME, n)]
     if bad:
         raise ValueError(f"not a full name: {bad[0]!r}")
     return names

@@ -63,3 +63,8 @@ def cost_estimate(rates: DataFrame, n: int, tokens_in: int, tokens_out: int) ->
     """model, usd of ``n`` requests at rates (model, usd_in, usd_out) a million tokens."""
     usd = n * (tokens_in * F.col("usd_in") + tokens_out * F.col("usd_out")) / 1_000_000
     return rates.select("model", usd.alias("usd"))
+
+
+def sample_report(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the largest ``by``, for a look at what a run made."""
+    return rows.orderBy(F.desc(by), key).limit(n)

@@ -1,29 +1,45 @@
 """Incremental ingestion: a file stream drained once, folded into snapshots, with a watermark.
 
 Each run reads what is new since its checkpoint (``availableNow``), so it can be cut short and started again.
-A micro-batch is folded by upsert into a new snapshot folder, and a pointer file names the last one: what is
-being read is never overwritten, and a batch that comes twice gives the same snapshot."""
+A micro-batch is folded by upsert into a new snapshot folder, and a pointer names the last one: neither what is
+being read nor the pointer is ever overwritten, and a batch that comes twice gives the same snapshot."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.upsert import latest, upsert
+from corvane.scratch import delete, file_system
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The pointer's written forms, oldest first; one that was not written to its end has no _SUCCESS and is no form."""
+    files, at = file_system(spark, path)
+    if not files.exists(at):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(at))
+    return [n for n in names if files.exists(file_system(spark, f"{path}/{n}/_SUCCESS")[1])]
 
 
 def _write_text(spark: SparkSession, path: str, value: str) -> None:
-    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A new form of the pointer beside the old one, which goes once the new one is whole: at each moment one can be read."""
+    old = _versions(spark, path)
+    new = f"{path}/{int(old[-1]) + 1 if old else 0:012d}"
+    delete(spark, new)  # what a crash may have left
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(new)
+    for name in old:
+        delete(spark, f"{path}/{name}")
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        return None
-    row = spark.read.text(path).first()
+    found = _versions(spark, path)
+    row = spark.read.text(f"{path}/{found[-1]}").first() if found else None
     return row["value"] if row else None
 
 
@@ -72,3 +88,40 @@ def advance_watermark(spark: SparkSession, path: str, started: datetime, aborted
         return False
     _write_text(spark, path, started.isoformat())
     return True
+
+
+QUEUE = "key string, state string, result string"
+
+
+def drain(rows: DataFrame, key: str, column: str, work: Callable[[list[str]], list[str]], stop_on: type[Exception], batch: int = 128) -> DataFrame:
+    """key, state, result of a work queue's rows.
+
+    ``work`` gets batches of at most ``batch`` values. Its rows are ``done``; after an error of the kind ``stop_on`` (the service is
+    out) the batch and all that the task still had are ``requeued``; after another error only the batch is ``failed``, with the
+    error's text as result, and the task goes on. A requeued row is one that the next run finds pending again."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = False
+
+        def worked(some: pd.DataFrame) -> pd.DataFrame:
+            nonlocal stopped
+            state, results = "requeued", [None] * len(some)
+            if not stopped:
+                try:
+                    state, results = "done", work(some[column].tolist())
+                except stop_on:
+                    stopped = True
+                except Exception as e:  # noqa: BLE001  any other failure is the batch's own
+                    state, results = "failed", [f"{type(e).__name__}: {e}"] * len(some)
+            return pd.DataFrame({"key": some[key].tolist(), "state": state, "result": results})
+
+        held = None
+        for part in parts:
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            while len(held) >= batch:
+                yield worked(held.iloc[:batch])
+                held = held.iloc[batch:]
+        if held is not None and len(held):
+            yield worked(held)
+
+    return rows.select(F.col(key).cast("string").alias(key), column).mapInPandas(run, QUEUE)
