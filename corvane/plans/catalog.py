@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import ranking, text, vectors
 from corvane.operators import document, evaluation, filters, health, lanes, mining, packages, search, upsert
+from corvane.scratch import scratch_path
 from corvane.sources import json_sources, shards
 from corvane.sources.adapters import (
     BASE_LABEL,
@@ -81,7 +82,18 @@ def _alive(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    return lanes.fold_terms(enrichment(spark, sf_dir))
+    return lanes.fold_terms(enrichment(spark, sf_dir), analyze=text.words)
+
+
+_INDEXES: dict[tuple[str, str], lanes.SearchIndex] = {}
+
+
+def plain_index(spark, sf_dir) -> lanes.SearchIndex:
+    """The stored index of all records, by the plain analyzer that SQL can express; built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = lanes.build_index(repositories(spark, sf_dir), scratch_path(spark, "index"), text.words)
+    return _INDEXES[key]
 
 
 def _fts_sql(where: str, select: str) -> str:
@@ -90,24 +102,24 @@ def _fts_sql(where: str, select: str) -> str:
 
 @query("fts07_membership", _fts_sql(ALIVE, "SELECT query_id, repo_id, CAST(own AS BIGINT) AS own FROM members WHERE member"))
 def _(spark, sf_dir):
-    return lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir)).where("member").select("query_id", "repo_id", "own")
+    return lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), index=plain_index(spark, sf_dir)).where("member").select("query_id", "repo_id", "own")
 
 
 @query("fts11_coverage", _fts_sql(ALIVE, "SELECT query_id, own, count(*) AS n FROM members WHERE member GROUP BY ALL").replace("SELECT query_id, own,", "SELECT query_id, CAST(own AS BIGINT) AS own,"))
 def _(spark, sf_dir):
-    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir)).where("member")
+    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), index=plain_index(spark, sf_dir)).where("member")
     return found.groupBy("query_id", "own").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fts12_coverage_capped", _fts_sql(ALIVE, "SELECT query_id, repo_id, CAST(own + least(1, extra) AS BIGINT) AS coverage FROM members WHERE member OR in_terms = n_all"))
 def _(spark, sf_dir):
-    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), _terms(spark, sf_dir)).where("member or whole_in_terms")
+    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), _terms(spark, sf_dir), index=plain_index(spark, sf_dir)).where("member or whole_in_terms")
     return found.select("query_id", "repo_id", (F.col("own") + F.least(F.lit(1), F.col("extra"))).alias("coverage"))
 
 
 @query("fts13_enrichment_only", _fts_sql("", "SELECT query_id, repo_id FROM members WHERE NOT member AND in_terms = n_all"))
 def _(spark, sf_dir):
-    found = lanes.coverage(repositories(spark, sf_dir), requests(spark, sf_dir), _terms(spark, sf_dir))
+    found = lanes.coverage(repositories(spark, sf_dir), requests(spark, sf_dir), _terms(spark, sf_dir), text.words)
     return found.where("not member and whole_in_terms").select("query_id", "repo_id")
 
 
@@ -117,7 +129,7 @@ FTS_LANE = """SELECT query_id, repo_id, coverage, row_number() OVER (PARTITION B
 
 @query("fts14_lane", _fts_sql(ALIVE, FTS_LANE.format(cov="CAST(own AS BIGINT)", cond="member")))
 def _(spark, sf_dir):
-    lane = lanes.fulltext(_alive(spark, sf_dir), requests(spark, sf_dir))
+    lane = lanes.fulltext(_alive(spark, sf_dir), requests(spark, sf_dir), index=plain_index(spark, sf_dir))
     return lane.select("query_id", "repo_id", "coverage", F.col("rnk").cast("bigint").alias("rnk"))
 
 
@@ -151,9 +163,9 @@ def _(spark, sf_dir):
 @query(
     "vec03_consistency_filter",
     f""", g AS (SELECT repo_id, unnest(queries) AS query, generate_subscripts(queries, 1) AS place FROM enrichment),
-  v AS (SELECT g.*, dv.embedding AS d, qv.embedding AS qe FROM g LEFT JOIN (SELECT * FROM repository_embeddings WHERE model_name = 'base' AND hash_mod(repo_id)) dv ON dv.repo_id = g.repo_id
+  v AS (SELECT g.*, dv.embedding AS d, qv.embedding AS qe FROM g LEFT JOIN (SELECT * FROM repository_embeddings WHERE model_name = 'base+enrich') dv ON dv.repo_id = g.repo_id
         JOIN embeddings qv ON qv.vec_id = (CAST(substr(g.repo_id, 2) AS BIGINT) * 7 + place - 1) % 500)
-  SELECT repo_id, count(*) FILTER (WHERE d IS NULL OR {COSINE.format(a='d', b='qe')} >= 0.1) AS kept FROM v GROUP BY repo_id""".replace("hash_mod(repo_id)", "CAST(substr(repo_id, 2) AS BIGINT) % 3 <> 0"),
+  SELECT repo_id, count(*) FILTER (WHERE d IS NULL OR {COSINE.format(a='d', b='qe')} >= 0.1) AS kept FROM v GROUP BY repo_id""",
 )
 def _(spark, sf_dir):
     number = F.substring("repo_id", 2, 20).cast("bigint")
@@ -162,7 +174,8 @@ def _(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("query_vector"))
     tagged = places.withColumn("query", F.concat("query", F.lit("#"), F.col("place")))
     qv = tagged.withColumn("vec_id", (number * 7 + F.col("place")) % 500).join(vecs, "vec_id").select("repo_id", "query", "query_vector")
-    dv = _base_vectors(spark, sf_dir).where(number % 3 != 0).select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("doc_vector"))
+    # records without an enriched vector keep all their queries
+    dv = repository_embeddings(spark, sf_dir).where(F.col("model_name") == ENRICH_LABEL).select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("doc_vector"))
     generated = tagged.groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "query"))), lambda x: x["query"]).alias("queries"))
     kept = document.consistent_queries(generated, qv, dv, threshold=0.1)
     return kept.select("repo_id", F.size("queries").cast("bigint").alias("kept"))
@@ -302,6 +315,7 @@ def _search(spark, sf_dir, flt=filters.SearchFilters(), enrich=False, limit=10,
     hits = search.search(
         repositories(spark, sf_dir), _base_vectors(spark, sf_dir), requests(spark, sf_dir), NOW, flt, limit=limit, enrich=enrich,
         terms=_terms(spark, sf_dir) if enrich else None, signals=signals(spark, sf_dir) if enrich else None, weights=ranking.ScoringWeights(criticality=crit),
+        index=plain_index(spark, sf_dir),
     )
     return _hits(hits)
 
@@ -314,7 +328,7 @@ def search_batch(spark, sf_dir):
 @query("search_hybrid", _search_sql(limit=25) + " WHERE query_id = 1")
 def _(spark, sf_dir):
     one = requests(spark, sf_dir).where("query_id = 1")
-    return _hits(search.search(repositories(spark, sf_dir), _base_vectors(spark, sf_dir), one, NOW, limit=25))
+    return _hits(search.search(repositories(spark, sf_dir), _base_vectors(spark, sf_dir), one, NOW, limit=25, index=plain_index(spark, sf_dir)))
 
 
 @query("search_filtered", _search_sql(alive="WHERE primary_language = 'en' AND stars >= 500 AND list_has_any(topics, ['src1', 'src2', 'src3'])"))
@@ -328,13 +342,13 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corvane.plans import catalog_more, catalog_tables  # noqa: F401  they register the rest
+    from corvane.plans import catalog_more, catalog_rest, catalog_tables  # noqa: F401  they register the rest
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from corvane.plans import catalog_more, catalog_tables  # noqa: F401
+    from corvane.plans import catalog_more, catalog_rest, catalog_tables  # noqa: F401
 
     return dict(_ORACLES)
 

@@ -9,35 +9,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import analyze, text, vectors
 from corvane.operators import document, evaluation, filters, lanes, mining, upsert
-from corvane.plans.catalog import ALIVE, DOT, REQUESTS, WORDS_SQL, _alive, _base_vectors, _fts_sql, query, r6, requests
-from corvane.plans.catalog_tables import LISTS, RUNS, _runs
+from corvane.plans.catalog import ALIVE, DOT, REQUESTS, WORDS_SQL, _alive, _base_vectors, _fts_sql, plain_index, query, r6, requests
+from corvane.plans.catalog_tables import RUNS, _runs
 from corvane.sources.adapters import ENRICH_LABEL, enrichment, repositories, repository_embeddings, table
 
 
-@query("src09_lower_key_join", " SELECT l_orderkey AS place, n_name AS system FROM lineitem JOIN nation ON lower(n_name) = lower(concat('Nation_', l_suppkey % 25)) WHERE l_linenumber = 1", corpus=False)
-def _(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("place"), F.lower(F.concat(F.lit("Nation_"), F.col("l_suppkey") % 25)).alias("key"))
-    n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("system"))
-    return l.join(n, "key").select("place", "system")
-
-
-@query("src10_missing_is_a_fact", " SELECT id, dependent_count IS NOT NULL AS known, coalesce(dependent_count, 0) AS n FROM repositories LEFT JOIN signals ON repo_id = id WHERE stars > 300")
-def _(spark, sf_dir):
-    from corvane.sources.adapters import signals
-
-    r = repositories(spark, sf_dir).where("stars > 300").select(F.col("id").alias("repo_id"))
-    joined = r.join(signals(spark, sf_dir), "repo_id", "left")
-    return joined.select(F.col("repo_id").alias("id"), F.col("dependent_count").isNotNull().alias("known"), F.coalesce("dependent_count", F.lit(0)).cast("bigint").alias("n"))
-
-
-@query("src11_embed")
-def _(spark, sf_dir):
-    from corvane.sources import paged
-
-    rows = paged.embed(repositories(spark, sf_dir).select("id", "description"), "description", lambda: paged.hashing_encoder(32), 32)
-    return rows.select("id", r6(vectors.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-
-
 @query("snk04_replace_mined", ", m AS (SELECT repo_id, 'awesome-mined' AS source, 'new' AS description FROM enrichment WHERE len(queries) > 2) SELECT coalesce(e.repo_id, m.repo_id) AS repo_id, coalesce(e.source, m.source) AS source, coalesce(m.description, e.description) AS description FROM (SELECT repo_id, source, description FROM enrichment UNION ALL SELECT repo_id, 'awesome-mined', 'old' FROM enrichment WHERE len(queries) > 3) e FULL JOIN m USING (repo_id, source)")
 def _(spark, sf_dir):
     e = enrichment(spark, sf_dir)
@@ -46,13 +22,6 @@ def _(spark, sf_dir):
     return upsert.upsert(e.select("repo_id", "source", "description").unionByName(old), new, ["repo_id", "source"], ["description"])
 
 
-@query("snk07_guide_cache", " SELECT concat('d', doc_id) AS repo_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS guide FROM documents WHERE doc_id % 2 = 0", corpus=False)
-def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("repo_id"), "doc_id")
-    old = d.where("doc_id % 2 = 0").select("repo_id", F.lit("old").alias("guide"))
-    return upsert.upsert(old, d.where("doc_id % 4 = 0").select("repo_id", F.lit("new").alias("guide")), ["repo_id"], ["guide"])
-
-
 @query("snk13_run_lists", f"WITH {RUNS} SELECT query, array_to_string(list(doc ORDER BY rank), ',') AS docs FROM ra WHERE rank <= 5 GROUP BY query", corpus=False)
 def _(spark, sf_dir):
     a, _, _ = _runs(spark, sf_dir)
@@ -67,42 +36,12 @@ def _(spark, sf_dir):
     return r.join(top.select("id"), "id").select("id", "full_name", F.left("description", F.lit(20)).alias("description"))
 
 
-@query("fil13_guarded_names", " SELECT full_name FROM repositories WHERE regexp_full_match(full_name, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') AND is_fork")
-def _(spark, sf_dir):
-    return repositories(spark, sf_dir).where("is_fork").where(F.col("full_name").rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")).select("full_name")
-
-
-@query("joi02_left_flags", " SELECT id, coalesce(len(queries) > 1, false) AS flag FROM repositories LEFT JOIN enrichment ON repo_id = id")
-def _(spark, sf_dir):
-    flags = enrichment(spark, sf_dir).select(F.col("repo_id").alias("id"), (F.size("queries") > 1).alias("flag"))
-    return repositories(spark, sf_dir).select("id").join(flags, "id", "left").select("id", F.coalesce("flag", F.lit(False)).alias("flag"))
-
-
-@query("joi03_not_member", " SELECT id FROM repositories JOIN enrichment ON repo_id = id WHERE NOT (stars > 500)")
-def _(spark, sf_dir):
-    return repositories(spark, sf_dir).join(enrichment(spark, sf_dir).select(F.col("repo_id").alias("id")), "id").where("not stars > 500").select("id")
-
-
-@query("joi04_candidate_terms", " SELECT repo_id, len(queries) AS n FROM enrichment WHERE repo_id IN (SELECT id FROM repositories ORDER BY stars DESC, id LIMIT 300)")
-def _(spark, sf_dir):
-    candidates = repositories(spark, sf_dir).select(F.col("id").alias("repo_id"), "stars").orderBy(F.desc("stars"), "repo_id").limit(300)
-    return enrichment(spark, sf_dir).join(F.broadcast(candidates.select("repo_id")), "repo_id", "left_semi").select("repo_id", F.size("queries").cast("bigint").alias("n"))
-
-
 @query("joi05_vectors_of_alive", " SELECT repo_id, primary_language FROM repository_embeddings JOIN repositories ON id = repo_id WHERE model_name = 'base+enrich' AND NOT is_archived AND primary_language = 'en'")
 def _(spark, sf_dir):
     r = filters.apply_filters(repositories(spark, sf_dir), filters.SearchFilters(language="en")).select(F.col("id").alias("repo_id"), "primary_language")
     return repository_embeddings(spark, sf_dir).where(F.col("model_name") == ENRICH_LABEL).join(r, "repo_id").select("repo_id", "primary_language")
 
 
-@query("joi07_display_similarity", f" SELECT id, round(coalesce({DOT.format(a='e.embedding', b='q.embedding')}, 0.0), 6) AS similarity FROM (SELECT id FROM repositories ORDER BY stars DESC, id LIMIT 50) LEFT JOIN (SELECT * FROM repository_embeddings WHERE model_name = 'base') e ON repo_id = id LEFT JOIN (SELECT * FROM embeddings WHERE vec_id = 0) q ON true")
-def _(spark, sf_dir):
-    page = repositories(spark, sf_dir).select("id", "stars").orderBy(F.desc("stars"), "id").limit(50).select(F.col("id").alias("repo_id"))
-    vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
-    rows = page.join(_base_vectors(spark, sf_dir), "repo_id", "left")
-    return rows.select(F.col("repo_id").alias("id"), r6(F.coalesce(vectors.dot(F.col("embedding"), F.array(*map(F.lit, vector))), F.lit(0.0))).alias("similarity"))
-
-
 @query("joi09_not_exists", " SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l_quantity > 49)", corpus=False)
 def _(spark, sf_dir):
     sold = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
@@ -133,20 +72,6 @@ def _(spark, sf_dir):
     return qa.join(qb, "query", "left_anti").unionByName(qb.join(qa, "query", "left_anti"))
 
 
-@query("agg07_concat_terms", rf" SELECT lang, count(*) AS tokens FROM (SELECT lang, unnest({WORDS_SQL.format('text')}) AS t FROM documents) GROUP BY lang", corpus=False)
-def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    every = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    # a concatenation's size is the sum of sizes, so no list is gathered
-    return d.groupBy("lang").agg(F.sum(F.size(every)).cast("bigint").alias("tokens"))
-
-
-@query("agg08_votes")
-def _(spark, sf_dir):
-    targets, votes = mining.vote(mining.parse_lists(spark.createDataFrame(LISTS, "list_name string, content string")))
-    return votes.join(targets, "target").select("target", "kind", "value", "votes", "n_lists")
-
-
 @query("agg13_bool_or", " SELECT user_id, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY user_id", corpus=False)
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("bought"))
@@ -158,25 +83,6 @@ def _(spark, sf_dir):
     return lanes.dense(e, requests(spark, sf_dir), k=5).select("query_id", "repo_id", F.col("rnk").cast("bigint").alias("rnk"))
 
 
-@query("win03_score_rank", " SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY stars % 7 DESC, stars DESC, id) AS rnk FROM repositories QUALIFY rnk <= 3")
-def _(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc(F.col("stars") % 7), F.desc("stars"), "id"))
-    return repositories(spark, sf_dir).select("owner", "id", rank.cast("bigint").alias("rnk")).where("rnk <= 3")
-
-
-@query("top02_bounded_pre_limit", _fts_sql(ALIVE, "SELECT query_id, count(*) AS n FROM (SELECT query_id FROM members WHERE member QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY own DESC, stars DESC, repo_id) <= 10) GROUP BY query_id"))
-def _(spark, sf_dir):
-    lane = lanes.fulltext(_alive(spark, sf_dir), requests(spark, sf_dir), k=10)
-    return lane.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("top03_final_order", " SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY is_fork DESC, round(stars / 1000.0, 3) DESC, stars DESC, id) AS rank FROM repositories) WHERE rank <= 40")
-def _(spark, sf_dir):
-    by = [F.desc("is_fork"), F.desc(F.round(F.col("stars") / 1000.0, 3)), F.desc("stars"), F.asc("id")]
-    top = repositories(spark, sf_dir).select("id", "is_fork", "stars").orderBy(*by).limit(40).withColumn("g", F.lit(0))
-    return top.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*by)).cast("bigint").alias("rank"))
-
-
 DELTAS = f"""WITH {RUNS}, x AS (SELECT 'a' AS s, * FROM ra UNION ALL SELECT 'b', * FROM rb), r AS (SELECT s, x.query, count(grade) AS n FROM x LEFT JOIN qrels USING (query, doc) WHERE rank <= 5 GROUP BY s, x.query),
  d AS (SELECT query, CAST(b.n AS DOUBLE) - a.n AS delta FROM r a JOIN r b USING (query) WHERE a.s = 'a' AND b.s = 'b')"""
 
@@ -193,56 +99,29 @@ def _(spark, sf_dir):
     return best.select(F.lit("best").alias("side"), "query", "delta").unionByName(worst.select(F.lit("worst").alias("side"), "query", "delta"))
 
 
-@query("top07_sample_report", " SELECT id, n FROM (SELECT id, len(queries) AS n FROM repositories JOIN enrichment ON repo_id = id) ORDER BY n DESC, id LIMIT 12")
-def _(spark, sf_dir):
-    e = enrichment(spark, sf_dir).select(F.col("repo_id").alias("id"), F.size("queries").cast("bigint").alias("n"))
-    return repositories(spark, sf_dir).select("id").join(e, "id").orderBy(F.desc("n"), "id").limit(12)
-
-
 @query("top08_worst_first", DELTAS + " SELECT query, delta FROM d ORDER BY delta, query LIMIT 30", corpus=False)
 def _(spark, sf_dir):
     rows = _deltas(spark, sf_dir).withColumn("ndcg_graded", F.col("delta")).withColumn("ndcg", F.lit(None).cast("double"))
     return evaluation.worst_first(rows).limit(30).select("query", "delta")
 
 
-@query("set03_seeded_sample")
-def _(spark, sf_dir):
-    return evaluation.sample_rows(table(spark, sf_dir, "labels"), ["doc_id"], 300, seed=7)
-
-
-@query("fts01_english_analyzer")
-def _(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.array_join(analyze.english_words(F.col("text")), " ").alias("lexemes"))
-
-
 LIGHT = WORDS_SQL.format("concat_ws(' ', translate(full_name, '/_', '  '), array_to_string(topics, ' '), primary_language, description)")
 
 
-@query("fts02_light_document", f" SELECT id, len(list_distinct({LIGHT})) AS n FROM repositories")
-def _(spark, sf_dir):
-    return repositories(spark, sf_dir).select("id", F.size(text.words(lanes.light_text())).cast("bigint").alias("n"))
-
-
 @query("fts05_query_lexemes", rf", {REQUESTS} SELECT query_id, array_to_string(list_slice(list_sort(list_distinct({WORDS_SQL.format('query')})), 1, 8), ' ') AS slots FROM requests")
 def _(spark, sf_dir):
     return requests(spark, sf_dir).select("query_id", F.array_join(F.slice(F.array_sort(text.words(F.col("query"))), 1, lanes.MAX_SLOTS), " ").alias("slots"))
 
 
-@query("fts06_websearch")
-def _(spark, sf_dir):
-    return lanes.fulltext_websearch(repositories(spark, sf_dir), 'of the -zzz or "and the" in to by')
-
-
 @query("fts08_any_term", _fts_sql(ALIVE, "SELECT query_id, count(*) AS n FROM members WHERE own > 0 GROUP BY query_id"))
 def _(spark, sf_dir):
-    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir)).where("own > 0")
+    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), index=plain_index(spark, sf_dir)).where("own > 0")
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fts10_whole_query_in_readme", _fts_sql(ALIVE, "SELECT query_id, repo_id FROM members WHERE member AND own < least(2, n_slots)"))
 def _(spark, sf_dir):
-    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir))
+    found = lanes.coverage(_alive(spark, sf_dir), requests(spark, sf_dir), index=plain_index(spark, sf_dir))
     return found.where("member and own < least(2, n_slots)").select("query_id", "repo_id")
 
 
@@ -260,24 +139,12 @@ def _(spark, sf_dir):
     return r.select("id", F.length(document.build_text(set(r.columns))).cast("bigint").alias("n"))
 
 
-@query("min02_links_and_cleaning")
-def _(spark, sf_dir):
-    entries = mining.parse_lists(spark.createDataFrame(LISTS, "list_name string, content string"))
-    return entries.select("full_name", "alias", "description", F.array_join("categories", " > ").alias("trail"))
-
-
 @query("evl08_judged_alarm", f"WITH {RUNS} SELECT round(avg(j), 6) AS judged FROM (SELECT a.query, avg((q.doc IS NOT NULL)::INT) AS j FROM ra a LEFT JOIN qrels q USING (query, doc) WHERE rank <= 10 GROUP BY a.query) HAVING avg(j) < 0.9", corpus=False)
 def _(spark, sf_dir):
     a, _, qrels = _runs(spark, sf_dir)
     return evaluation.judged_alarm(evaluation.judged(a, qrels, 10)).select(r6(F.col("judged")).alias("judged"))
 
 
-@query("inc02_watermark_slices", " SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1", corpus=False)
-def _(spark, sf_dir):
-    rows = filters.since(table(spark, sf_dir, "events"), "ts", datetime(2024, 1, 10, 5))
-    return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("inc04_resumable_queue", " SELECT id FROM repositories WHERE id NOT IN (SELECT repo_id FROM repository_embeddings WHERE model_name = 'base') AND NOT is_archived ORDER BY stars DESC, id LIMIT 100")
 def _(spark, sf_dir):
     done = _base_vectors(spark, sf_dir).select(F.col("repo_id").alias("id"))

@@ -84,13 +84,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("fil12_scorecard", " SELECT o_orderkey AS repo_id, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS score, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 5 <> 0", corpus=False)
-def _(spark, sf_dir):
-    keep = F.col("o_orderkey") % 5 != 0
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("repo_id"), F.when(keep, F.col("o_totalprice")).alias("score"), F.when(keep, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("date"))
-    return json_sources.scorecards(rows).select("repo_id", F.col("scorecard_score").cast("double").alias("score"), F.date_format("scorecard_date", "yyyy-MM-dd").alias("day"))
-
-
 # --- sources --------------------------------------------------------------------------------------------
 
 BANDS_SQL = "(VALUES (200, 400, 1), (400, 1000, 2), (1000, 2000, 50), (2000, 5000, 100), (5000, 10000, 500), (10000, 50000, 5000)) b(a, z, w)"
@@ -127,15 +120,6 @@ def _(spark, sf_dir):
     return mining.curated_lists(repositories(spark, sf_dir).withColumn("topics", F.array(topic)), 30).select("id", "stars")
 
 
-@query("src13_batch_results", " SELECT concat('d', event_id) AS repo_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS description FROM events WHERE event_id % 3 <> 0", corpus=False)
-def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    payload = F.when(F.col("event_id") % 7 == 0, "not json").otherwise(F.to_json(F.struct(F.col("event_type").alias("description"))))
-    lines = e.select(F.to_json(F.struct(F.concat(F.lit("r"), "event_id").alias("key"), payload.alias("text"))).alias("value"))
-    ids = e.where("event_id % 3 <> 0").select(F.concat(F.lit("r"), "event_id").alias("key"), F.concat(F.lit("d"), "event_id").alias("repo_id"))
-    return json_sources.batch_results(lines, ids).select("repo_id", "payload.description")
-
-
 @query("src14_export", " SELECT full_name, length(left(readme, 1500)) AS n FROM repositories WHERE full_name IN (SELECT concat('src', item_id % 20, '/doc-', item_id) FROM benchmark)")
 def _(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20, F.lit("/doc-"), "item_id").alias("full_name"))
@@ -143,12 +127,6 @@ def _(spark, sf_dir):
     return out.select("v.full_name", F.length("v.readme").cast("bigint").alias("n"))
 
 
-@query("src15_tree_cut", " SELECT url FROM (SELECT DISTINCT url, length(url) - length(replace(url, '/', '')) AS depth FROM pages) ORDER BY depth, url LIMIT 50", corpus=False)
-def _(spark, sf_dir):
-    depth = F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit("")))
-    return table(spark, sf_dir, "pages").select("url").distinct().orderBy(depth, "url").limit(50)
-
-
 @query("src17_vectors_of_label", " SELECT repo_id, len(embedding) AS dim FROM repository_embeddings WHERE model_name = 'base' AND repo_id IN (SELECT repo_id FROM enrichment)")
 def _(spark, sf_dir):
     wanted = enrichment(spark, sf_dir).select("repo_id")
@@ -234,12 +212,6 @@ def _(spark, sf_dir):
     return upsert.upsert(old, l.select("doc_id", F.col("toxic").alias("grade")), ["doc_id"], [], do_nothing=True)
 
 
-@query("snk15_batch_requests", " SELECT CAST((rn - 1) // 150 AS BIGINT) AS chunk, concat('r', (rn - 1) % 150) AS key, repo_id FROM (SELECT concat('d', doc_id) AS repo_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)", corpus=False)
-def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("repo_id"), F.left("text", F.lit(40)).alias("prompt"))
-    return json_sources.batch_requests(rows, "doc_id", 150)[1].select("chunk", "key", "repo_id")
-
-
 @query("snk16_ledger_latest", " SELECT user_id, arg_max(event_type, ts || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS last FROM events GROUP BY user_id".replace("ts ||", "strftime(ts, '%Y%m%d%H%M%S%f') ||"), corpus=False)
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("last"))
@@ -317,7 +289,7 @@ def _(spark, sf_dir):
 
 @query("agg06_term_fold", rf" SELECT repo_id, array_to_string(list_sort(list_distinct({WORDS_SQL.format("concat_ws(' ', array_to_string(queries, ' '), description)")})), ' ') AS terms FROM enrichment")
 def _(spark, sf_dir):
-    return lanes.fold_terms(enrichment(spark, sf_dir)).select("repo_id", F.array_join("terms", " ").alias("terms"))
+    return lanes.fold_terms(enrichment(spark, sf_dir), analyze=text.words).select("repo_id", F.array_join("terms", " ").alias("terms"))
 
 
 @query("agg09_ordered_fold", """, e2 AS (SELECT * FROM enrichment UNION ALL SELECT repo_id, 'awesome-mined', list_slice(queries, 1, 1), concat('mined ', repo_id) FROM enrichment)
@@ -464,13 +436,6 @@ def _(spark, sf_dir):
     return d.join(stored, "doc_id").where(document.source_hash(F.col("text")) != F.col("was")).select("doc_id")
 
 
-@query("doc04_sane_strings", r""" SELECT conv_id, array_to_string(list_slice(list_filter(l, lambda x, i: NOT list_contains(list_transform(list_slice(l, 1, i - 1), lambda y: lower(y)), lower(x))), 1, 8), '|') AS kept FROM
- (SELECT conv_id, list_filter(list_transform(list(left(text, 90) ORDER BY turn), lambda t: regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '' AND length(x) <= 80) AS l FROM conversations GROUP BY conv_id)""", corpus=False)
-def _(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(90)).alias("t")))).alias("l"))
-    return c.select("conv_id", F.array_join(text.sane_strings(F.transform("l", lambda x: x["t"]), 8, 80), "|").alias("kept"))
-
-
 @query("doc06_judge_passage", " SELECT id, sha256(concat('Repository: ', full_name, chr(10), 'Description: ', description, chr(10), 'Language: ', primary_language, chr(10), 'Topics: ', array_to_string(topics, ', '), chr(10), 'README: ', left(readme, 1500))) AS digest FROM repositories")
 def _(spark, sf_dir):
     return repositories(spark, sf_dir).select("id", F.sha2(document.judge_passage(), 256).alias("digest"))
@@ -482,13 +447,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.grade(said).alias("grade"))
 
 
-@query("doc08_preamble", " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('## What it is', text) ELSE concat('no heading ', text) END AS guide FROM (SELECT doc_id, left(text, 30) AS text FROM documents)", corpus=False)
-def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("t"))
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure! ## What it is"), "t")).otherwise(F.concat(F.lit("no heading "), "t"))
-    return d.select("doc_id", document.trim_preamble(said).alias("guide"))
-
-
 @query("doc09_shown_file", " SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN length(text) > 2000 THEN 2012 ELSE length(text) END AS n FROM documents", corpus=False)
 def _(spark, sf_dir):
     content = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("a\0b"), "text")).otherwise(F.col("text"))
@@ -516,26 +474,18 @@ def _(spark, sf_dir):
     return g.withColumn("nth", nth).where(F.col("nth") <= mining.MAX_CATEGORIES).drop("nth")
 
 
-@query("min11_norm_key", r" SELECT doc_id, sha256(regexp_replace(lower(left(text, 200)), '[\s\-._]+', '', 'g')) AS k FROM documents", corpus=False)
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.norm_key(F.left("text", F.lit(200))), 256).alias("k"))
-
-
-# min11_norm_key, doc08_preamble, doc04_sane_strings and snk15_batch_requests read prefixes; these are the same over whole texts.
-
-
-@query("min11_norm_key_whole", r" SELECT doc_id, sha256(regexp_replace(lower(text), '[\s\-._]+', '', 'g')) AS k FROM documents", corpus=False)
+@query("min11_norm_key", r" SELECT doc_id, sha256(regexp_replace(lower(text), '[\s\-._]+', '', 'g')) AS k FROM documents", corpus=False)
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.norm_key(F.col("text")), 256).alias("k"))
 
 
-@query("doc08_preamble_whole", " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('## What it is', text) ELSE text END AS guide FROM documents", corpus=False)
+@query("doc08_preamble", " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('## What it is', text) ELSE text END AS guide FROM documents", corpus=False)
 def _(spark, sf_dir):
     said = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("## What it is"), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", document.trim_preamble(said).alias("guide"))
 
 
-@query("doc04_sane_strings_whole", r""" SELECT conv_id, array_to_string(list_slice(list_filter(l, lambda x, i: NOT list_contains(list_transform(list_slice(l, 1, i - 1), lambda y: lower(y)), lower(x))), 1, 8), '|') AS kept FROM
+@query("doc04_sane_strings", r""" SELECT conv_id, array_to_string(list_slice(list_filter(l, lambda x, i: NOT list_contains(list_transform(list_slice(l, 1, i - 1), lambda y: lower(y)), lower(x))), 1, 8), '|') AS kept FROM
  (SELECT conv_id, list_filter(list_transform(list(text ORDER BY turn), lambda t: regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '' AND length(x) <= 80) AS l FROM conversations GROUP BY conv_id)""", corpus=False)
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("l"))
@@ -549,32 +499,18 @@ def _(spark, sf_dir):
     return json_sources.batch_requests(rows, "doc_id", 150)[0].select("chunk", line["key"].alias("key"), F.sha2(line["prompt"], 256).alias("prompt"))
 
 
-LISTS = [
-    ("a/list", "# Awesome Widgets\n## Tools\n- [Acme](https://github.com/acme/rocket) - A very fast rocket for everyone.\n- [rocket](https://github.com/acme/rocket#readme)\n```\n- [no](https://github.com/no/no) - inside a fence here\n```\n"),
-    ("b/list", "## Engines\n* [Acme Rocket](https://github.com/Acme/Rocket/) — A very fast rocket for everyone.\n| [x](https://github.com/x/y) | Table cell text | MIT |\n"),
-]
-
-
-@query("min01_parse_lists")
-def _(spark, sf_dir):
-    return mining.parse_lists(spark.createDataFrame(LISTS, "list_name string, content string"))
+# --- packages -------------------------------------------------------------------------------------------
 
 
-@query("min08_select_payload")
-def _(spark, sf_dir):
-    targets, votes = mining.vote(mining.parse_lists(spark.createDataFrame(LISTS, "list_name string, content string")))
-    corpus = spark.createDataFrame([("d1", "acme/rocket", "rocket", "fast")], "id string, full_name string, name string, description string")
-    return mining.select_payload(targets, votes, corpus)
+#: Some packages are named like their record but for marks.
+PACKAGE = "CASE WHEN p_size > 40 THEN concat(lower(p_type), '/', p_name, '-', replace(p_brand, '#', '++')) ELSE p_name END"
 
 
-# --- packages -------------------------------------------------------------------------------------------
-
-
-@query("pkg01_select", """WITH c AS (SELECT DISTINCT p_brand AS repo_name, p_type AS system, p_name AS name, regexp_replace(lower(p_name), '[\\s\\-._]+', '', 'g') AS n, regexp_replace(lower(p_brand), '[\\s\\-._]+', '', 'g') AS r FROM part WHERE p_size > 10)
+@query("pkg01_select", f"""WITH c AS (SELECT DISTINCT p_brand AS repo_name, p_type AS system, {PACKAGE} AS name, regexp_replace(lower(list_extract(string_split({PACKAGE}, '/'), -1)), '[^a-z0-9]+', '', 'g') AS n, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS r FROM part WHERE p_size > 10)
  SELECT repo_name, system, name, row_number() OVER (PARTITION BY repo_name ORDER BY NOT (ends_with(n, r) OR ends_with(r, n)), length(name), system, name) AS rnk FROM c QUALIFY rnk <= 3""", corpus=False)
 def _(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_brand").alias("repo_name"), F.col("p_type").alias("system"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 10, "SOURCE_REPO").otherwise("ISSUE_TRACKER").alias("relation_type"))
+    rows = p.select(F.col("p_brand").alias("repo_name"), F.col("p_type").alias("system"), F.expr(PACKAGE).alias("name"), F.when(F.col("p_size") > 10, "SOURCE_REPO").otherwise("ISSUE_TRACKER").alias("relation_type"))
     return packages.select_packages(rows).select("repo_name", "system", "name", F.col("rnk").cast("bigint").alias("rnk"))
 
 
@@ -673,12 +609,6 @@ def _(spark, sf_dir):
     return evaluation.binary(a, qrels.where("grade = 1"), 5).select("query", r6(F.col("recall")).alias("recall"), r6(F.col("ndcg")).alias("ndcg"))
 
 
-@query("evl06_fisher")
-def _(spark, sf_dir):
-    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
-    return evaluation.fisher_p_distributed(l, permutations=100_000)
-
-
 @query("evl07_compare_deltas", f"""WITH {RUNS}, i AS (SELECT query, sum(grade / log2(rn + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS rn FROM qrels) WHERE rn <= 10 GROUP BY query),
  x AS (SELECT 'a' AS s, * FROM ra UNION ALL SELECT 'b', * FROM rb), d AS (SELECT s, x.query, sum(coalesce(grade, 0) / log2(rank + 1)) AS dcg FROM x LEFT JOIN qrels USING (query, doc) WHERE rank <= 10 GROUP BY s, x.query),
  n AS (SELECT s, query, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS v FROM d LEFT JOIN i USING (query)) SELECT query, round(b.v - a.v, 6) AS delta FROM n a JOIN n b USING (query) WHERE a.s = 'a' AND b.s = 'b'""", corpus=False)
