@@ -18,7 +18,7 @@ def test_upsert_policies(spark):
     assert same == {1: 10, 2: 20, 3: 30}
 
 
-def test_list_parsing():
+def test_list_parsing(spark):
     md = """# Awesome Things
 ## Contents
 - [x](https://github.com/no/where) in contents is still an entry
@@ -34,14 +34,31 @@ def test_list_parsing():
 | [t/x](https://github.com/t/x.git) | first cell text | more |
 - [one](https://github.com/a/one) and [two](https://github.com/a/two) - they share a line
 """
-    got = mining.parse_list(md, "Own/List")
+    lists = spark.createDataFrame([("Own/List", md), ("Own/List", "* [a](https://github.com/again/again)"), ("no/content", None), (None, "1. [b](https://github.com/b/b)\r\n# H\r\n+ [c](https://github.com/c/c)")], "list_name string, content string")
+    rows = mining.parse_lists(lists).collect()
+    own = sorted((r for r in rows if r.list_name == "Own/List"), key=lambda r: r.place)
+    assert sorted(r.full_name for r in own if r.place == 0) == ["again/again", "no/where"]
+    got = [tuple(r)[2:] for r in own if r.full_name != "again/again"]
     assert [e[0] for e in got] == ["no/where", "q/db", "t/x", "a/one", "a/two"]
     assert got[1][1:] == ("Quick DB", "A quick store.", ["Things", "Databases", "Columnar"])
     assert got[2][1:3] == ("t/x", "first cell text")
     assert got[3][2].startswith("and two") and got[4][2] is None
-    assert mining.anchor_parts("Name - Long words here") == ("Name", "Long words here")
-    assert mining.description("- short") is None and mining.description(" - " + "word " * 120).endswith("…")
-    assert mining.category("Contributing") is None and mining.category("何か tools") is None
+    assert sorted((r.full_name, r.place, r.categories) for r in rows if r.list_name is None) == [("b/b", 0, []), ("c/c", 1, ["H"])]
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert (one(mining.anchor_name(F.lit("Name - Long words here"))), one(mining.anchor_said(F.lit("Name - Long words here")))) == ("Name", "Long words here")
+    assert one(mining.said_of(F.lit("- short"))) is None and one(mining.said_of(F.lit(" - " + "word " * 120))).endswith("word…")
+    assert one(mining.said_of(F.lit(" - " + "x" * 500))) == "x" * 400 + "…"
+    assert one(mining.said_of(F.lit(" | cell | MIT |"))) == "cell | MIT" and one(mining.said_of(F.lit(" | a long cell | MIT |"))) == "a long cell"
+    assert one(mining.heading_label(F.lit("Contributing"))) is None and one(mining.heading_label(F.lit("何か tools"))) is None
+    assert one(mining.heading_label(F.lit("**Awesome** [Data](x) & Tools —"))) == "Data & Tools"
+    assert not any(one(mining.name_like(F.lit(x))) for x in ("", "www.x.y", "a b c d e f", "x" * 41, "123")) and one(mining.name_like(F.lit("Dear ImGui")))
+
+
+def test_headings_and_fences(spark):
+    """A heading counts until one of its level or above comes; a fence hides headings and entries, also an open one."""
+    md = "# A\n## B\n#### D\n- [1](https://github.com/o/a)\n### C\n- [2](https://github.com/o/b)\n# E\n- [3](https://github.com/o/c)\n## e\n- [4](https://github.com/o/d)\n~~~\n# X\n- [5](https://github.com/o/e)\n```\n- [6](https://github.com/o/f)\n~~~\n- [7](https://github.com/o/g)"
+    rows = mining.parse_lists(spark.createDataFrame([("l", md)], "list_name string, content string")).orderBy("place").collect()
+    assert [(r.full_name, r.categories) for r in rows] == [("o/a", ["A", "B", "D"]), ("o/b", ["A", "B", "C"]), ("o/c", ["E"]), ("o/d", ["E"]), ("o/f", ["E"])]
 
 
 def test_votes_and_payload(spark):
@@ -58,6 +75,8 @@ def test_votes_and_payload(spark):
 def test_packages(spark):
     rows = spark.createDataFrame([("pytorch", "PYPI", "torch", "SOURCE_REPO"), ("pytorch", "GO", "github.com/pytorch/pytorch", "SOURCE_REPO"), ("pytorch", "NPM", "zzz", "ISSUE_TRACKER")], "repo_name string, system string, name string, relation_type string")
     assert [(r.system, r.name) for r in packages.select_packages(rows).orderBy("rnk").collect()] == [("PYPI", "torch"), ("GO", "github.com/pytorch/pytorch")]
+    marked = spark.createDataFrame([("c++lib", "X", "aaaa", "SOURCE_REPO"), ("c++lib", "X", "my-clib", "SOURCE_REPO")], "repo_name string, system string, name string, relation_type string")
+    assert [r.name for r in packages.select_packages(marked).orderBy("rnk").collect()] == ["my-clib", "aaaa"]
 
 
 def test_bounded_cut_may_lose_a_lifted_record(spark):
@@ -157,3 +176,52 @@ def test_latest(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "b")], "k int, t int, v string")
     assert upsert.latest(df, ["k"], ["t"]).select("k", "v").collect()[0][1] == "b"
     assert df.agg(F.count("k")).first()[0] == 3
+
+
+def test_dense_keeps_k_however_rows_come(spark):
+    """The k nearest of each query leave a task, at any batch size; ties go to the smaller id."""
+    rng = random.Random(5)
+    vectors = [(f"d{i:04d}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(900)]
+    queries = [(q, [float(rng.randint(-2, 2)) for _ in range(4)]) for q in range(15)] + [(99, None)]
+    e = spark.createDataFrame(vectors, "repo_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id bigint, vector array<float>")
+    dist = lambda a, b: -sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(i, d): k + 1 for i, v in queries if v for k, (_, d) in enumerate(sorted((dist(x, v), d) for d, x in vectors)[:7])}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("16", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        assert {(r.query_id, r.repo_id): r.rnk for r in lanes.dense(e, q, k=7).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    held = spark.sparkContext.broadcast(([i for i, v in queries if v], __import__("numpy").array([v for _, v in queries if v]), None))
+    out = e.coalesce(1).mapInArrow(lanes._nearest(held, 7), "query_id bigint, repo_id string, dist double").count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert out == 7 * 15
+
+
+def test_vector_index(spark, tmp_path):
+    rng = random.Random(6)
+    vectors = [(f"d{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)] + [("none", None)]
+    e = spark.createDataFrame(vectors, "repo_id string, embedding array<float>")
+    q = e.where("repo_id <> 'none'").limit(20).select(F.substring("repo_id", 2, 9).cast("bigint").alias("query_id"), F.col("embedding").alias("vector"))
+    index = lanes.build_vector_index(e, str(tmp_path / "v"), cells=20)
+    exact = {(r.query_id, r.repo_id) for r in lanes.dense(e, q, k=10).collect()}
+    every = {(r.query_id, r.repo_id) for r in lanes.dense_indexed(index, q, k=10, probes=20).collect()}
+    some = {(r.query_id, r.repo_id) for r in lanes.dense_indexed(index, q, k=10, probes=8).collect()}
+    assert index.rows.count() == 1500 and every == exact and len(some & exact) >= 0.8 * len(exact)
+    assert lanes.dense_indexed(index, q.where("false")).count() == 0
+    assert lanes.build_vector_index(e.where("false"), str(tmp_path / "none")).rows.count() == 0
+
+
+def test_stored_index_gives_the_same_lanes(spark, tmp_path):
+    from corvane.plans.catalog import requests
+    from corvane.sources.adapters import repositories
+
+    sf = "/root/testdata/sf0.001"
+    corpus, asked = repositories(spark, sf), requests(spark, sf)
+    alive = filters.apply_filters(corpus, filters.SearchFilters())
+    index = lanes.build_index(corpus, str(tmp_path / "i"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(lanes.fulltext(alive, asked, index=index)) == rows(lanes.fulltext(alive, asked))
+    assert rows(lanes.name_match(alive, asked, normalised=True, index=index)) == rows(lanes.name_match(alive, asked, normalised=True))
+    # stop words are no lexemes by default
+    assert index.postings.where("lexeme in ('the', 'of', 'and')").count() == 0

@@ -33,6 +33,77 @@ def test_limiter():
     assert paged.with_retries(lambda: replies.pop(0), lim).body == "ok"
 
 
+def flaky(fragment, cursor):
+    """Fragment b is refused on its second page, c never ends."""
+    n = int(cursor or 0)
+    if fragment == "b" and n == 1:
+        return paged.Response(403, "no")
+    if fragment == "e":
+        return paged.Response(200, {"errors": ["x"]})
+    if fragment == "n":
+        raise TimeoutError("late")
+    return paged.Response(200, {"nodes": [f'{{"id": "{fragment}{n}"}}'], "next": str(n + 1) if fragment == "c" or n < 1 else None})
+
+
+def test_how_each_fragment_ended(spark):
+    spark.dataSource.register(paged.PagedSource)
+    read = spark.read.format("corvane_paged").option("fragments", "a|b|c|e|n").option("fetch", "test_sources.flaky").option("backoff_seconds", "0").option("retries", "2")
+    got = {r.fragment: (r.outcome.split(":")[0], r.n) for r in paged.outcomes(read.option("deadline_seconds", "0.2").load()).collect()}
+    assert got["a"] == ("done", 2) and got["b"] == ("aborted", 1) and got["e"] == ("aborted", 0) and got["n"] == ("aborted", 0)
+    assert got["c"][0] == "deadline" and got["c"][1] > 0
+
+
+def test_retries_and_limits():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    lim = paged.RateLimiter(clock=lambda: now[0], sleep=sleep)
+    second = paged.Response(403, "You have exceeded a secondary rate limit")
+    replies = [second, second, second, second, paged.Response(200)]
+    assert paged.with_retries(lambda: replies.pop(0), lim).status == 403 and slept == [60.0, 120.0, 240.0]
+    slept.clear()
+    errors = [ConnectionError("x"), TimeoutError("y"), paged.Response(200, "ok")]
+
+    def call():
+        e = errors.pop(0)
+        if isinstance(e, Exception):
+            raise e
+        return e
+
+    assert paged.with_retries(call, lim).body == "ok" and slept == [1.0, 2.0]
+    assert paged.with_retries(lambda: paged.Response(403, "denied"), lim).status == 403
+    slept.clear()
+    assert paged.with_retries(lambda: paged.Response(429, headers={"retry-after": "soon"}), lim, retries=1).status == 429 and slept == [60.0]
+
+
+def readme_of(name):
+    bodies = {
+        "o/a": {"encoding": "base64", "content": "ICMgVGl0bGUgCg=="}, "o/b": {"content": "", "download_url": "big"}, "o/c": {"encoding": "utf-8", "content": "x"},
+        "o/d": {"encoding": "base64", "content": "aGVsbG8ggCB3b3JsZA=="}, "o/e": {"content": "", "download_url": "gone"}, "o/f": {"encoding": "base64", "content": "a"},
+    }
+    if name == "o/g":
+        raise ConnectionResetError("down")
+    return paged.Response(200, bodies[name])
+
+
+def raw_of(url):
+    return paged.Response(200, b"y" * 300_000) if url == "big" else paged.Response(500)
+
+
+def test_readme_payloads(spark):
+    repos = spark.createDataFrame([(x, f"o/{x}") for x in "abcdefg"], "id string, full_name string")
+    got = {r.id: (r.readme_status, r.readme) for r in paged.fetch_readmes(repos, readme_of, raw_of, backoff=0.0).collect()}
+    assert got == {"a": ("ok", "# Title"), "b": ("ok", "y" * 8192), "c": ("error", None), "d": ("ok", "hello \ufffd world"), "e": ("error", None), "f": ("error", None), "g": ("error", None)}
+
+
+def test_package_endpoints():
+    assert paged.endpoint("packages", "github.com/a/b") == "projects/github.com%2Fa%2Fb:packageversions"
+    assert paged.endpoint("dependents", "NPM", "@a/b", "1.0") == "systems/NPM/packages/%40a%2Fb/versions/1.0:dependents"
+
+
 def fetch(name):
     return {"o/a": paged.Response(200, "  text "), "o/b": paged.Response(404), "o/c": paged.Response(200, "\n"), "o/d": paged.Response(403)}[name]
 
@@ -80,6 +151,11 @@ def test_incremental(spark, tmp_path):
     run()
     run()
     assert sorted(tuple(r) for r in snaps.current().collect()) == [(1, 3, "c"), (2, 1, "b"), (3, 1, "d")]
+    # a pointer that was not written to its end is passed over
+    current = tmp_path / "snaps" / "current"
+    (current / "999999999999").mkdir()
+    (current / "999999999999" / "part-0.txt").write_text("v-broken")
+    assert snaps.current().count() == 3
     mark, started = str(tmp_path / "mark"), datetime(2024, 1, 2, 3)
     assert incremental.read_watermark(spark, mark) is None
     assert not incremental.advance_watermark(spark, mark, started, 1, False)
