@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 
 import brute
 import pytest
@@ -98,13 +99,50 @@ def test_archives(spark, tmp_path):
     path = str(tmp_path / "w")
     got = warc.warc_round_trip(df, path)
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, brute.warc_rows(pages)))
-    kinds = [f["WARC-Type"] for p in (tmp_path / "w").glob("*.gz") for f, _ in warc.parse_archive(gzip.decompress(p.read_bytes()))]
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    records = [f for p in files for f, _ in warc.parse_archive(gzip.decompress(p.read_bytes()))]
+    kinds = [f["WARC-Type"] for f in records]
     assert kinds.count("continuation") >= 5 and kinds.count("revisit") == 5
+    # a gzip member a record, each with an id of its own, and revisits refer to records that there are
+    names = [f["WARC-Record-ID"] for f in records]
+    assert len(set(names)) == len(names) and {f["WARC-Refers-To"] for f in records if "WARC-Refers-To" in f} <= set(names)
+    for p in files:
+        data, n = p.read_bytes(), 0
+        while data:
+            one = zlib.decompressobj(31)
+            assert len(list(warc.parse_archive(one.decompress(data)))) == 1
+            data, n = one.unused_data, n + 1
+        assert n <= warc.RECORDS_A_FILE
     only_long = warc.write_warc(df, str(tmp_path / "m"), min_bytes=100)
     assert warc.read_warc(spark, only_long).where("record_type = 'revisit'").count() == 1
     assert warc.warc_round_trip(df.where("false")).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(*fields, block=b""):
+        head = "".join(f"{k}:{v}\r\n" for k, v in (*fields, ("Content-Length", len(block))))
+        return gzip.compress(f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nplain body"
+    data = record(("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>"), block=b"software: x")
+    data += record(("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:2>"), block=b"GET / HTTP/1.1\r\n\r\n")
+    data += record(("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Payload-Digest", "md5:abc"), block=http)
+    data += record(("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:uuid:4>"), block=b"\r\n\r\nraw")
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    rows = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r.payload_bytes)
+    assert [tuple(r) for r in rows] == [(None, 7, warc.digest_of(b"\r\n\r\nraw"), "response", None), (None, 10, warc.digest_of(b"plain body"), "response", None)]
+
+
+def test_many_rows_of_one_long_page(spark, tmp_path):
+    """A group that is put together is one record's segments, however many rows repeat its page."""
+    page = "é" * 40_000
+    df = spark.range(60).selectExpr("7L as page_id", f"'{'u' * 70_000}' as url", f"'{page}' as html").repartition(3)
+    path = warc.write_warc(df, str(tmp_path / "w"))
+    rows = warc.read_warc(spark, path).collect()
+    assert len(rows) == 60 and {tuple(r) for r in rows} == {(7, 80_000, warc.digest_of(page.encode()), "response", None)}
+    assert warc.read_warc(spark, warc.write_warc(df, str(tmp_path / "v"), min_bytes=10**6)).count() == 60
+
+
 def test_segments_and_chunks():
     with pytest.raises(ValueError, match="missing"):
         warc.join_segments([(1, None, b"a"), (3, 3, b"c")])
