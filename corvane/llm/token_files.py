@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._common import batch_rows, scratch_path
+from corvane.llm._common import batch_rows, materialize, scratch_path
 from corvane.llm.tokens import encoder, slices, with_end
 
 #: The encoder's cache in a worker: nothing else here needs memory, and words that come again are not encoded again.
@@ -76,15 +76,16 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the files with ``start``: the ids of all documents before this one in the corpus.
 
-    Only one small row a file goes through a single task and is broadcast; the number of files is
-    the number of write tasks, not the number of documents."""
+    Only one small row a file goes through a single task and into a written table, whose size Spark knows as it plans the join;
+    the number of files is the number of write tasks, not the number of documents."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
     first = F.min(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
     files = rows.groupBy("file").agg(first.alias("first_id"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy("first_id", "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = materialize(bases, "bases")
     return (
-        rows.join(F.broadcast(bases), "file")
+        rows.join(bases, "file")
         .withColumn("start", F.col("base") + F.col("local_start"))
         .select("doc_id", "start", "n_tokens", "ids")
     )

@@ -35,6 +35,12 @@ def test_toxicity_on_held_out_documents(tables):
     assert auc > 0.8 and accuracy > 0.85
 
 
+def test_toxicity_with_more_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    auc, accuracy = held_out(toxicity.classify(docs, labels), labels, "toxic")
+    assert auc > 0.9 and accuracy > 0.95
+
+
 def test_unseen_misspelling(spark, tables):
     model = toxicity.train(*tables)
     seed = "Anat with by of nteres atre are the thnt eringing onheed with erenenst thaner ing tionha and "
