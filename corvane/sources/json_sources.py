@@ -44,7 +44,7 @@ def batch_requests(rows: DataFrame, order: str, size: int) -> tuple[DataFrame, D
         offsets.append((r["part"], total))
         total += r["n"]
     base = spark.createDataFrame(offsets or [(0, 0)], "part bigint, base bigint")
-    numbered = ordered.withColumn("part", F.shiftright("_m", 33)).join(F.broadcast(base), "part")
+    numbered = ordered.withColumn("part", F.shiftright("_m", 33)).join(base, "part")  # a local table, of known size
     place = F.col("base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.withColumn("_place", place).withColumn("chunk", F.floor(place / size))
     numbered = numbered.withColumn("key", F.concat(F.lit("r"), (F.col("_place") - F.col("chunk") * size).cast("string")))

@@ -225,3 +225,27 @@ def test_stored_index_gives_the_same_lanes(spark, tmp_path):
     assert rows(lanes.name_match(alive, asked, normalised=True, index=index)) == rows(lanes.name_match(alive, asked, normalised=True))
     # stop words are no lexemes by default
     assert index.postings.where("lexeme in ('the', 'of', 'and')").count() == 0
+
+
+def test_english_lane_by_brute_force(spark):
+    """The lexical lane with its default analyzer against loops over records and requests."""
+    from corvane.functions.analyze import analyze
+    from corvane.plans.catalog import requests
+    from corvane.sources.adapters import repositories
+
+    sf = "/root/testdata/sf0.001"
+    corpus = filters.apply_filters(repositories(spark, sf), filters.SearchFilters())
+    asked = requests(spark, sf).unionByName(spark.createDataFrame([(900, "the of and", None), (901, "Running databases, the", None)], "query_id bigint, query string, vector array<float>"))
+    records = [(r.id, r.stars, " ".join(filter(None, [r.full_name.replace("/", " ").replace("_", " "), " ".join(r.topics), r.primary_language, r.description])), r.readme or "") for r in corpus.collect()]
+    texts = [(i, stars, set(analyze(light)), set(analyze(light + " " + readme[:2500]))) for i, stars, light, readme in records]
+    want = set()
+    for q in asked.collect():
+        lexemes = sorted(set(analyze(q.query)))
+        slots, found = set(lexemes[:8]), []
+        for i, stars, light, full in texts:
+            own = len(slots & light)
+            if lexemes and (own >= min(2, len(slots)) or full >= set(lexemes)):
+                found.append((-own, -stars, i))
+        want |= {(q.query_id, i, -own, k + 1) for k, (own, _, i) in enumerate(sorted(found)[:20])}
+    got = {(r.query_id, r.repo_id, r.coverage, r.rnk) for r in lanes.fulltext(corpus, asked, k=20).collect()}
+    assert got == want and not any(g[0] == 900 for g in got)
