@@ -2,8 +2,9 @@
 
 Turns are put in order by one range partitioning on (conv_id, turn), so a conversation of any length may
 span tasks. A turn's tokens are counted as it is written, escaped and marked. Prefix sums of them, within each task
-and then over the tasks' totals, give each turn its place; the turns that begin in one stretch of ``stride`` tokens are
-a window's new turns, but the last of them is a window of its own if they have more than ``stride`` tokens with it. A later window
+and then over the tasks' totals, give each turn its place; the turns that begin in one stretch of tokens are a window's new turns.
+A stretch is shorter than ``stride`` by the longest of the conversation's turns of up to half a stride, so that with such turns
+alone no window has more than ``stride`` new tokens; if a longer turn ends a stretch and is too much, it is a window of its own. A later window
 starts with the system turn and with as many of the turns before it as fit ``history`` tokens, whole and without a gap; both are
 repeated without loss. The loss mask covers the text of each assistant turn in the one window where it is new.
 
@@ -115,30 +116,32 @@ def format_windows(conversations: DataFrame, tokenizer: str, stride: int = STRID
     slim = ordered.select("conv_id", "seq", F.shiftright("seq", 33).alias("part"), "tokens", (F.col("role") == "system").alias("system"))
     local = Window.partitionBy("part", "conv_id").orderBy("seq")
     slim = slim.withColumn("end", F.sum("tokens").over(local))
-    parts = slim.groupBy("conv_id", "part").agg(F.sum("tokens").alias("total"), F.min_by(F.struct("seq", "system"), "seq").alias("first"))
+    short = F.max(F.when(F.col("tokens") <= stride // 2, F.col("tokens"))).alias("short")
+    parts = slim.groupBy("conv_id", "part").agg(F.sum("tokens").alias("total"), F.min_by(F.struct("seq", "system"), "seq").alias("first"), short)
     rows = Window.partitionBy("conv_id").orderBy("part")  # a row for each task that has turns of the conversation
     base = F.coalesce(F.sum("total").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.first("first").over(rows)
     system_seq = F.when(first["system"], first["seq"]).alias("system_seq")
-    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), base.alias("base"), system_seq)
+    span = (F.lit(stride) - F.coalesce(F.max("short").over(Window.partitionBy("conv_id")), F.lit(0))).alias("span")
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), base.alias("base"), system_seq, span)
     placed = slim.join(parts, F.expr("part = p AND conv_id <=> c"))
     end = F.col("base") + F.col("end")
-    placed = placed.select("conv_id", "seq", "system_seq", (end - F.col("tokens")).alias("begin"), end.alias("end"))
-    placed = materialize(placed.withColumn("stretch", F.floor(F.col("begin") / stride)), "placed")
+    placed = placed.select("conv_id", "seq", "system_seq", "span", (end - F.col("tokens")).alias("begin"), end.alias("end"))
+    placed = materialize(placed.withColumn("stretch", F.floor(F.col("begin") / F.col("span"))), "placed")
 
     # the last turn to begin in a stretch is a window of its own if all that begin there are too long
-    cut = placed.groupBy("conv_id", "stretch").agg(F.min("begin").alias("w_begin"), F.max("end").alias("w_end"), F.max("begin").alias("last"), F.max("system_seq").alias("system_seq"))
+    cut = placed.groupBy("conv_id", "stretch").agg(F.min("begin").alias("w_begin"), F.max("end").alias("w_end"), F.max("begin").alias("last"), F.max("system_seq").alias("system_seq"), F.max("span").alias("span"))
     cut = cut.withColumn("alone", (F.col("w_end") - F.col("w_begin") > stride) & (F.col("last") > F.col("w_begin")))
     cut = materialize(cut, "stretches")
     even = F.struct((2 * F.col("stretch")).alias("window"), F.col("w_begin").alias("begin"), F.when(F.col("alone"), F.col("last")).otherwise(F.col("w_end")).alias("end"))
     odd = F.struct((2 * F.col("stretch") + 1).alias("window"), F.col("last").alias("begin"), F.col("w_end").alias("end"))
-    windows = cut.select(F.col("conv_id").alias("c"), "system_seq", F.explode(F.when(F.col("alone"), F.array(even, odd)).otherwise(F.array(even))).alias("w"))
-    later = windows.select("c", "system_seq", "w.window", F.col("w.begin").alias("w_begin"), (F.col("w.end") - F.col("w.begin")).alias("fresh")).where("w_begin > 0")
+    windows = cut.select(F.col("conv_id").alias("c"), "system_seq", "span", F.explode(F.when(F.col("alone"), F.array(even, odd)).otherwise(F.array(even))).alias("w"))
+    later = windows.select("c", "system_seq", "span", "w.window", F.col("w.begin").alias("w_begin"), (F.col("w.end") - F.col("w.begin")).alias("fresh")).where("w_begin > 0")
     # earlier turns from here on fit the history; they begin in a bounded number of stretches
     room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(history + stride) - F.col("fresh")))
     later = later.withColumn("from", F.greatest(F.lit(0), F.col("w_begin") - room))
-    spread = later.where(F.col("from") < F.col("w_begin")).withColumn("s", F.explode(F.sequence(F.floor(F.col("from") / stride), F.floor((F.col("w_begin") - 1) / stride))))
-    past = placed.join(spread.drop("system_seq"), F.expr("conv_id <=> c AND stretch = s AND begin >= from AND begin < w_begin"))
+    spread = later.where(F.col("from") < F.col("w_begin")).withColumn("s", F.explode(F.sequence(F.floor(F.col("from") / F.col("span")), F.floor((F.col("w_begin") - 1) / F.col("span")))))
+    past = placed.join(spread.drop("system_seq", "span"), F.expr("conv_id <=> c AND stretch = s AND begin >= from AND begin < w_begin"))
     past = past.where("not (seq <=> system_seq)").select("conv_id", "window", "seq", F.lit(1).alias("kind"))
     systems = later.where("system_seq is not null").select(F.col("c").alias("conv_id"), "window", F.col("system_seq").alias("seq"), F.lit(0).alias("kind"))
     new = placed.join(cut.where("alone").select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.col("last").alias("l")), F.expr("conv_id <=> c AND stretch = s"), "left")
