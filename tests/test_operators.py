@@ -148,7 +148,7 @@ def test_fisher_over_all_rows(spark, monkeypatch):
     assert taken == [(labels, {"permutations": 100_000})] and labels > 50
 
 
-def test_compare_gate(spark):
+def test_compare_gate(spark, monkeypatch):
     q = [f"q{i}" for i in range(12)]
     good = spark.createDataFrame([(x, "g", 1) for x in q], "query string, doc string, rank int")
     bad = spark.createDataFrame([(x, "z", 1) for x in q], "query string, doc string, rank int")
@@ -158,6 +158,10 @@ def test_compare_gate(spark):
     assert summary["gate_pass"] and summary["n_queries"] == 12 and summary["judged_low"]
     best, worst = evaluation.extremes(deltas, 2)
     assert best.count() == 2 and worst.count() == 2
+    # with many queries the signs come from hashes
+    monkeypatch.setattr(evaluation, "SEQUENTIAL", 5)
+    spread, _ = evaluation.compare(bad, good, qrels, canary, gate_query="q0", gate_docs=["g"])
+    assert spread["gate_pass"] and abs(spread["p"] - summary["p"]) < 1e-3
 
 
 def test_guarded_names():
