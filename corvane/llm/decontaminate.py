@@ -26,7 +26,7 @@ from corvane.llm._common import as_row, batch_rows, fields, from_row, hold, mate
 from corvane.llm.fm_index import FMIndex
 
 WINDOW = 13
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 PHRASE_BYTES = 2 << 20
 #: Hit words of a contaminated document, as a share of its words: one in this many.
 ONE_IN = 20

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,10 @@ from corvane.llm.tokens import encoder, slices, with_end
 
 #: Pieces or bins that a task packs at once.
 GROUP_ITEMS = 60_000
+#: Text encoded at once, and the encoder's cache in a worker. With ids, which are held until their group is packed, both are
+#: smaller, and so many times fewer items are held.
+SLICE_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
+SLICE_WITH_IDS, CACHE_WITH_IDS, ITEMS_WITH_IDS = 2 << 20, 24 << 20, 32
 #: A bin with at most this share of its capacity free is final.
 NEARLY_FULL = 1 / 512
 #: Another round must save at least this share of the bins.
@@ -71,6 +75,11 @@ def _bin_base(level: int) -> int:
     return (level << 56) | (TaskContext.get().partitionId() << 32)
 
 
+def _lists(arrays: Sequence[np.ndarray]) -> pa.ListArray:
+    offsets = np.append(0, np.cumsum([len(a) for a in arrays])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+
+
 def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int, with_ids: bool):
     def packed(rows: list[tuple], base: int, used: int) -> tuple[pa.RecordBatch, int]:
         doc, piece, start, length, crc, *ids = zip(*rows, strict=True)
@@ -81,7 +90,7 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
             "start": pa.array(start, pa.int64()),
             "length": pa.array(length, pa.int64()),
             "ids_crc32": pa.array(crc, pa.int64()),
-            **({"ids": pa.array(ids[0], pa.list_(pa.int32()))} if with_ids else {}),
+            **({"ids": _lists(ids[0])} if with_ids else {}),
             "bin": pa.array(base + used + bins),
             "offset": pa.array(offsets),
             "fill": pa.array(fills[bins]),
@@ -89,12 +98,12 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
         return pa.RecordBatch.from_pydict(columns), used + len(fills)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHE_WITH_IDS if with_ids else CACHE_BYTES)
         rows: list[tuple] = []
         base, used = _bin_base(0), 0
         for part in batches(parts):
             texts, doc_ids = part.column("text"), part.column("doc_id").to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE_WITH_IDS if with_ids else SLICE_BYTES):
                 ids, ends = with_end(*enc.encode(texts.slice(lo, hi - lo)), end_id)
                 raw, at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), ends.tolist()
                 for doc, first, last in zip(doc_ids[lo:hi], at, at[1:], strict=False):
@@ -103,7 +112,7 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, group_items: int
                         row = (doc, k, a - first, b - a, zlib.crc32(raw[4 * a : 4 * b]))
                         rows.append((*row, ids[a:b].view("<i4")) if with_ids else row)
                 del raw, ids, ends
-                if len(rows) >= (group_items // 16 if with_ids else group_items):
+                if len(rows) >= (max(1, group_items // ITEMS_WITH_IDS) if with_ids else group_items):
                     batch, used = packed(rows, base, used)
                     yield batch
                     rows = []

@@ -130,6 +130,9 @@ def test_packing_empty_and_ids(spark, no_docs, odd_frame):
     path = tokenizer_path(FILES[1])
     assert packing.pack(no_docs, path).count() == 0
     packed = packing.pack(odd_frame, path, capacity=256, with_ids=True)
+    plain = packing.pack(odd_frame, path, capacity=256)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(repr, packed.select(*columns).collect())) == sorted(map(repr, plain.select(*columns).collect()))
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed.limit(50).collect())
     whole = packing.sequences(packed).collect()
     assert all(len(r.ids) <= 256 for r in whole) and sum(len(r.ids) for r in whole) == sum(r.length for r in packed.collect())
