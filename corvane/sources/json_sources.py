@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.scratch import materialize
+
 NODE = (
     "id string, nameWithOwner string, name string, owner struct<login:string>, description string, url string, homepageUrl string, "
     "primaryLanguage struct<name:string>, repositoryTopics struct<nodes:array<struct<topic:struct<name:string>>>>, "
@@ -35,9 +37,10 @@ def batch_results(lines: DataFrame, id_map: DataFrame) -> DataFrame:
 def batch_requests(rows: DataFrame, order: str, size: int) -> tuple[DataFrame, DataFrame]:
     """((chunk, value) JSON lines, (chunk, key, repo_id) map) of requests (repo_id, prompt) in chunks of ``size``.
 
-    Numbers come from one sorted pass over slim rows: partition offsets, then the place within the partition."""
+    Rows are put in order once and written: numbers are partition offsets, then the place within the partition."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "ordered")
     parts = ordered.groupBy(F.shiftright("_m", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
     offsets, total = [], 0
     for r in parts:
