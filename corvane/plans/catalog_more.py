@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.functions import analyze, text, vectors
+from corvane.functions import text
 from corvane.operators import document, evaluation, filters, lanes, mining, upsert
 from corvane.plans.catalog import ALIVE, DOT, REQUESTS, WORDS_SQL, _alive, _base_vectors, _fts_sql, plain_index, query, r6, requests
 from corvane.plans.catalog_tables import RUNS, _runs

@@ -386,7 +386,8 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", mining.heading_label(heading).alias("label"))
 
 
-@query("min05_descriptions", " SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL WHEN p_size > 20 THEN concat(p_name, ' of ', p_type, ', see now.') ELSE concat(trim(left(repeat(concat(p_name, ' '), 60), 400 - (400 % (length(p_name) + 1)) - CASE WHEN 400 % (length(p_name) + 1) > strpos(p_name, ' ') - 1 THEN 0 ELSE 0 END)), CASE WHEN 400 % (length(p_name) + 1) > strpos(p_name, ' ') - 1 THEN concat(' ', split_part(p_name, ' ', 1)) ELSE '' END, '…') END AS said FROM part", corpus=False)
+# the longest texts repeat a name of two words and are cut at the last space of their first 400 characters
+@query("min05_descriptions", " SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL WHEN p_size > 20 THEN concat(p_name, ' of ', p_type, ', see now.') ELSE concat(trim(left(repeat(concat(p_name, ' '), 60), 400 - (400 % (length(p_name) + 1)))), CASE WHEN 400 % (length(p_name) + 1) > strpos(p_name, ' ') - 1 THEN concat(' ', split_part(p_name, ' ', 1)) ELSE '' END, '…') END AS said FROM part", corpus=False)
 def _(spark, sf_dir):
     tail = F.when(F.col("p_size") > 40, F.lit(" - tiny"))
     tail = tail.when(F.col("p_size") > 20, F.concat(F.lit(" - **"), "p_name", F.lit("** of `"), "p_type", F.lit("`, see https://x.y/z now. ([Demo](https://d)) `MIT`")))
