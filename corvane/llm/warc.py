@@ -24,7 +24,6 @@ no records; columns other than page_id, url and html are not read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import zlib
@@ -42,6 +41,7 @@ SEGMENT_BYTES = 32 << 10
 MAX_SEGMENT_BYTES, MAX_URL = 8 << 20, 65_536
 CHUNK_BYTES = 8 << 10
 RECORDS_A_FILE = 1000
+READ_BYTES = 16 << 10
 END_OF_RECORD = b"\r\n\r\n"
 KINDS = ("response", "resource", "revisit", "continuation")
 DATE = "2024-01-01T00:00:00Z"
@@ -183,6 +183,20 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
     return path
 
 
+def unpacked(data: bytes | memoryview) -> bytes:
+    """The content of all gzip members; each is fed by pieces, as what follows a member is copied when it ends."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + READ_BYTES]
+            out.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+    return b"".join(out)
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record; lengths come from the records themselves."""
     at = 0
@@ -212,7 +226,7 @@ def _parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for content in part.column("content"):
             rows: list[tuple] = []
-            for f, block in parse_archive(gzip.decompress(content.as_buffer())):
+            for f, block in parse_archive(unpacked(content.as_buffer())):
                 kind, name = f["WARC-Type"], f["WARC-Record-ID"]
                 if kind not in KINDS:
                     continue
