@@ -25,7 +25,7 @@ from corvane.llm._common import batch_rows, materialize, scratch_path
 from corvane.llm.tokens import encoder, slices, with_end
 
 #: The encoder's cache in a worker: nothing else here needs memory, and words that come again are not encoded again.
-CACHE_BYTES = 176 << 20
+CACHE_BYTES = 128 << 20
 FILE_SCHEMA = "doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 
 
