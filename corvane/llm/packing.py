@@ -32,7 +32,7 @@ from corvane.llm.tokens import encoder, slices, with_end
 GROUP_ITEMS = 60_000
 #: Text encoded at once, and the encoder's cache in a worker. With ids, which are held until their group is packed, both are
 #: smaller, and so many times fewer items are held.
-SLICE_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
+SLICE_BYTES, CACHE_BYTES = 8 << 20, 128 << 20
 SLICE_WITH_IDS, CACHE_WITH_IDS, ITEMS_WITH_IDS = 2 << 20, 24 << 20, 32
 #: A bin with at most this share of its capacity free is final.
 NEARLY_FULL = 1 / 512
