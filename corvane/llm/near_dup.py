@@ -3,24 +3,26 @@
 1. Each text becomes its set of distinct shingles, a 128-bit key of the set and ``WIDTH`` minwise
    tokens. Documents with equal sets form a class; only one row a class goes on.
 2. Independent trees: a node selects ``BRANCH`` of the minwise tokens by a hash of its path, and each
-   document goes on to the child named by its own token's value. Nodes of up to ``NODE_LIMIT``
+   document goes on to the child named by its own token's value. Nodes of up to ``CROWD_BLOCK``
    documents are compared exhaustively by their token sketches; larger ones branch again. All
-   levels are DataFrame steps over (path, class) rows: no node is gathered in one task.
+   levels are DataFrame steps over (path, class) rows: no larger node is gathered in one task.
    A pair of similarity s stays together at a level with 1 - (1 - s)^BRANCH. If it has to at all MAX_DEPTH levels, the
    trees miss a pair at the threshold with probability 1.7e-7 at 0.85 and 4.9e-6 at 0.8, at three levels 1e-8 and 3.2e-7.
    Sketches that disagree too often rule a pair out in any tree: at the threshold with probability 1.5e-7 at
    0.85 and 8e-8 at 0.8 (binomial). Pairs above the threshold are missed less often.
    A node of which most selected tokens leave half its documents in one child can't well be parted (a
-   crowd of near copies); it is dealt out as pairs of blocks of ``CROWD_BLOCK`` sketches, and each task returns
-   a spanning forest of the sketches that agree.
+   crowd of near copies); about ``TRIED`` of its documents show that, so that it is not opened as a whole. It is
+   dealt out as blocks of ``CROWD_BLOCK`` sketches (4), and each task returns a spanning forest of the sketches that agree.
 3. Candidate groups are the components of what 2 found. Shingle sets are made again for their members
    alone, and all links within a group are decided on the full sets. A large group is dealt out as
-   pairs of blocks of bounded size; each task returns a spanning forest of the links it confirmed,
-   never all pairs.
-4. Components of the confirmed links, spread over the classes' members.
+   blocks of bounded size (4); each task returns a spanning forest of the links it confirmed, never all pairs.
+4. What has several blocks is linked in two rounds. First each block is compared within itself and with a few members
+   that all blocks get. Then those outside the largest component so far are compared with all others: a pair
+   within that component is connected already, any other pair meets in a task.
+5. Components of the confirmed links, spread over the classes' members.
 
-Groups of m mutually similar *different* texts cost m / ``BLOCK`` transfers of each of their sets; equal texts
-cost nothing more.
+A group of m mutually similar *different* texts costs about one transfer of each of their sets in the first round; r texts
+that it leaves outside cost r / ``BLOCK`` transfers of each set, and m / ``BLOCK`` of their own. Equal texts cost nothing more.
 
 Defined results: a null text, or one without words, has no shingles, is linked with nothing and is
 its own component; a row with a null doc_id is linked with nothing, and its component is null; rows
@@ -30,7 +32,7 @@ that share a doc_id are one document for linking; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ MAX_DEPTH = 6
 #: A node is not parted if most of its selected tokens leave this share of it in one child.
 DENSE = 0.5
 CROWD_BLOCK = 1024
+#: Documents of a node that show whether it can be parted, and members of a large group that all its blocks get (on average).
+TRIED, PIVOTS = 512, 16
 #: Sketches must agree in this many places less than expected at the threshold, in standard deviations.
 SLACK = 5.5
 BLOCK = 768
@@ -160,7 +164,7 @@ def _compare_nodes(agree: int):
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (u, v) between classes whose components hold every pair that the trees bring together."""
+    """(node, component) of classes: each pair that the trees bring together has one component."""
     agree = max(1, math.floor(WIDTH * threshold - SLACK * math.sqrt(WIDTH * threshold * (1 - threshold))))
     slim = classes.select("cid", "sig")
     rows = slim.select("cid", F.explode(_roots()).alias("path"))
@@ -171,42 +175,73 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
         level = materialize(rows.join(sizes, "path"), f"level_{depth}")
         part = level.where(F.col("n") <= NODE_LIMIT).select("path", "cid")
         small = part if small is None else small.unionByName(part)
-        large = level.where(F.col("n") > NODE_LIMIT)
-        if large.isEmpty():
-            break
-        if depth == MAX_DEPTH:
-            crowd = large
-        else:
-            opened = large.join(slim, "cid").select(
-                "cid", F.col("path").alias("parent"), F.col("n").alias("of"), F.posexplode(_children(depth)).alias("branch", "path")
-            )
-            opened = materialize(opened, f"children_{depth}")
-            counts = opened.groupBy("parent", "branch", "path").agg(F.count(F.lit(1)).alias("k"), F.max("of").alias("of"))
-            largest = counts.groupBy("parent", "branch").agg((F.max("k") / F.max("of")).alias("share"))
+        crowd = level.where(F.col("n") > NODE_LIMIT)
+        large = crowd.where(F.col("n") > CROWD_BLOCK)
+        last = depth == MAX_DEPTH or large.isEmpty()
+        if not last:
+            tried = large.where(_unit(F.xxhash64("cid", "path")) < F.lit(float(TRIED)) / F.col("n"))
+            counts = _opened(tried, slim, depth).groupBy("parent", "branch", "path").agg(F.count(F.lit(1)).alias("k"))
+            largest = counts.groupBy("parent", "branch").agg((F.max("k") / F.sum("k")).alias("share"))
             middle = F.element_at(F.array_sort(F.collect_list("share")), BRANCH // 2 + 1)
-            dense = materialize(largest.groupBy("parent").agg((middle >= DENSE).alias("dense")), f"dense_{depth}")
-            crowd = large.join(dense.where("dense").select(F.col("parent").alias("path")), "path")
-            rows = opened.join(dense.where("not dense").select("parent"), "parent").select("cid", "path")
-        crowd = crowd.select("path", "cid", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks"))
+            dense = largest.groupBy("parent").agg(middle.alias("share")).where(F.col("share") >= DENSE)
+            dense = materialize(dense.select(F.col("parent").alias("path")), f"dense_{depth}")
+            crowd = crowd.where(F.col("n") <= CROWD_BLOCK).unionByName(large.join(dense, "path", "left_semi"))
+            rows = materialize(_opened(large.join(dense, "path", "left_anti"), slim, depth).select("cid", "path"), f"children_{depth}")
         crowds = crowd if crowds is None else crowds.unionByName(crowd)
+        if last:
+            break
     # one byte of each minwise token is enough to compare by
     sketch = F.unhex(F.concat(*[F.hex(F.substring("sig", 4 * j + 4, 1)) for j in range(WIDTH)]))
     joined = small.join(slim, "cid").select("path", "cid", sketch.alias("sketch"))
     near = joined.repartition("path").sortWithinPartitions("path", "cid").mapInArrow(_compare_nodes(agree), "u bigint, v bigint")
-    if crowds is not None:
-        members = crowds.join(slim, "cid").select("path", "cid", "blocks", sketch.alias("sketch"))
-        dealt = _block_pairs(members, ["path"], ["cid", "sketch"])
-        near = near.unionByName(
-            dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "cid").mapInArrow(_compare_crowds(agree), "u bigint, v bigint")
-        )
-    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-
-
-def _block_pairs(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
-    """Rows with ``blocks``, dealt to each pair (i, j) of blocks that has their own block as one."""
-    own = F.pmod(F.xxhash64("cid", F.lit(11)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept)
+    near = near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    crowds = crowds.select("path", "cid", F.col("n").alias("m"), F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks"))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "cid")
+        return dealt.mapInArrow(_compare_crowds(agree), "u bigint, v bigint")
+
+    members = crowds.join(slim, "cid").select("path", "cid", "m", "blocks", sketch.alias("sketch"))
+    return _linked(members, "path", "sketch", compare, near)
+
+
+def _unit(h: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return h.cast("double") / F.lit(float(2**64)) + F.lit(0.5)
+
+
+def _opened(nodes: DataFrame, slim: DataFrame, depth: int) -> DataFrame:
+    return nodes.join(slim, "cid").select("cid", F.col("path").alias("parent"), F.posexplode(_children(depth)).alias("branch", "path"))
+
+
+def _linked(rows: DataFrame, key: str, payload: str, compare: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the links that ``compare`` finds between rows (cid, m, blocks) of equal ``key``, and of the edges ``more``.
+
+    ``compare`` takes rows dealt to tasks (key, i, j) and gives a spanning forest of each task's links. No pair of rows is left
+    out but those that are connected already."""
+    place = F.xxhash64(key, "cid", F.lit(11))
+    blocks = F.col("blocks")
+    few = F.least(F.lit(float(PIVOTS)) / F.col("m"), F.lit(0.25) / blocks)  # a block grows by a quarter at most
+    pivot = (blocks > 1) & (_unit(F.xxhash64(key, "cid", F.lit(12))) < few)
+    at = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(place, blocks).cast("int")))
+    first = rows.select(key, "cid", payload, F.explode(at).alias("i")).withColumn("j", F.col("i"))
+    edges = compare(first)
+    found = connected_components(edges if more is None else edges.unionByName(more))
+    several = rows.where("blocks > 1").join(found, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cid"))
+    labels = several.groupBy(key, "label").agg(F.count(F.lit(1)).alias("k"), F.max("blocks").alias("of"))
+    sizes = labels.groupBy(key).agg(F.max_by("label", "k").alias("bulk"), F.max("k").alias("most"), F.sum("k").alias("all"), F.max("of").alias("of"))
+    share = lambda n: F.ceil(n * F.col("of") / F.col("all")).cast("int")
+    sizes = sizes.select(key, "bulk", share(F.col("all") - F.col("most")).alias("outer"), share(F.col("most")).alias("inner"))
+    sizes = materialize(sizes.where(F.col("outer") > 0), "bulks")
+    if sizes.isEmpty():
+        return found
+    # blocks 0 to outer - 1 have the rows outside the largest component, which meet all; the others meet only those
+    dealt = several.join(sizes, key).withColumn("out", F.col("label") != F.col("bulk"))
+    own = F.when(F.col("out"), F.pmod(place, F.col("outer"))).otherwise(F.col("outer") + F.pmod(place, F.col("inner"))).cast("int")
+    last = F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    dealt = dealt.select(key, "cid", payload, own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", payload)
+    return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(compare(dealt)))
 
 
 def _grouped(parts: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, str]) -> Iterator[tuple[list, list]]:
@@ -357,7 +392,7 @@ def _member_sets(width: int, bloom):
 
 
 def _confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed edges between the members (cid) of each candidate group (grp).
+    """(node, component) of the confirmed links between the members (cid) of each candidate group (grp).
 
     A Bloom filter of the members picks their texts where they are read, so only members' sets are shuffled."""
     words, bits = _bloom(groups)
@@ -367,11 +402,13 @@ def _confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int) ->
     found = texts.mapInArrow(_member_sets(width, bloom), "doc_id bigint, shingles binary, n bigint").where("n > 0")
     sets = materialize(found.join(groups, F.col("doc_id") == F.col("cid")).select("cid", "grp", "shingles", "n"), "sets")
     sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
-    blocks = sizes.select("grp", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = _block_pairs(sets.join(blocks, "grp"), ["grp"], ["cid", "shingles"])
-    return (
-        dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_confirm(width, percent), "u bigint, v bigint")
-    )
+    blocks = sizes.select("grp", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return dealt.mapInArrow(_confirm(width, percent), "u bigint, v bigint")
+
+    return _linked(sets.join(blocks, "grp"), "grp", "shingles", compare)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -392,10 +429,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     at = {name: scratch_path(spark, name) for name in ("groups", "linked")}
     with scratch_scope(spark):
-        candidates = connected_components(_candidates(classes, percent / 100))
+        candidates = _candidates(classes, percent / 100)
         groups = materialize(candidates.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups", at["groups"])
     with scratch_scope(spark):
-        found = materialize(connected_components(_confirmed(docs, groups, width, percent)), "linked", at["linked"])
+        found = materialize(_confirmed(docs, groups, width, percent), "linked", at["linked"])
     by_class = classes.select("k1", "k2", "cid").join(found, F.col("cid") == F.col("node"), "left")
     by_class = materialize(by_class.select("k1", "k2", F.coalesce("component", "cid").alias("of_class")), "class_components")
     linked = F.col("n_shingles") > 0

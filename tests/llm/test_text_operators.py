@@ -149,6 +149,40 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert Counter(r.kept for r in got)[True] < 120
 
 
+def test_a_crowd_is_not_opened(spark, monkeypatch):
+    """Children are made only of nodes that they part: a crowd of near copies is compared as it is."""
+    for name, value in (("BLOCK", 64), ("CROWD_BLOCK", 64), ("NODE_LIMIT", 8)):
+        monkeypatch.setattr(near_dup, name, value)
+    made, write = Counter(), near_dup.materialize
+
+    def counted(df, name, path=None):
+        out = write(df, name, path)
+        made[name.split("_")[0]] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    docs = list(enumerate(near_copies(400, 5, 7)))
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 85).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute.components(docs, 3, 85))
+    assert made["level"] > 3000 and made["children"] <= 400
+
+
+@pytest.mark.parametrize("rule, groups, most", [("a.cid % 3 = b.cid % 3", 3, 12_000), ("abs(a.cid - b.cid) = 1", 1, 12_000), ("a.cid < 0", 500, 12_000), ("least(a.cid, b.cid) > 0", 2, 1200)])
+def test_large_groups_in_two_rounds(spark, rule, groups, most):
+    """Cliques, a chain, no links and one clique of 499 among 500 members in 20 blocks: no link is lost, and one clique costs about two transfers, not 20."""
+    dealt = []
+
+    def compare(rows):
+        dealt.append(rows.count())
+        pairs = rows.alias("a").join(rows.alias("b"), F.expr(f"a.grp = b.grp and a.i = b.i and a.j = b.j and a.cid < b.cid and {rule}"))
+        return pairs.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
+
+    rows = spark.range(500).selectExpr("7L as grp", "id as cid", "500L as m", "20 as blocks", "'x' as payload")
+    found = {r.node: r.component for r in near_dup._linked(rows, "grp", "payload", compare).collect()}
+    assert len({found.get(i, i) for i in range(500)}) == groups
+    assert all(found.get(i, i) <= i for i in range(500)) and sum(dealt) <= most
+
+
 def test_one_document_of_each_group(spark, odd_frame, no_docs):
     """Rows that share a doc_id are told apart by their texts; of alike rows one stays, and no differing text is lost."""
     a, b, c, d = near_copies(1, 0, 3) + near_copies(1, 0, 4) + near_copies(1, 0, 5) + near_copies(1, 0, 6)
