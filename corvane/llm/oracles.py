@@ -57,3 +57,35 @@ edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT reach.a, edge.y FROM reach JOIN edge ON edge.x = reach.z),
 comp AS (SELECT a AS doc_id, min(z) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)"""
+
+TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {TERMS.format(LOWER.format('text'))} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS.format(LOWER.format('text'))}) AS term FROM benchmark),
+t AS (SELECT row_id, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, s),
+part AS (SELECT row_id, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)) AS share FROM tf, s),
+score AS (SELECT item_id, row_id, doc_id, CAST(sum(w * share) AS BIGINT) AS score FROM part JOIN w USING (term) JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM w) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+cut AS (SELECT *, array_to_string(w[1:k], ' ') AS part, array_to_string(w[k + 1:m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.part JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, a, array_to_string(w[i:i + j - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c WHERE m > 2))),
+around AS (SELECT lang, phrase, max(a) AS around FROM sub GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN around o ON o.lang = low.lang AND o.phrase = low.phrase WHERE o.around IS NULL OR CAST(100 AS HUGEINT) * o.around < CAST(80 AS HUGEINT) * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r.r AS r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000"""

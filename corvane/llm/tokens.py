@@ -96,6 +96,10 @@ class ChunkEncoder:
                     self.cached_bytes += _ENTRY_BYTES + len(c) + len(x)
         return ids
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of each word (without white space) by itself."""
+        return self._ids_of(words, False)
+
     def _shrink(self) -> None:
         """Chunks that came first are the common ones; the last third goes. They are the shorter ones too, so a share by
         number is more than what they take."""
