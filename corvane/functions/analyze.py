@@ -122,6 +122,16 @@ def analyze(text: str | None) -> list[str]:
     return [stem(t) for t in tokens(text or "") if t not in STOP_WORDS]
 
 
+def positions(text: str | None) -> list[str | None]:
+    """A stem or, for a stop word, null at each position."""
+    return [None if t in STOP_WORDS else stem(t) for t in tokens(text or "")]
+
+
+def plain_positions(text: str | None) -> list[str | None]:
+    """``corvane.functions.text.sequence`` of one text."""
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
 @arrow_udf(ArrayType(StringType()))
 def _english(texts: pa.Array) -> pa.Array:
     return pa.array([list(dict.fromkeys(analyze(t))) if t is not None else None for t in texts.to_pylist()], pa.list_(pa.string()))
@@ -142,16 +152,29 @@ def english_sequence(text: Column) -> Column:
     return _english_all(text)
 
 
+@arrow_udf(ArrayType(StringType()))
+def _english_positions(texts: pa.Array) -> pa.Array:
+    return pa.array([positions(t) if t is not None else None for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def english_positions(text: Column) -> Column:
+    """The English lexeme at each position, null for a stop word."""
+    return _english_positions(text)
+
+
 @dataclass(frozen=True)
 class Term:
-    """A word or phrase of a web-style query."""
+    """A word or phrase of a web-style query; ``offsets`` are the lexemes' places from the first on."""
 
     lexemes: tuple[str, ...]
     negated: bool = False
+    offsets: tuple[int, ...] = ()
 
 
 def parse_websearch(query: str, analyzer=analyze) -> list[list[Term]]:
-    """Alternatives (OR) of conjunctions: words, "phrases" and -negations; terms without a lexeme drop out."""
+    """Alternatives (OR) of conjunctions: words, "phrases" and -negations; terms without a lexeme drop out.
+
+    An analyzer that gives null at the places of stop words keeps the distances within a phrase."""
     groups: list[list[Term]] = [[]]
     for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', query):
         if m[3] is not None and m[3].lower() == "or":
@@ -159,9 +182,9 @@ def parse_websearch(query: str, analyzer=analyze) -> list[list[Term]]:
             continue
         raw = m[2] if m[3] is None else m[3]
         negated = m[1] == "-" if m[3] is None else raw.startswith("-")
-        lexemes = tuple(analyzer(raw.lstrip("-") if m[3] is not None else raw))
-        if lexemes:
-            groups[-1].append(Term(lexemes, negated))
+        found = [(i, x) for i, x in enumerate(analyzer(raw.lstrip("-") if m[3] is not None else raw)) if x is not None]
+        if found:
+            groups[-1].append(Term(tuple(x for _, x in found), negated, tuple(i - found[0][0] for i, _ in found)))
     return [g for g in groups if g]
 
 

@@ -20,9 +20,14 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sequence(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
 def words(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits, in order of first use (the ``simple`` analyzer)."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    return F.array_distinct(sequence(text))
 
 
 def strip(text: Column) -> Column:
