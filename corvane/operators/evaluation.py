@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import twister
 
-#: Up to this many queries are compared by one generator on the driver, as their number is known by then; more by hashed signs.
-SEQUENTIAL = 2_000
+#: Numbers that a task draws at least, as far as there are so many, and at once at most.
+BLOCK_DRAWS, CHUNK_DRAWS = 1 << 26, 1 << 22
 
 
 def _gain(grade: Column, rank: Column) -> Column:
@@ -98,18 +98,52 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return row.select("n", "exact", F.col("agree").alias("binary_agree"), kappa.alias("kappa"), "bias")
 
 
-def fisher_p(deltas: Sequence[float], permutations: int = 100_000, seed: int = 0) -> float:
-    """Two-sided paired randomisation test, one generator in sequence on the driver (a number a query)."""
-    n = len(deltas)
-    observed = abs(sum(deltas) / n) if n else 0.0
+def _reached(n: int, trials: int, permutations: int, observed: float, seed: int):
+    """Rows (block, delta) sorted by block: how many of the block's trials reach the observed mean."""
+
+    def count(block: int, d: np.ndarray) -> int:
+        first, end = block * trials, min((block + 1) * trials, permutations)
+        draws, reached = twister.after(seed, first * n), 0
+        for lo in range(first, end, step := max(1, CHUNK_DRAWS // n)):
+            kept = draws.random_sample((min(step, end - lo), n)) < 0.5
+            reached += int((np.abs((2.0 * (kept @ d) - d.sum()) / n) >= observed - 1e-12).sum())
+        return reached
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], []
+        for part in parts:
+            blocks, deltas = part.column("block").to_numpy(), part.column("delta").to_numpy()
+            for a, b in zip(at := [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist()], [*at[1:], len(blocks)], strict=True):
+                if b > a:
+                    if key is not None and blocks[a] != key:
+                        found.append(count(key, np.concatenate(held)))
+                        held = []
+                    key = int(blocks[a])
+                    held.append(deltas[a:b])
+        if key is not None:
+            found.append(count(key, np.concatenate(held)))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["reached"])
+
+    return run
+
+
+def fisher_p(deltas: DataFrame, permutations: int = 100_000, seed: int = 0, block_draws: int = BLOCK_DRAWS) -> DataFrame:
+    """Two-sided paired randomisation test of rows (query, delta) as one row ``p``, by the one sequence of ``random.Random(seed)``.
+
+    A trial keeps a delta's sign where its number is below 0.5; numbers go to the queries in their order, trial after trial. A task
+    starts its trials where they lie in the sequence, so p is the same however many tasks share the work; it holds all deltas (8
+    bytes a query). A row without a delta is left out; p is 1 without rows or with a mean of 0."""
+    rows = deltas.where("delta is not null").select("query", F.col("delta").cast("double").alias("delta"))
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("delta")).first()
+    observed = abs(total / n) if n else 0.0
     if observed == 0.0:
-        return 1.0
-    draw = random.Random(seed).random
-    reached = 0
-    for _ in range(permutations):
-        total = sum(d if draw() < 0.5 else -d for d in deltas)
-        reached += abs(total / n) >= observed - 1e-12
-    return (reached + 1) / (permutations + 1)
+        return deltas.sparkSession.range(1).select(F.lit(1.0).alias("p"))
+    trials = max(1, block_draws // n)
+    blocks = -(-permutations // trials)
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block")
+    dealt = dealt.sortWithinPartitions("block", "query", "delta").select("block", "delta")
+    found = dealt.mapInArrow(_reached(n, trials, permutations, observed, seed), "reached bigint")
+    return found.agg(((F.sum("reached") + 1) / F.lit(permutations + 1.0)).alias("p"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -143,7 +177,7 @@ def _flipped(permutations: int, words: int):
 
 
 def fisher_p_distributed(deltas: DataFrame, permutations: int = 10_000, seed: int = 0, block_rows: int = 32_768, words: int = 200) -> DataFrame:
-    """The same test as one row ``p``, with signs from a hash: spread over blocks of trials and of rows.
+    """The test with signs from a hash, which SQL can state: spread over blocks of trials and of rows.
 
     The work is rows times trials; a row without a delta is left out, and one of 0 changes no sum."""
     rows = deltas.where("delta is not null").select("query", F.col("delta").cast("double").alias("delta"))
@@ -167,10 +201,7 @@ def compare(run_a: DataFrame, run_b: DataFrame, qrels: DataFrame, canary: DataFr
     deltas = ndcg(a, qrels, k).withColumnRenamed("ndcg", "ndcg_a").join(ndcg(b, qrels, k).withColumnRenamed("ndcg", "ndcg_b"), "query")
     deltas = deltas.withColumn("delta", F.col("ndcg_b") - F.col("ndcg_a"))
     n, delta = deltas.agg(F.count(F.lit(1)), F.coalesce(F.avg("delta"), F.lit(0.0))).first()
-    if n <= SEQUENTIAL:  # the seeded sequence of one generator, for few queries
-        p = fisher_p([r["delta"] for r in deltas.orderBy("query").select("delta").collect()])
-    else:
-        p = fisher_p_distributed(deltas, 100_000).first()["p"]
+    p = fisher_p(deltas).first()["p"]
     known = canary.join(both, "query", "left_semi")
     ca, cb = (canary_recall(x, known, k).agg(F.avg("canary")).first()[0] or 0.0 for x in (a, b))
     in_gate = {r["doc"] for r in run_b.where((F.col("query") == gate_query) & (F.col("rank") <= k)).select("doc").collect()} if gate_query else set()

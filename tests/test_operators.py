@@ -120,12 +120,40 @@ def test_metrics(spark):
     assert evaluation.judged(run, qrels.where("doc in ('a', 'b')"), 3).first().judged == pytest.approx(2 / 3)
     assert evaluation.recall(run, qrels.where("grade < 2"), 10).first().recall is None
     assert evaluation.binary(run, qrels.where("false"), 3).first()[1:] == (1.0, 1.0)
-    assert evaluation.fisher_p([]) == 1.0 and evaluation.fisher_p([0.0, 0.0]) == 1.0
-    deltas = [random.Random(1).uniform(-0.1, 0.3) for _ in range(12)]
-    p = evaluation.fisher_p(deltas, 2000)
-    assert p == evaluation.fisher_p(deltas, 2000)
-    spread = evaluation.fisher_p_distributed(spark.createDataFrame([(str(i), d) for i, d in enumerate(deltas)], "query string, delta double"), 2000).first().p
-    assert abs(p - spread) < 0.05
+
+
+def by_one_generator(deltas, permutations, seed):
+    """The test drawn number by number."""
+    draw, n = random.Random(seed).random, len(deltas)
+    means = (abs(sum(d * (1 if draw() < 0.5 else -1) for d in deltas) / n) for _ in range(permutations))
+    return (1 + sum(m >= abs(sum(deltas) / n) - 1e-12 for m in means)) / (permutations + 1)
+
+
+@pytest.mark.parametrize(("n", "permutations"), [(1, 50), (12, 2000), (700, 301), (1999, 101), (2001, 101), (20_000, 23)])
+def test_fisher_is_the_seeded_sequence(spark, n, permutations):
+    rng = random.Random(n)
+    deltas = [round(rng.uniform(-0.3, 0.31), 3) for _ in range(n)]
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(deltas)] + [(n, None)], "query int, delta double")
+    want = by_one_generator(deltas, permutations, 3)
+    for draws in (1 << 26, 7 * n, 1):
+        if permutations * n // draws < 400:
+            assert evaluation.fisher_p(frame, permutations, 3, draws).first().p == pytest.approx(want, abs=1e-12)
+
+
+def test_fisher_without_a_difference(spark):
+    frame = spark.createDataFrame([(1, 0.0), (2, 0.0)], "query int, delta double")
+    assert evaluation.fisher_p(frame).first().p == evaluation.fisher_p(frame.where("false")).first().p == 1.0
+
+
+@pytest.mark.parametrize("seed", [0, 11])
+def test_sequence_from_any_place(seed):
+    from corvane.functions import twister
+
+    for n in (0, 5, 623, 1247, 1248, 100_003):
+        rng = random.Random(seed)
+        for _ in range(n):
+            rng.random()
+        assert twister.after(seed, n).random_sample(700).tolist() == [rng.random() for _ in range(700)]
 
 
 def test_fisher_over_all_rows(spark, monkeypatch):
@@ -148,7 +176,7 @@ def test_fisher_over_all_rows(spark, monkeypatch):
     assert taken == [(labels, {"permutations": 100_000})] and labels > 50
 
 
-def test_compare_gate(spark, monkeypatch):
+def test_compare_gate(spark):
     q = [f"q{i}" for i in range(12)]
     good = spark.createDataFrame([(x, "g", 1) for x in q], "query string, doc string, rank int")
     bad = spark.createDataFrame([(x, "z", 1) for x in q], "query string, doc string, rank int")
@@ -158,10 +186,7 @@ def test_compare_gate(spark, monkeypatch):
     assert summary["gate_pass"] and summary["n_queries"] == 12 and summary["judged_low"]
     best, worst = evaluation.extremes(deltas, 2)
     assert best.count() == 2 and worst.count() == 2
-    # with many queries the signs come from hashes
-    monkeypatch.setattr(evaluation, "SEQUENTIAL", 5)
-    spread, _ = evaluation.compare(bad, good, qrels, canary, gate_query="q0", gate_docs=["g"])
-    assert spread["gate_pass"] and abs(spread["p"] - summary["p"]) < 1e-3
+    assert summary["p"] == by_one_generator([r.delta for r in deltas.orderBy("query").collect()], 100_000, 0)
 
 
 def test_guarded_names():
@@ -253,3 +278,33 @@ def test_english_lane_by_brute_force(spark):
         want |= {(q.query_id, i, -own, k + 1) for k, (own, _, i) in enumerate(sorted(found)[:20])}
     got = {(r.query_id, r.repo_id, r.coverage, r.rnk) for r in lanes.fulltext(corpus, asked, k=20).collect()}
     assert got == want and not any(g[0] == 900 for g in got)
+
+
+def test_names_by_rarest_trigrams(spark, tmp_path):
+    """Names that all have the same trigrams, other scripts, marks, short and empty names: the scores of every pair, with and without an index,
+    and no long name is looked up by a trigram that all names have."""
+    from corvane.functions.text import trigrams
+
+    rng = random.Random(12)
+    parts = ["doc", "docs", "data", "db", "graph", "ql", "ña", "日本", "x", "tool", "kit", "-", "_", "."]
+    names = sorted({"doc-" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(300)} | {"", "-x", "a", "日本", "doc"})
+    corpus = spark.createDataFrame([(f"r{i}", f"{rng.choice('ab')}/{n}", n, i) for i, n in enumerate(names)], "id string, full_name string, name string, stars bigint")
+    asked = [*rng.sample(names, 25), "doc", "d", "-", "graphql doc", "one two three", "a/doc-x", "日", "docdata", " ", "%", "zzz"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    pairs = corpus.select("id", "name", "full_name", trigrams(F.col("name")).alias("tn")).crossJoin(queries.withColumn("q", F.lower(F.trim("query"))).withColumn("tq", trigrams(F.col("q"))))
+    want = {}
+    for r in pairs.collect():
+        if not r.q:
+            continue
+        both = len(set(r.tn) & set(r.tq))
+        union = len(r.tn) + len(r.tq) - both
+        near, exact, begins = both / union if union else 0.0, r.q in (r.name.lower(), r.full_name.lower()), r.name.lower().startswith(r.q)
+        if exact or begins or (len(r.q.split()) <= 2 and near >= 0.3):
+            want[r.query_id, r.id] = round(max(1.0 * exact, 0.7 * begins, near), 5)
+    index = lanes.build_index(corpus.withColumns({"topics": F.array().cast("array<string>"), "primary_language": F.lit("en"), "description": F.lit(""), "readme": F.lit("")}), str(tmp_path / "names"))
+    for use in (None, index):
+        found = lanes.name_scores(corpus, queries, index=use).collect()
+        assert {(r.query_id, r.repo_id): round(r.score, 5) for r in found} == want and len(found) == len(want)
+    common = {r.t for r in index.counts.where(f"df > {len(names) * 0.9}").collect()}
+    # a name of 14 trigrams has to share five with any other; so the four that all have come last and join nothing
+    assert len(common) == 4 and index.grams.where("n >= 14").count() and not index.grams.where("n >= 14").where(F.col("t").isin(sorted(common))).count()
