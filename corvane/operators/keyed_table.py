@@ -16,11 +16,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corvane.operators.commit_log import CommitLog
 from corvane.scratch import delete, file_system
 
 #: Updates that a reader folds at most before ``append`` compacts.
@@ -53,6 +53,7 @@ class Version:
     updates: tuple[tuple[str, Policy], ...] = ()
     #: The last batch of each writer that numbers them.
     batches: dict[str, int] = field(default_factory=dict)
+    key: tuple[str, ...] = ()
 
 
 class KeyedTable:
@@ -61,41 +62,21 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: list[str]):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.log = CommitLog(spark, f"{self.path}/log")
 
     # --- the log
 
-    def _numbers(self) -> list[int]:
-        files, at = file_system(self.spark, f"{self.path}/log")
-        return sorted(int(s.getPath().getName()) for s in files.listStatus(at) if s.getPath().getName().isdigit()) if files.exists(at) else []
-
     def version(self, number: int | None = None) -> Version:
         """A published version, the last one if none is named."""
-        numbers = self._numbers()
-        if not numbers:
+        number, text = self.log.last() if number is None else (number, self.log.read(number))
+        if text is None:
             return Version()
-        number = numbers[-1] if number is None else number
-        raw = json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.path}/log/{number:012d}", wholetext=True).collect()))
+        raw = json.loads(text)
         updates = tuple((p, Policy(**{k: tuple(v) if isinstance(v, list) else v for k, v in policy.items()})) for p, policy in raw["updates"])
-        return Version(number, raw["base"], updates, raw["batches"])
+        return Version(number, raw["base"], updates, raw["batches"], tuple(raw["key"]))
 
     def _publish(self, version: Version) -> bool:
-        """False if another writer has the number."""
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path
-        files, unfinished = file_system(self.spark, f"{self.path}/log/_{uuid.uuid4().hex}")
-        stream = files.create(unfinished, False)
-        stream.write(bytearray(json.dumps(asdict(version)).encode()))
-        stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(unfinished.toUri() if unfinished.toUri().getScheme() else files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(files.makeQualified(unfinished), files.makeQualified(place(f"{self.path}/log/{version.number:012d}")), options)
-        except Py4JJavaError as e:
-            files.delete(unfinished, False)
-            if "FileAlreadyExists" in str(e.java_exception):
-                return False
-            raise
-        return True
+        return self.log.publish(version.number, json.dumps(asdict(version)))
 
     def _commit(self, change: Callable[[Version], Version | None]) -> Version:
         """Publish what ``change`` makes of the last version, again if another writer was first."""
@@ -104,7 +85,7 @@ class KeyedTable:
             new = change(now)
             if new is None:
                 return now
-            new = replace(new, number=now.number + 1)
+            new = replace(new, number=now.number + 1, key=tuple(self.key))
             if self._publish(new):
                 return new
 
@@ -165,8 +146,7 @@ class KeyedTable:
         for s in files.listStatus(at) if files.exists(at) else []:
             if s.getPath().getName() not in used:
                 files.delete(s.getPath(), True)
-        for number in self._numbers()[:-1]:
-            delete(self.spark, f"{self.path}/log/{number:012d}")
+        self.log.forget(now.number)
 
     # --- reading
 

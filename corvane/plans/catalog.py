@@ -342,13 +342,13 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corvane.plans import catalog_more, catalog_positional, catalog_rest, catalog_tables  # noqa: F401  they register the rest
+    from corvane.plans import catalog_keyed, catalog_more, catalog_positional, catalog_rest, catalog_tables  # noqa: F401  they register the rest
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from corvane.plans import catalog_more, catalog_positional, catalog_rest, catalog_tables  # noqa: F401
+    from corvane.plans import catalog_keyed, catalog_more, catalog_positional, catalog_rest, catalog_tables  # noqa: F401
 
     return dict(_ORACLES)
 

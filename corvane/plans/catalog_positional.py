@@ -30,7 +30,8 @@ SHAPES = [
     "concat('\"', w[1], ' ', w[2], '\" ', w[3])", "concat(w[1], ' ', w[2], ' OR \"', w[3], ' ', w[4], '\"')", "concat(w[1], ' -', w[2])",
     "concat('-', w[1], ' -', w[2])", "concat(w[1], ' -\"', w[2], ' ', w[3], '\" or ', w[4], ' ', w[5])",
 ]
-USED = ["w[1:3]", "w[1:4]", "w[1:2]", "w[1:2]", "w[1:5]"]
+#: Words that are slots: with the plain analyzer OR is one too.
+USED = ["w[1:3]", "list_append(w[1:4], 'or')", "w[1:2]", "w[1:2]", "list_append(w[1:5], 'or')"]
 
 
 def _has(words: str) -> str:
@@ -52,15 +53,15 @@ def _by_shape(parts: list[str]) -> str:
 
 
 SEQUENCE = f"{WORDS_SQL.format('{0}')}"
-FULL = "concat_ws(' ', translate(full_name, '/_', '  '), array_to_string(topics, ' '), primary_language, description, left(readme, 2500))"
-LIGHT = "concat_ws(' ', translate(full_name, '/_', '  '), array_to_string(topics, ' '), primary_language, description)"
+FULL = "concat_ws(' ', translate(full_name, '/_', '  '), array_to_string(topics, ' '), primary_language, r.description, left(readme, 2500))"
+LIGHT = "concat_ws(' ', translate(full_name, '/_', '  '), array_to_string(topics, ' '), primary_language, r.description)"
 WEB = f""", items AS (SELECT item_id, w, list_sort(list_distinct({_by_shape(USED)}))[1:8] AS slot FROM (SELECT item_id, {WORDS_OF_ITEM} AS w FROM benchmark)),
  docs AS (SELECT id, stars, is_archived, {WORDS_SQL.format(LIGHT)} AS light, concat(' ', array_to_string({WORDS_SQL.format(FULL)}, ' '), ' ') AS own, e.repo_id IS NOT NULL AS enriched,
    concat(' ', array_to_string({WORDS_SQL.format("concat_ws(' ', array_to_string(e.queries, ' '), e.description)")}, ' '), ' ') AS extra FROM repositories r LEFT JOIN enrichment e ON e.repo_id = r.id),
- both AS (SELECT item_id AS query_id, id AS repo_id, stars, is_archived, slot, CAST(len(list_intersect(slot, light)) AS BIGINT) AS hits, {_by_shape(TREES).replace('contains(t,', 'contains(own,')} AS whole,
+ pair AS (SELECT item_id AS query_id, id AS repo_id, stars, is_archived, slot, CAST(len(list_intersect(slot, light)) AS BIGINT) AS hits, {_by_shape(TREES).replace('contains(t,', 'contains(own,')} AS whole,
    enriched AND ({_by_shape(TREES).replace('contains(t,', 'contains(extra,')}) AS in_extra,
    CAST(len(list_filter(slot, lambda x: contains(extra, concat(' ', x, ' ')) AND NOT list_contains(light, x))) AS BIGINT) AS more FROM items, docs),
- hit AS (SELECT *, hits >= least(2, len(slot)) OR whole AS member FROM both) """
+ hit AS (SELECT *, hits >= least(2, len(slot)) OR whole AS member FROM pair) """
 
 
 def web_requests(spark, sf_dir):
@@ -98,7 +99,7 @@ def _(spark, sf_dir):
     return rows.select("repo_id", "lexeme", F.regexp_replace("weights", "D+$", "").alias("weights"), positions.alias("positions"))
 
 
-@query("fts04_enrichment_positions", _stored([("A", "''"), ("B", "array_to_string(queries, ' ')"), ("C", "coalesce(description, '')")], "(SELECT repo_id AS id, queries, description FROM enrichment JOIN repositories ON id = repo_id)"))
+@query("fts04_enrichment_positions", _stored([("A", "''"), ("B", "array_to_string(queries, ' ')"), ("C", "coalesce(description, '')")], "(SELECT repo_id AS id, queries, enrichment.description FROM enrichment JOIN repositories ON id = repo_id)"))
 def _(spark, sf_dir):
     return _documents(spark, sf_dir, positional.ENRICHED)
 
@@ -118,7 +119,7 @@ def _(spark, sf_dir):
 @query("fts10_websearch_whole_text", WEB + "SELECT query_id, repo_id FROM hit WHERE whole AND hits < least(2, len(slot))")
 def _(spark, sf_dir):
     asked = web_requests(spark, sf_dir)
-    slots = asked.select("query_id", F.least(F.lit(2), F.size(F.array_distinct(F.filter(text.sequence(F.col("query")), lambda x: x != "or")))).alias("least"))
+    slots = asked.select("query_id", F.least(F.lit(2), F.size(text.words(F.col("query")))).alias("least"))
     found = positional.matches(web_index(spark, sf_dir), asked).join(slots, "query_id")
     return found.where("member and coverage < least").select("query_id", "repo_id")
 

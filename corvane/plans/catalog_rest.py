@@ -145,7 +145,8 @@ def folded(text_sql: str) -> str:
 @query("snk11_rebuild_terms", f" SELECT repo_id, {folded("concat_ws(' ', array_to_string(queries, ' '), description)")} AS terms FROM enrichment")
 def _(spark, sf_dir):
     path = scratch_path(spark, "terms")
-    lanes.rebuild_terms(enrichment(spark, sf_dir).limit(3), path, text.words)  # what stood there before is replaced
+    older = enrichment(spark, sf_dir).withColumn("description", F.lit("what stood there before"))
+    lanes.rebuild_terms(older, path, text.words)  # is replaced
     return lanes.rebuild_terms(enrichment(spark, sf_dir), path, text.words).select("repo_id", F.array_join("terms", " ").alias("terms"))
 
 

@@ -141,11 +141,15 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 
 def _orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(*ORDER_COLS)
-    changed = o.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 10_000_000).otherwise(0)).alias("o_orderkey"), (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return o, changed
+    # orders with a returned line get new values, suppliers a row of their own
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    back = o.join(returned, "o_orderkey", "left_semi").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    more = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("o_orderkey"), F.col("s_suppkey").alias("o_custkey"), F.lit("X").alias("o_orderstatus"), F.col("s_acctbal").alias("o_totalprice"))
+    return o, back.unionByName(more)
 
 
-UPDATES = "u AS (SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 10000000 ELSE 0 END AS k, o_custkey + 1 AS c, 'X' AS s, o_totalprice + 1 AS p FROM orders WHERE o_orderkey % 3 = 0)"
+UPDATES = """u AS (SELECT o_orderkey AS k, o_custkey + 1 AS c, 'X' AS s, o_totalprice + 1 AS p FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+ UNION ALL SELECT -s_suppkey, s_suppkey, 'X', s_acctbal FROM supplier)"""
 
 
 @query("snk01_upsert_partial_columns", f"WITH {UPDATES} SELECT coalesce(o_orderkey, k) AS o_orderkey, coalesce(o_custkey, c) AS o_custkey, coalesce(s, o_orderstatus) AS o_orderstatus, round(coalesce(p, o_totalprice), 2) AS o_totalprice FROM orders FULL JOIN u ON o_orderkey = k", corpus=False)
@@ -167,10 +171,10 @@ def _(spark, sf_dir):
     return upsert.upsert(base, new, ["repo_id", "model_name"], ["h"])
 
 
-@query("snk06_two_policy_upsert", """, sc AS (SELECT id AS repo_id, CAST(NULL AS BIGINT) AS dependent_count, stars AS score FROM repositories WHERE stars % 2 = 0)
+@query("snk06_two_policy_upsert", """, sc AS (SELECT id AS repo_id, CAST(NULL AS BIGINT) AS dependent_count, stars AS score FROM repositories JOIN enrichment ON repo_id = id)
  SELECT coalesce(sc.repo_id, s.repo_id) AS repo_id, s.dependent_count, sc.score FROM sc FULL JOIN signals s ON s.repo_id = sc.repo_id""")
 def _(spark, sf_dir):
-    base = repositories(spark, sf_dir).where("stars % 2 = 0").select(F.col("id").alias("repo_id"), F.lit(None).cast("bigint").alias("dependent_count"), F.col("stars").alias("score"))
+    base = repositories(spark, sf_dir).join(enrichment(spark, sf_dir), F.col("id") == F.col("repo_id"), "left_semi").select(F.col("id").alias("repo_id"), F.lit(None).cast("bigint").alias("dependent_count"), F.col("stars").alias("score"))
     return upsert.upsert(base, signals(spark, sf_dir), ["repo_id"], ["dependent_count"])
 
 
@@ -205,10 +209,10 @@ def _(spark, sf_dir):
     return orders.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("side"), "n").unionByName(lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("side"), "n"))
 
 
-@query("snk14_append_keep_first", " SELECT doc_id, arg_min(grade, o) AS grade FROM (SELECT doc_id, quality AS grade, 0 AS o FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, toxic, 1 FROM labels) GROUP BY doc_id", corpus=False)
+@query("snk14_append_keep_first", " SELECT doc_id, arg_min(grade, o) AS grade FROM (SELECT doc_id, quality AS grade, 0 AS o FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, toxic, 1 FROM labels) GROUP BY doc_id", corpus=False)
 def _(spark, sf_dir):
     l = table(spark, sf_dir, "labels")
-    old = l.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("grade"))
+    old = l.where("quality = 1").select("doc_id", F.col("quality").alias("grade"))
     return upsert.upsert(old, l.select("doc_id", F.col("toxic").alias("grade")), ["doc_id"], [], do_nothing=True)
 
 
@@ -366,18 +370,20 @@ def _(spark, sf_dir):
     return repositories(spark, sf_dir).select("id", "stars").orderBy(F.desc("stars"), "id").limit(200)
 
 
+#: The second run has the orders with a returned line alone; orders of which no line came back or was accepted aren't judged.
 RUNS = """ra AS (SELECT o_custkey AS query, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
- rb AS (SELECT o_custkey AS query, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders WHERE o_custkey % 11 <> 0),
- qrels AS (SELECT o_custkey AS query, o_orderkey AS doc, CAST(o_orderkey % 4 AS INT) AS grade FROM orders WHERE o_orderkey % 3 <> 0)"""
+ rb AS (SELECT o_custkey AS query, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+ qrels AS (SELECT o_custkey AS query, o_orderkey AS doc, CAST(least(3, n) AS INT) AS grade FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag <> 'N')) ON l_orderkey = o_orderkey)"""
 
 
 def _runs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
     rank = lambda *by: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by))
     shape = lambda df, r: df.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), r.alias("rank"))
     a = shape(o, rank(F.desc("o_totalprice"), F.asc("o_orderkey")))
-    b = shape(o.where("o_custkey % 11 <> 0"), rank(F.asc("o_orderdate"), F.asc("o_orderkey")))
-    qrels = o.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 4).cast("int").alias("grade"))
+    b = shape(o.join(lines.where("l_returnflag = 'R'"), "o_orderkey", "left_semi"), rank(F.asc("o_orderdate"), F.asc("o_orderkey")))
+    judged = lines.groupBy("o_orderkey").agg(F.least(F.lit(3), F.count_if(F.col("l_returnflag") == "R")).cast("int").alias("grade"), F.bool_or(F.col("l_returnflag") != "N").alias("judged"))
+    qrels = o.join(judged.where("judged"), "o_orderkey").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), "grade")
     return a, b, qrels
 
 

@@ -1,8 +1,8 @@
 """Incremental ingestion: a file stream drained once, folded into snapshots, with a watermark.
 
 Each run reads what is new since its checkpoint (``availableNow``), so it can be cut short and started again.
-A micro-batch is folded by upsert into a new snapshot folder, and a pointer names the last one: neither what is
-being read nor the pointer is ever overwritten, and a batch that comes twice gives the same snapshot."""
+A micro-batch is an update of a keyed table: its own rows alone are written, and a batch that comes twice counts once. Tables and
+watermarks are published by a commit log, so two writers never undo each other."""
 
 from __future__ import annotations
 
@@ -14,33 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.operators.upsert import latest, upsert
-from corvane.scratch import delete, file_system
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """The pointer's written forms, oldest first; one that was not written to its end has no _SUCCESS and is no form."""
-    files, at = file_system(spark, path)
-    if not files.exists(at):
-        return []
-    names = sorted(s.getPath().getName() for s in files.listStatus(at))
-    return [n for n in names if files.exists(file_system(spark, f"{path}/{n}/_SUCCESS")[1])]
-
-
-def _write_text(spark: SparkSession, path: str, value: str) -> None:
-    """A new form of the pointer beside the old one, which goes once the new one is whole: at each moment one can be read."""
-    old = _versions(spark, path)
-    new = f"{path}/{int(old[-1]) + 1 if old else 0:012d}"
-    delete(spark, new)  # what a crash may have left
-    spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(new)
-    for name in old:
-        delete(spark, f"{path}/{name}")
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    found = _versions(spark, path)
-    row = spark.read.text(f"{path}/{found[-1]}").first() if found else None
-    return row["value"] if row else None
+from corvane.operators.commit_log import CommitLog
+from corvane.operators.keyed_table import KeyedTable, Policy, Version
+from corvane.operators.upsert import latest
 
 
 class Snapshots:
@@ -50,27 +26,25 @@ class Snapshots:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def current(self) -> DataFrame:
-        name = _read_text(self.spark, f"{self.path}/current")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], self.schema)
+        version = KeyedTable(self.spark, self.path, self.schema, []).version()
+        return KeyedTable(self.spark, self.path, self.schema, list(version.key)).read(None if version.number < 0 else version.number)
 
-    def fold(self, updates: DataFrame, key: list[str], order: list[str], version: int, update_cols: list[str] | None = None) -> None:
-        base = self.current()
-        columns = update_cols if update_cols is not None else [c for c in base.columns if c not in key]
-        name = f"v{version}"
-        # an older row that comes late doesn't replace a newer one
-        newest = latest(updates.select(*base.columns), key, order)
-        stale = newest.alias("n").join(base.alias("b"), key).where(F.struct(*[F.col(f"n.{c}") for c in order]) < F.struct(*[F.col(f"b.{c}") for c in order]))
-        fresh = newest.join(stale.select(*key), key, "left_anti")
-        upsert(base, fresh, key, columns).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        _write_text(self.spark, f"{self.path}/current", name)
+    def fold(self, updates: DataFrame, key: list[str], order: list[str], version: int, update_cols: list[str] | None = None, writer: str = "fold") -> Version:
+        """The newest row of each key, unless the one that is there is newer; ``writer`` numbers its batches by ``version``."""
+        table = KeyedTable(self.spark, self.path, self.schema, key)
+        newest = latest(updates.select(*table.schema.names), key, order)
+        policy = Policy((), None if update_cols is None else tuple(update_cols), order=tuple(order))
+        return table.append(newest, policy, writer, version)
 
 
-def ingest(spark: SparkSession, source: str, schema: str, snapshots: Snapshots, key: list[str], order: list[str], checkpoint: str, max_files: int = 100) -> StreamingQuery:
-    """Drain the files of ``source`` that are new into ``snapshots``; returns the finished query."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+def ingest(spark: SparkSession, source: str, schema: str, snapshots: Snapshots, key: list[str], order: list[str], checkpoint: str, max_files: int = 100, pattern: str = "*.parquet") -> StreamingQuery:
+    """Drain the files of ``source`` whose names meet ``pattern`` and that are new into ``snapshots``; returns the finished query."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern).parquet(source)
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        snapshots.fold(batch, key, order, epoch)
+        # the query's id is kept in its checkpoint: another checkpoint is another writer
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        snapshots.fold(batch, key, order, epoch, writer=query)
 
     q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -78,16 +52,23 @@ def ingest(spark: SparkSession, source: str, schema: str, snapshots: Snapshots,
 
 
 def read_watermark(spark: SparkSession, path: str) -> datetime | None:
-    value = _read_text(spark, path)
+    _, value = CommitLog(spark, path).last()
     return datetime.fromisoformat(value) if value else None
 
 
 def advance_watermark(spark: SparkSession, path: str, started: datetime, aborted: int, cut_short: bool) -> bool:
-    """Move the watermark to the run's start, only after a run that left nothing out."""
+    """Move the watermark to the run's start, only after a run that left nothing out, and never back: of two runs that end together the
+    later start counts."""
     if aborted or cut_short:
         return False
-    _write_text(spark, path, started.isoformat())
-    return True
+    log = CommitLog(spark, path)
+    while True:
+        number, value = log.last()
+        if value is not None and datetime.fromisoformat(value) >= started:
+            return True
+        if log.publish(number + 1, started.isoformat()):
+            log.forget(number)
+            return True
 
 
 QUEUE = "key string, state string, result string"

@@ -64,7 +64,7 @@ def test_policies_in_turn(spark, tmp_path):
     newer.append(frame(rounds[5][0]), rounds[5][1])
     assert {tuple(r) for r in newer.read().collect()} == plain([r.asDict() for r in filled.collect()], [rounds[5]])
     table.vacuum()
-    assert {tuple(r) for r in table.read().collect()} == plain(base, done) and len(table._numbers()) == 1
+    assert {tuple(r) for r in table.read().collect()} == plain(base, done) and len(table.log.numbers()) == 1
 
 
 def test_an_update_writes_what_it_has(spark, tmp_path):

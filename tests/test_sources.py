@@ -151,12 +151,18 @@ def test_incremental(spark, tmp_path):
     run()
     run()
     assert sorted(tuple(r) for r in snaps.current().collect()) == [(1, 3, "c"), (2, 1, "b"), (3, 1, "d")]
-    # a pointer that was not written to its end is passed over
-    current = tmp_path / "snaps" / "current"
-    (current / "999999999999").mkdir()
-    (current / "999999999999" / "part-0.txt").write_text("v-broken")
+    # a version that was not written to its end is passed over
+    (tmp_path / "snaps" / "log" / "_0f").write_text("{")
     assert snaps.current().count() == 3
+    # a batch wrote its own rows alone, and one that comes again counts once
+    assert len([p for p in (tmp_path / "snaps").iterdir() if p.name.startswith("update-")]) == 2
+    again = snaps.fold(spark.createDataFrame([(9, 9, "z")], kind), ["k"], ["t"], 0, writer="w")
+    assert snaps.fold(spark.createDataFrame([(9, 10, "y")], kind), ["k"], ["t"], 0, writer="w") == again and snaps.current().where("k = 9").first().v == "z"
     mark, started = str(tmp_path / "mark"), datetime(2024, 1, 2, 3)
     assert incremental.read_watermark(spark, mark) is None
     assert not incremental.advance_watermark(spark, mark, started, 1, False)
     assert incremental.advance_watermark(spark, mark, started, 0, False) and incremental.read_watermark(spark, mark) == started
+    # never back, and a run that another overtakes while it publishes gives way to the later start
+    later = datetime(2024, 3, 1)
+    assert incremental.advance_watermark(spark, mark, later, 0, False) and incremental.advance_watermark(spark, mark, started, 0, False)
+    assert incremental.read_watermark(spark, mark) == later
