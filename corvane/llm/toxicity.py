@@ -45,6 +45,8 @@ ROUNDS = 4
 CALIBRATE = 5
 #: Windows of each training document that a round learns from at most: at random in the first round, later the hardest of a clean one.
 DOC_WINDOWS = 16
+#: Windows of a toxic training document that a round after the first learns from at most: those that score highest.
+TOP_WINDOWS = 6
 #: A longer token is read as pieces of PIECE characters, which overlap by the longest n-gram.
 _LONGEST = 40
 PIECE = 12
@@ -200,6 +202,12 @@ def best_windows(texts: pa.Array, scalars: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(scores, ends - n) if len(ends) else scores
 
 
+def top_windows(scores: np.ndarray, within: float) -> np.ndarray:
+    """Places of the TOP_WINDOWS windows that score highest (of equal ones the first), as far as they come near the best."""
+    order = np.argsort(-scores, kind="stable")[:TOP_WINDOWS]
+    return np.sort(order[scores[order] >= scores.max() - within * abs(scores.max())])
+
+
 class Trainer:
     def __init__(self, texts: list[str | None], labels: np.ndarray, seed: int = 3):
         self.rng = np.random.default_rng(seed)
@@ -283,7 +291,7 @@ class Trainer:
                 if not len(self.docs[d]):
                     continue
                 if label and current:
-                    best = np.flatnonzero(current[d] >= current[d].max() - (0.3 * abs(current[d].max()) if turn < 2 else 0.1 * abs(current[d].max())))[:6]
+                    best = top_windows(current[d], 0.3 if turn < 2 else 0.1)
                 elif current and n > DOC_WINDOWS:
                     hard = np.argsort(-current[d])[: DOC_WINDOWS // 2]
                     best = np.union1d(hard, self.rng.choice(n, DOC_WINDOWS // 2, replace=False))

@@ -233,3 +233,43 @@ def test_many_letters():
     texts = ["".join(chr(0x4E00 + (i * 7 + k) % 900) for k in range(300)) for i in range(3)] + ["plain text"]
     first = enc.bundle(texts)
     assert (enc.bundle(texts) == first).all() and (language_id.Encoder().bundle(texts[::-1])[::-1] == first).all()
+
+
+def test_toxicity_learns_from_the_highest_windows():
+    scores = np.array([0.5, 0.9, 0.91, 0.2, 0.89, 0.9, 0.95, 0.94, 0.93, 0.9, 1.0])
+    assert toxicity.top_windows(scores, 0.3).tolist() == [1, 2, 6, 7, 8, 10]  # the best six by score, not by place
+    assert toxicity.top_windows(scores, 0.06).tolist() == [6, 7, 10]
+    assert toxicity.top_windows(np.array([-0.2, -0.1, -0.105]), 0.1).tolist() == [1, 2]
+
+
+def test_toxicity_round_by_brute_force():
+    """One step over all windows of a few documents against sums bucket by bucket."""
+    texts = ["you are vile scum and more words follow here", "a kind and plain text of some words to read today", "", "... ---"]
+    trainer = toxicity.Trainer(texts, np.array([1, 0, 0, 1]))
+    trainer.out[:] = np.linspace(-0.3, 0.3, trainer.out.size).reshape(trainer.out.shape)
+    emb, out = trainer.emb.astype(np.float64), trainer.out.astype(np.float64)
+    windows = [(0, 0), (0, 1), (1, 0), (1, 1), (3, 0)]
+    targets, weights, rate = np.array([1, 1, 0, 0, 1]), np.array([0.5, 0.5, 0.7, 0.7, 1.0], np.float32), 0.1
+    words = [toxicity.words_of(t) for t in texts]
+    g_out, g_emb = np.zeros_like(out), {}
+    for (d, k), target, weight in zip(windows, targets, weights, strict=True):
+        bags = [toxicity.buckets_of(w) for w in words[d][k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW]]
+        bags = [b for b in bags if len(b)]
+        if not bags:
+            continue
+        hidden = sum(emb[b].mean(axis=0) for b in bags) / len(bags)
+        p = np.exp(hidden @ out) / np.exp(hidden @ out).sum()
+        p[target] -= 1
+        p *= float(weight)
+        g_out += np.outer(hidden, p)
+        for bag in bags:
+            for b in bag.tolist():
+                g_emb[b] = g_emb.get(b, 0) + out @ p / (len(bag) * len(bags))
+    trainer.epoch(windows, targets, weights, rate)
+    want = out - rate * g_out / np.sqrt(1e-6 + g_out**2)
+    assert np.allclose(trainer.out, want, atol=1e-4)
+    for b, g in g_emb.items():
+        assert np.allclose(trainer.emb[b], emb[b] - rate * g / np.sqrt(1e-6 + (g**2).mean()), atol=1e-4)
+    rest = np.ones(len(emb), bool)
+    rest[list(g_emb)] = False
+    assert (trainer.emb[rest] == emb[rest].astype(np.float32)).all()
