@@ -35,9 +35,9 @@ from corvane.llm._common import batch_rows, batches, give_back, materialize, scr
 from corvane.llm.coded import byte_order, code, expand, squeeze, translation
 
 LONGEST, LEAST, COVERED, BEST = 4, 30, 80, 2000
-SHARD_WORDS, HELD_WORDS = 1_500_000, 3_000_000
+SHARD_WORDS, HELD_WORDS = 1_000_000, 2_000_000
 #: Positions of a range, about; documents of the sample for the bounds, and runs taken of each.
-RANGE_WORDS, SAMPLE_DOCS, SAMPLE_RUNS = 3_000_000, 2_000, 64
+RANGE_WORDS, SAMPLE_DOCS, SAMPLE_RUNS = 2_000_000, 2_000, 64
 DEALT = 16
 
 TABLE = translation(b"\x09", b".,;:!?\x0a\x0b\x0c\x0d")
