@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corvane.operators.keyed_table import KeyedTable, Policy
 from corvane.plans.catalog import query
 from corvane.scratch import file_system, scratch_path
-from corvane.sources.adapters import table
+from corvane.sources import colocated
+from corvane.sources.adapters import ENRICH_LABEL, enrichment, repositories, repository_embeddings, signals, table
 from corvane.streaming import incremental
 
 LINES = """t AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
@@ -54,3 +55,39 @@ def _(spark, sf_dir):
     for _ in range(2):
         incremental.ingest(spark, folder, events.schema, snapshots, ["user_id"], ["ts", "event_id"], checkpoint, pattern=pattern)
     return snapshots.current().select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+_STORED: dict[tuple[str, str], colocated.Colocated] = {}
+
+
+def stored_tables(spark, sf_dir) -> colocated.Colocated:
+    """Records, vectors, enrichment and signals dealt alike; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        records = repositories(spark, sf_dir).select(F.col("id").alias("repo_id"), "stars", "primary_language", "is_archived", "readme_status")
+        side = {"vectors": (repository_embeddings(spark, sf_dir), "model_name"), "enrichment": (enrichment(spark, sf_dir), None), "signals": (signals(spark, sf_dir), None)}
+        _STORED[key] = colocated.store(spark, {"records": (records, None), **side})
+    return _STORED[key]
+
+
+@query("joi05_colocated_vectors", " SELECT repo_id, primary_language, len(embedding) AS n FROM repository_embeddings JOIN repositories ON id = repo_id WHERE model_name = 'base+enrich' AND NOT is_archived")
+def _(spark, sf_dir):
+    stored = stored_tables(spark, sf_dir)
+    found = colocated.vectors_of(stored, ENRICH_LABEL, stored.table("records").where("not is_archived"))
+    return found.select("repo_id", "primary_language", F.size("embedding").cast("bigint").alias("n"))
+
+
+@query("joi06_colocated_signals", " SELECT id AS repo_id, stars, coalesce(dependent_count, 0) AS dependent_count FROM repositories LEFT JOIN signals ON repo_id = id")
+def _(spark, sf_dir):
+    return colocated.with_signals(stored_tables(spark, sf_dir)).select("repo_id", "stars", "dependent_count")
+
+
+@query("fil03_colocated_pending", " SELECT id AS repo_id, stars FROM repositories WHERE NOT is_archived AND readme_status IS NOT NULL AND id NOT IN (SELECT repo_id FROM repository_embeddings WHERE model_name = 'base+enrich')")
+def _(spark, sf_dir):
+    rest = colocated.without_vector(stored_tables(spark, sf_dir), ENRICH_LABEL)
+    return rest.where("not is_archived and readme_status is not null").select("repo_id", "stars")
+
+
+@query("fil05_colocated_unexplained", " SELECT id AS repo_id, stars FROM repositories WHERE id NOT IN (SELECT repo_id FROM enrichment) AND id NOT IN (SELECT repo_id FROM signals)")
+def _(spark, sf_dir):
+    return colocated.unexplained(stored_tables(spark, sf_dir)).select("repo_id", "stars")

@@ -166,3 +166,26 @@ def test_incremental(spark, tmp_path):
     later = datetime(2024, 3, 1)
     assert incremental.advance_watermark(spark, mark, later, 0, False) and incremental.advance_watermark(spark, mark, started, 0, False)
     assert incremental.read_watermark(spark, mark) == later
+
+
+def test_joins_of_tables_dealt_alike(spark, tmp_path):
+    """No join of records and side tables exchanges rows, and a label's condition reads its folders alone."""
+    from corvane.sources import colocated
+
+    records = spark.range(500).selectExpr("concat('r', id) AS repo_id", "id AS stars")
+    vectors = spark.range(700).selectExpr("concat('r', id) AS repo_id", "CASE WHEN id % 3 = 0 THEN 'b' ELSE 'a' END AS model_name", "array(1.0) AS embedding")
+    side = spark.range(100, 900).selectExpr("concat('r', id) AS repo_id", "id AS dependent_count")
+    stored = colocated.store(spark, {"records": (records, None), "vectors": (vectors, "model_name"), "signals": (side, None), "enrichment": (side.select("repo_id"), None)}, str(tmp_path / "t"), 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are large on both sides
+    try:
+        found = {"vectors_of": colocated.vectors_of(stored, "b"), "without_vector": colocated.without_vector(stored, "b"), "with_signals": colocated.with_signals(stored), "unexplained": colocated.unexplained(stored)}
+        assert {n: f.count() for n, f in found.items()} == {"vectors_of": 167, "without_vector": 333, "with_signals": 500, "unexplained": 100}
+        for name, frame in found.items():
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" in plan, name
+            if name in ("vectors_of", "without_vector"):
+                assert "PartitionFilters: [isnotnull(model_name" in plan
+        assert found["with_signals"].where("stars < 100").agg({"dependent_count": "max"}).first()[0] == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        colocated.drop(stored)
