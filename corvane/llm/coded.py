@@ -56,6 +56,26 @@ def code(texts: pa.Array, table: bytes, pieces: bool = False) -> tuple[pa.Array,
     return known, codes, starts
 
 
+def unified(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words of all parts, every word's number in them) of (distinct words, numbers) part by part."""
+    if not parts:
+        return pa.array([], pa.string()), np.zeros(0, np.int32)
+    chunks = [pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), words) for words, codes in parts]
+    chunks = pa.chunked_array(chunks).unify_dictionaries().chunks
+    return chunks[0].dictionary, np.concatenate([c.indices.to_numpy() for c in chunks])
+
+
+def joined(words: pa.Array) -> bytes:
+    """The words with a line feed after each but the last (they have none inside)."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_buffer().to_pybytes() if len(words) else b""
+
+
+def parted(data: bytes) -> pa.Array:
+    """The words that ``joined`` joined, at least one."""
+    text = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int32)), pa.py_buffer(data)])
+    return pc.split_pattern(text, "\n").flatten()
+
+
 def byte_order(words: pa.Array) -> np.ndarray:
     """Places of the words in the order of their bytes."""
     return pc.array_sort_indices(words.cast(pa.binary())).to_numpy().astype(np.int64)

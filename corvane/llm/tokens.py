@@ -96,9 +96,17 @@ class ChunkEncoder:
                     self.cached_bytes += _ENTRY_BYTES + len(c) + len(x)
         return ids
 
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        """Little-endian ids of each word (without white space) by itself."""
-        return self._ids_of(words, False)
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after another, how many each has): each word (without a special token in it) encoded by itself.
+
+        Words go into calls many at a time, parted by the special token; without one, each alone."""
+        if not self.part:
+            found = self._whole(words)
+            return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        groups = [self.part.join(words[lo : lo + GROUP]) + self.part for lo in range(0, len(words), GROUP)]
+        ids = np.frombuffer(b"".join(self._whole(groups)), "<u4")
+        ends = np.flatnonzero(ids == self.part_id)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _shrink(self) -> None:
         """Chunks that came first are the common ones; the last third goes. They are the shorter ones too, so a share by

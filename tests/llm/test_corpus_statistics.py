@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -55,15 +56,23 @@ def test_windows_score_each_token_once():
 
 
 def test_spelling_is_prefix_free_and_reversible():
-    words = ["the", "thé", "zzzzqqqq", "x" * 60, "\xa0a", "中文", "th"]
-    entries = language_model.vocabulary(PATH, Counter({w.encode(): 3 for w in words[:2]}), 4)
+    words = ["the", "thé", "zzzzqqqq", "x" * 60, "\xa0a", "中文", "th", "a<|endoftext|>b"]
+    entries = language_model.vocabulary(PATH, Counter(dict.fromkeys(words[:2], 3)), 4)
     speller = language_model.Speller(PATH, entries)
-    ids, sizes = speller.spell([b"", *[w.encode() for w in words]])
+    asked = pa.array(["", *words])
+    ids, sizes = speller.spell(asked)
     parts = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert parts[0] == (speller.end,) and len(set(parts)) == len(parts)
     assert not any(a != b and b[: len(a)] == a for a in parts for b in parts)
-    long = parts[4]
-    assert bytes((-2 - entries[i]) // 2 for i in long) == b"x" * 60
+    for word, spelled in zip(words[3:], parts[4:], strict=True):
+        if word not in ("中文", "th"):
+            assert bytes((-2 - entries[i]) // 2 for i in spelled) == word.encode()
+    # what is kept gives the same
+    kept, hashes = language_model.Spelled(speller), language_model.hashes_of(asked)
+    for some in (slice(0, 3), slice(2, 7), slice(0, 9), slice(8, 1, -1)):
+        at = np.arange(9)[some]
+        got, n = kept.spell(asked.take(pa.array(at)), hashes[at])
+        assert [tuple(x.tolist()) for x in np.split(got, np.cumsum(n)[:-1])] == [parts[i] for i in at]
 
 
 def test_scores_of_odd_rows(odd_frame, no_docs):
