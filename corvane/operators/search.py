@@ -12,7 +12,7 @@ from corvane.functions.analyze import english_words
 from corvane.functions.ranking import LaneWeights, ScoringWeights
 from corvane.functions.text import norm_name
 from corvane.functions.vectors import cosine
-from corvane.operators import lanes, positional
+from corvane.operators import lanes, positional, vector_graph
 from corvane.operators.filters import SearchFilters, apply_filters
 from corvane.scratch import materialize
 
@@ -98,13 +98,15 @@ def search(
     analyze: lanes.Analyzer = english_words,
     index: lanes.SearchIndex | None = None,
     web: positional.PositionalIndex | None = None,
+    graph: vector_graph.VectorGraph | None = None,
 ) -> DataFrame:
     """Ranked hits of each request: exact names first, then the blended score, stars and id.
 
     ``enrich`` off leaves out enrichment terms, signals and normalised names. Filters act once, before the lanes. ``index`` is the
     stored one of the whole corpus (``lanes.build_index``); without it the corpus is analysed for the batch. ``terms`` must be
     folded by the same analyzer. With ``web``, a positional index of the whole corpus and its enrichment, requests are web-style in the
-    lexical lane: phrases, OR and -negation count, and enrichment terms come from the index."""
+    lexical lane: phrases, OR and -negation count, and enrichment terms come from the index. With ``graph`` the dense lane walks the stored graph index instead of
+    comparing all vectors."""
     blank = queries.where(F.trim(F.coalesce("query", F.lit(""))) == "")
     queries = queries.join(blank.select("query_id"), "query_id", "left_anti")
     filtered = apply_filters(corpus, flt)
@@ -112,7 +114,7 @@ def search(
         fts = positional.lane(web, queries, corpus=filtered, enrich=enrich)
     else:
         fts = lanes.fulltext(filtered, queries, terms=terms if enrich else None, analyze=analyze, index=index)
-    dense = lanes.dense(embeddings, queries, alive=filtered)
+    dense = vector_graph.dense_by_graph(graph, queries, alive=filtered) if graph else lanes.dense(embeddings, queries, alive=filtered)
     name = lanes.name_match(filtered, queries, normalised=enrich, index=index)
     fused = rrf_fuse(fts, dense, name, lane_weights)
     hits = blend(fused, corpus, queries, now, weights, signals if enrich else None, enrich)

@@ -1,14 +1,16 @@
-"""Queries over keyed tables: updates written as they come and folded when read, a commit log, a stream that feeds one."""
+"""Queries over keyed tables (updates written as they come and folded when read), a stream that feeds one, tables dealt alike, and the graph
+index of vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import lanes, vector_graph
 from corvane.operators.keyed_table import KeyedTable, Policy
-from corvane.plans.catalog import query
+from corvane.plans.catalog import REQUESTS, query, requests
 from corvane.scratch import file_system, scratch_path
 from corvane.sources import colocated
-from corvane.sources.adapters import ENRICH_LABEL, enrichment, repositories, repository_embeddings, signals, table
+from corvane.sources.adapters import BASE_LABEL, ENRICH_LABEL, enrichment, repositories, repository_embeddings, signals, table
 from corvane.streaming import incremental
 
 LINES = """t AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
@@ -91,3 +93,14 @@ def _(spark, sf_dir):
 @query("fil05_colocated_unexplained", " SELECT id AS repo_id, stars FROM repositories WHERE id NOT IN (SELECT repo_id FROM enrichment) AND id NOT IN (SELECT repo_id FROM signals)")
 def _(spark, sf_dir):
     return colocated.unexplained(stored_tables(spark, sf_dir)).select("repo_id", "stars")
+
+
+@query("vec04_graph_recall", f", {REQUESTS} SELECT count(*) * 10 AS wanted, true AS enough FROM requests WHERE vector IS NOT NULL")
+def _(spark, sf_dir):
+    """Of the ten nearest of each request the graph finds nine tenths at least."""
+    rows, asked = repository_embeddings(spark, sf_dir).where(F.col("model_name") == BASE_LABEL), requests(spark, sf_dir)
+    index = vector_graph.build_graph(rows, scratch_path(spark, "graph"))
+    exact = lanes.dense(rows, asked, k=10).select("query_id", "repo_id")
+    near = vector_graph.dense_by_graph(index, asked, k=10).select("query_id", "repo_id", F.lit(1).alias("found"))
+    both = exact.join(near, ["query_id", "repo_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"))
