@@ -14,7 +14,7 @@ from corvane.plans.catalog import (
 )
 from corvane.plans.catalog_tables import SHARDS_SQL
 from corvane.scratch import scratch_path
-from corvane.schema import SCHEMAS, create, read
+from corvane.schema import SCHEMAS, append, create, read, violations
 from corvane.sources import json_sources, paged, shards
 from corvane.sources.adapters import BASE_LABEL, ENRICH_LABEL, enrichment, repositories, repository_embeddings, signals, table
 from corvane.streaming import incremental
@@ -156,16 +156,23 @@ def _(spark, sf_dir):
     return json_sources.batch_requests(rows, "doc_id", 150)[1].select("chunk", "key", "repo_id")
 
 
-@query("snk17_schema", " SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(s.split(', '))}, 0)" for n, s in SCHEMAS.items()) + ") t(name, columns, n_rows)", corpus=False)
+FILLED = {"repositories": "repositories", "repository_embeddings": "repository_embeddings", "repository_enrichment": "enrichment", "repository_signals": "signals"}
+
+
+@query("snk17_schema", f" SELECT name, columns, coalesce(n, 0) AS n_rows, 0 AS violations FROM (VALUES {', '.join(f"('{n}', {len(s.split(', '))})" for n, s in SCHEMAS.items())}) t(name, columns) LEFT JOIN ({' UNION ALL '.join(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in FILLED.items())}) USING (name)")
 def _(spark, sf_dir):
+    """All tables made, those that the given tables fill filled, and each read back with its rows and what breaks its rules."""
     root = scratch_path(spark, "tables")
     create(spark, root)
-    rows = None
+    for name, rows in (("repositories", repositories), ("repository_embeddings", repository_embeddings), ("repository_enrichment", enrichment), ("repository_signals", signals)):
+        append(rows(spark, sf_dir), root, name)
+    out = None
     for name in SCHEMAS:
         stored = read(spark, root, name)
-        one = stored.agg(F.count(F.lit(1)).cast("int").alias("n_rows")).select(F.lit(name).alias("name"), F.lit(len(stored.columns)).alias("columns"), "n_rows")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        bad = violations(stored, name).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("violations"))
+        one = stored.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(len(stored.columns)).alias("columns"), "n_rows", bad.scalar().alias("violations"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- filters, joins, aggregates, windows and sets -------------------------------------------------------

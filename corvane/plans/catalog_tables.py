@@ -90,17 +90,17 @@ BANDS_SQL = "(VALUES (200, 400, 1), (400, 1000, 2), (1000, 2000, 50), (2000, 500
 SHARDS_SQL = f"shards AS (SELECT CAST(lo AS BIGINT) AS lo, CAST(least(lo + w - 1, z - 1) AS BIGINT) AS hi FROM (SELECT unnest(range(a, z, w)) AS lo, z, w FROM {BANDS_SQL}) UNION ALL SELECT 50000, NULL)"
 
 
-@query("src02_shards", f"WITH {SHARDS_SQL} SELECT lo, CASE WHEN hi IS NULL THEN concat('stars:>=', lo) ELSE concat('stars:', lo, '..', hi) END AS fragment FROM shards", corpus=False)
+@query("src02_shards", f", {SHARDS_SQL} SELECT lo, CASE WHEN hi IS NULL THEN concat('stars:>=', lo) ELSE concat('stars:', lo, '..', hi) END AS fragment, (SELECT count(*) FROM repositories WHERE stars >= lo AND (hi IS NULL OR stars <= hi)) AS n FROM shards")
 def _(spark, sf_dir):
-    return shards.fragments(shards.shard_table(spark))
+    """Each fragment of the search with the records that it has to bring."""
+    parts, records = shards.shard_table(spark), repositories(spark, sf_dir).select("stars")
+    n = shards.assigned(records, parts).groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
+    return shards.fragments(parts).join(n, "lo", "left").select("lo", "fragment", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 @query("src02_shard_assignment", f", {SHARDS_SQL} SELECT lo, count(*) AS n FROM repositories JOIN shards ON stars >= lo AND (hi IS NULL OR stars <= hi) GROUP BY lo")
 def _(spark, sf_dir):
-    # the last shard that starts at or below: one pass over a broadcast list of a fixed number of bounds
-    bounds = sorted(r["lo"] for r in shards.shard_table(spark).collect())
-    at = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("stars")), -1)
-    return repositories(spark, sf_dir).where(F.col("stars") >= bounds[0]).groupBy(at.cast("bigint").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
+    return shards.assigned(repositories(spark, sf_dir).select("stars"), shards.shard_table(spark)).groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src03_pushed_since", " SELECT id FROM repositories WHERE pushed_at >= TIMESTAMP '2023-06-01 00:00:00'")

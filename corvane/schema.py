@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "repositories": (
@@ -43,6 +44,13 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
+def append(rows: DataFrame, root: str, name: str) -> None:
+    """Rows of any source into a table: columns by name in the table's types, null where the source has none."""
+    kind = StructType.fromDDL(SCHEMAS[name])
+    known = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    known.write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(f"{root}/{name}")
+
+
 def reset(spark: SparkSession, root: str, confirm: str) -> None:
     """Replace all tables by empty ones; ``confirm`` must repeat ``root``."""
     if confirm != root:

@@ -22,6 +22,14 @@ def shard_table(spark: SparkSession, min_stars: int = LEAST_STARS) -> DataFrame:
     return closed.unionByName(spark.createDataFrame([(BANDS[-1][1], None)], "lo bigint, hi bigint"))
 
 
+def assigned(records: DataFrame, shards: DataFrame) -> DataFrame:
+    """The records (with stars) of all shards, with ``lo`` of the one that each is in: the last that starts at or below. The bounds are
+    a fixed number of bands' starts."""
+    bounds = sorted(r["lo"] for r in shards.collect())
+    at = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("stars")), -1)
+    return records.where(F.col("stars") >= bounds[0]).withColumn("lo", at.cast("bigint"))
+
+
 def fragments(shards: DataFrame, since: datetime | None = None) -> DataFrame:
     """The shards as search fragments, with a day to be pushed since."""
     text = F.when(F.col("hi").isNull(), F.concat(F.lit("stars:>="), F.col("lo").cast("string"))).otherwise(
