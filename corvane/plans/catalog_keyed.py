@@ -11,7 +11,7 @@ from corvane.plans.catalog import REQUESTS, query, requests
 from corvane.scratch import file_system, scratch_path
 from corvane.sources import colocated
 from corvane.sources.adapters import BASE_LABEL, ENRICH_LABEL, enrichment, repositories, repository_embeddings, signals, table
-from corvane.streaming import incremental
+from corvane.streaming import incremental, stateful
 
 LINES = """t AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
  r AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R')"""
@@ -104,3 +104,14 @@ def _(spark, sf_dir):
     near = vector_graph.dense_by_graph(index, asked, k=10).select("query_id", "repo_id", F.lit(1).alias("found"))
     both = exact.join(near, ["query_id", "repo_id"], "left")
     return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+@query("inc03_state_latest", " SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, count(*) AS n_rows FROM events GROUP BY user_id", corpus=False)
+def _(spark, sf_dir):
+    """The last event of each user and how many it had, from a stream's state over several batches and a restart."""
+    events = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id")
+    folder, state, checkpoint = (scratch_path(spark, name) for name in ("events", "state", "checkpoint"))
+    events.repartitionByRange(3, "event_id").write.parquet(folder)
+    for _ in range(2):  # the second run finds nothing new, and the table as it is
+        _, kept = stateful.latest_by_state(spark, folder, events.schema, state, ["user_id"], ["ts", "event_id"], checkpoint, max_files=1)
+    return kept.read().select("user_id", "event_id", F.left("ts", F.lit(19)).alias("ts"), "n_rows")

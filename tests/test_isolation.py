@@ -27,3 +27,12 @@ def test_entry_without(tmp_path, gone):
     assert said.returncode == 0, said.stderr
     n, pipeline, known = said.stdout.split()
     assert int(n) > 100 and pipeline == "False" and known == "True"
+
+
+def test_rest_passes_without(tmp_path):
+    """Tests of the rest pass where the corpus operators are gone."""
+    copy, gone = tmp_path / "copy", ("llm", "corpus_pipeline.py")
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", ".hypothesis", "spark-warehouse", *gone))
+    some = ["tests/test_functions.py", "tests/test_vector_graph.py::test_links_and_walks", "tests/test_operators.py::test_upsert_policies", "tests/test_oracles.py::test_entry"]
+    said = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", *some], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stdout[-2000:]

@@ -189,3 +189,23 @@ def test_joins_of_tables_dealt_alike(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         colocated.drop(stored)
+
+
+def test_latest_by_state(spark, tmp_path):
+    """State lives between batches and runs: rows, counts and late rows are those of all files in their order."""
+    from corvane.streaming.stateful import latest_by_state
+
+    kind = "k bigint, t bigint, v string"
+    src = tmp_path / "src"
+    batches = [[(1, 5, "a"), (2, 1, "b")], [(1, 3, "late"), (2, 4, "c"), (3, 1, "d")], [(1, 9, "e"), (1, 8, "f"), (2, 2, "late")]]
+
+    def run(files):
+        for rows in files:
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(src))
+        return latest_by_state(spark, str(src), spark.createDataFrame([], kind).schema, str(tmp_path / "table"), ["k"], ["t"], str(tmp_path / "cp"), max_files=1)[1]
+
+    assert sorted(tuple(r) for r in run(batches[:1]).read().collect()) == [(1, 5, "a", 1, 0), (2, 1, "b", 1, 0)]
+    table = run(batches[1:])
+    want = [(1, 9, "e", 4, 1), (2, 4, "c", 3, 1), (3, 1, "d", 1, 0)]
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+    assert sorted(tuple(r) for r in run([]).read().collect()) == want and len(table.version().updates) == 3
