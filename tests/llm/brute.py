@@ -201,7 +201,6 @@ def attention_log_p(p, tokens, stride, bounds):
         kv = {j: np.split(x[j] @ p["qkv"], 3)[1:] for j in seen}
         w = np.exp([q @ kv[j][0] / np.sqrt(width) + p["bias"][t - j] for j in seen])
         h = x[t] + (sum(a * kv[j][1] for a, j in zip(w / w.sum(), seen, strict=True)) @ p["out"])
-        h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
         a, b = h @ p["cls"] + p["cls_b"], h @ p["slot"] + p["slot_b"]
         k = max(i for i, first in enumerate(bounds[:-1]) if first <= token)
         out.append(a[k] - np.log(np.exp(a).sum()) + b[token] - np.log(np.exp(b[bounds[k] : bounds[k + 1]]).sum()))
