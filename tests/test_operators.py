@@ -308,3 +308,20 @@ def test_names_by_rarest_trigrams(spark, tmp_path):
     common = {r.t for r in index.counts.where(f"df > {len(names) * 0.9}").collect()}
     # a name of 14 trigrams has to share five with any other; so the four that all have come last and join nothing
     assert len(common) == 4 and index.grams.where("n >= 14").count() and not index.grams.where("n >= 14").where(F.col("t").isin(sorted(common))).count()
+
+
+def test_names_are_never_broadcast(spark, tmp_path):
+    """Names in a small file may be many: no join sends a table that is made of them to the driver."""
+    path = str(tmp_path / "names")
+    spark.sql("SELECT concat('r', id) AS id, concat('a/n', id) AS full_name, concat('n', id) AS name, id AS stars FROM range(2000)").write.parquet(path)
+    asked = spark.createDataFrame([(1, "n12")], "query_id int, query string")
+    found = lanes.name_scores(spark.read.parquet(path), asked)
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(plan):
+        if "BroadcastHashJoin" in line and "[t#" not in line:
+            side = [i for i in range(at + 1, len(plan)) if depth(plan[i]) == depth(line) + 3][: 2]["BuildRight" in line]
+            below = [x for x in plan[side + 1 :]]
+            end = next((i for i, x in enumerate(below) if depth(x) <= depth(plan[side])), len(below))
+            assert not any("FileScan" in x for x in below[:end]), line
+    assert [r.repo_id for r in found.where("exact").collect()] == ["r12"]
