@@ -360,3 +360,26 @@ def test_pairs_leave_out_the_commonest_lexeme(spark, tmp_path):
         found = lanes.coverage(corpus, queries, terms, text.words, use).where("member or whole_in_terms").collect()
         assert {(r.query_id, r.repo_id, r.own, r.extra, r.member) for r in found} == lifted and len(found) == len(lifted)
         assert {r.query_id: r.n for r in lanes.any_term(corpus, queries, text.words, use).collect()} == counts
+
+
+def test_best_names_are_those_of_all_scores(spark):
+    """The name lane gives the first k of all scored pairs at any batch size, by stars and id where scores are equal, and sends no
+    more than k rows of a query from a task."""
+    rng = random.Random(31)
+    parts = ["doc", "docs", "ql", "ña", "日本", "x", "kit", "-", "_", ".", "7", "17"]
+    names = ["doc-" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 3))) for _ in range(700)] + ["", "-", "日本", None]
+    stars = [rng.choice([1, 2, 3, None]) for _ in names]
+    corpus = spark.createDataFrame([(f"r{i}", n and f"{rng.choice('ab')}/{n}", n, s) for i, (n, s) in enumerate(zip(names, stars, strict=True))], "id string, full_name string, name string, stars bigint").repartition(3)
+    asked = [*[n for n in names[:20]], "doc", "d", "-", "doc-17", "one two three", "doc kit x", "a/doc-x", "日", "dockit", " ", "%", "docql", None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for normalised in (False, True):
+        scores = lanes.name_scores(corpus, queries, normalised)
+        want = {(r.query_id, r.repo_id): (r.score, r.rnk) for r in lanes.best_of(scores, [F.desc("score"), F.desc("stars"), F.asc("repo_id")], 9).collect()}
+        for rows in ("64", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found = lanes.name_match(corpus, queries, 9, normalised)
+            assert {(r.query_id, r.repo_id): (r.score, r.rnk) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and found.schema["query_id"].dataType.simpleString() == "int"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
