@@ -383,3 +383,12 @@ def test_best_names_are_those_of_all_scores(spark):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and found.schema["query_id"].dataType.simpleString() == "int"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_descriptions_are_made_by_all_cores(spark):
+    """Parts of a single small file are dealt to as many tasks as there are cores, at least."""
+    from corvane.plans import catalog
+
+    found = catalog.queries()["min05_descriptions"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
