@@ -211,6 +211,42 @@ def test_latest_by_state(spark, tmp_path):
     assert sorted(tuple(r) for r in run([]).read().collect()) == want and len(table.version().updates) == 3
 
 
+def test_latest_handles_many_keys_at_once():
+    """Python is called for a group of keys, not for each: counts, late rows and the first of rows alike in order are those of row by row."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    from corvane.streaming.stateful import Latest
+
+    class State(dict):
+        def getMapState(self, *_):  # noqa: N802
+            return self
+
+        def getValue(self, key):  # noqa: N802
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    rng, state, want = random.Random(3), State(), {}
+    one = Latest(["k", "l"], ["t", "u"], StructType.fromDDL("k bigint, l string"), StructType.fromDDL("t string, u bigint, v bigint, n_rows bigint, n_late bigint"))
+    one.init(state)
+    for batch in range(3):
+        rows = [(rng.randint(0, 40), rng.choice("ab"), rng.choice("pqrs"), rng.randint(0, 3), i + 1000 * batch) for i in range(300)]
+        at = {k: r[:2] for k, r in want.items()}
+        for k, l, t, u, v in rows:
+            row = want.get((k, l))
+            n, late = (row[3], row[4]) if row else (0, 0)
+            best = row[:3] if row and not (t, u) > row[:2] else (t, u, v)
+            want[k, l] = (*best, n + 1, late + ((k, l) in at and (t, u) < at[k, l]))
+        frame = pd.DataFrame(rows, columns=["k", "l", "t", "u", "v"])
+        (out,) = one.handleInputRows((7,), iter([frame[:120], frame[120:120], frame[120:]]), None)
+        assert sorted(out.itertuples(index=False, name=None)) == sorted((*k, *want[k]) for k in {r[:2] for r in rows})
+        assert state == want
+
+
 def test_encoder_gives_every_text_a_direction():
     """Words whose signs cancel out, and texts of breaks alone, have unit length; empty texts and spaces have none."""
     encode = paged.hashing_encoder(32)
