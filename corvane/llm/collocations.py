@@ -24,7 +24,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +32,12 @@ from pyspark.sql.types import DecimalType
 
 from corvane.llm._common import batch_rows, batches, give_back, materialize, scratch_path, scratch_scope
 from corvane.llm.coded import byte_order, code, expand, squeeze, translation
+from corvane.llm.tokens import slices
 
 LONGEST, LEAST, COVERED, BEST = 4, 30, 80, 2000
 SHARD_WORDS, HELD_WORDS = 1_000_000, 2_000_000
+#: Texts that are cut into words at once.
+CODED_BYTES = 2 << 20
 #: Positions of a range, about; documents of the sample for the bounds, and runs taken of each.
 RANGE_WORDS, SAMPLE_DOCS, SAMPLE_RUNS = 2_000_000, 2_000, 64
 DEALT = 16
@@ -48,28 +50,38 @@ Bound = tuple[str, Run]
 
 
 class Stream:
-    """The words of one language's pieces as numbers, with a zero after each piece."""
+    """The words of one language's pieces: batch by batch the distinct words and their numbers from 1, with a zero after each piece."""
 
     def __init__(self) -> None:
-        self.words: dict[str, int] = {}
+        self.known: list[pa.Array] = []
         self.parts: list[np.ndarray] = []
         self.n = 0
 
     def add(self, known: pa.Array, codes: np.ndarray, starts: np.ndarray) -> None:
-        names = known.to_pylist()
-        number = np.fromiter((self.words.setdefault(w, len(self.words) + 1) for w in names), np.int64, len(names))
-        ends = np.unique(starts[1:])
-        self.parts.append(np.insert(number[codes] if len(codes) else codes.astype(np.int64), ends, 0))
+        self.known.append(known)
+        self.parts.append(np.insert(codes.astype(np.int32) + np.int32(1), np.unique(starts[1:]), np.int32(0)))
         self.n += len(codes)
 
     def leaves(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(words in the order of their bytes, runs as rows of places from 1 with 0 behind a piece's end, their counts), sorted."""
-        names = pa.array(list(self.words), pa.string())
-        order = byte_order(names)
-        place = np.zeros(len(names) + 1, np.int64)
-        place[order + 1] = np.arange(1, len(names) + 1)
-        flat = place[np.concatenate([*self.parts, np.zeros(LONGEST, np.int64)])]
-        return [n.encode("utf-8", "surrogatepass") for n in names.take(pa.array(order)).to_pylist()], *counted(_runs(flat))
+        """(words in the order of their bytes, runs as rows of places from 1 with 0 behind a piece's end, their counts), sorted.
+
+        The stream is empty then."""
+        sizes = [len(k) for k in self.known]
+        words = pa.concat_arrays(self.known).dictionary_encode()
+        self.known.clear()
+        order = byte_order(words.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+        number, at = place[words.indices.to_numpy()], 0
+        for i, n in enumerate(sizes):
+            self.parts[i] = np.append(np.int32(0), number[at : at + n])[self.parts[i]]
+            at += n
+        flat = np.concatenate([*self.parts, np.zeros(LONGEST, np.int32)])
+        self.parts.clear()
+        names = words.dictionary.take(pa.array(order)).cast(pa.binary())
+        del words, number, place, order
+        rows, counts = _distinct(*_stream_keys(flat))
+        return names.to_pylist(), rows, counts
 
 
 def _runs(flat: np.ndarray) -> np.ndarray:
@@ -80,17 +92,64 @@ def _runs(flat: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _coded_pairs(pairs: np.ndarray, wide: np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of each pair's number among the distinct ones in order, the words of the distinct ones)."""
+    coded = pa.array(pairs).dictionary_encode()
+    codes, known = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    order = np.argsort(known)
+    rank = np.empty(len(known), np.int32)
+    rank[order] = np.arange(len(known), dtype=np.int32)
+    known = known[order]
+    return rank[codes], np.stack([known // wide, known % wide], axis=1).astype(np.int32)
+
+
+def _stream_keys(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_keys``, of the run at each position of a stream that ends in zeros: a run is the pair there and the pair two places on."""
+    wide = np.int64(flat.max(initial=0) + 1)
+    at = np.flatnonzero(flat).astype(np.int32 if len(flat) < 2**31 else np.int64)
+    pairs = flat[at] * wide
+    pairs += flat[at + 1]
+    codes, known = _coded_pairs(np.append(pairs, 0), wide)  # the pair of zeros is the first
+    del pairs
+    placed = np.zeros(len(flat), np.int32)
+    placed[at] = codes[:-1]
+    keys = codes[:-1].astype(np.int64) << 32
+    del codes
+    second = placed[at + 2] if len(at) else placed[:0]
+    second[flat[at + 1] == 0] = 0
+    keys |= second
+    return keys, known
+
+
 def _keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a number for each row that orders as the row, the distinct pairs of words that the numbers' halves stand for)."""
     wide = np.int64(rows.max(initial=0) + 1)
-    pairs = np.concatenate([rows[:, 0] * wide + rows[:, 1], rows[:, 2] * wide + rows[:, 3]])
-    codes, known = pd.factorize(pairs)
-    order = np.argsort(known)
-    rank = np.empty(len(known), np.int64)
-    rank[order] = np.arange(len(known))
-    codes = rank[codes]
-    pairs = np.stack([known[order] // wide, known[order] % wide], axis=1)
-    return codes[: len(rows)] << 32 | codes[len(rows) :], pairs
+    pairs = np.empty(2 * len(rows), np.int64)
+    for k, half in enumerate((pairs[: len(rows)], pairs[len(rows) :])):
+        np.multiply(rows[:, 2 * k], wide, out=half)
+        half += rows[:, 2 * k + 1]
+    codes, known = _coded_pairs(pairs, wide)
+    del pairs
+    keys = codes[: len(rows)].astype(np.int64) << 32
+    keys |= codes[len(rows) :]
+    return keys, known
+
+
+def _distinct(keys: np.ndarray, pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the distinct keys in order, and how often each is there (or the sums of ``counts``)."""
+    if counts is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    n = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+    keys = keys[first]
+    rows = np.empty((len(keys), LONGEST), np.int32)
+    rows[:, :2] = pairs[keys >> 32]
+    rows[:, 2:] = pairs[keys & 0xFFFFFFFF]
+    return rows, n
 
 
 def counted(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +157,7 @@ def counted(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     which a stable sort merges."""
     if not len(rows):
         return rows, np.zeros(0, np.int64)
-    keys, pairs = _keys(rows)
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    n = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
-    keys = keys[first]
-    return np.concatenate([pairs[keys >> 32], pairs[keys & 0xFFFFFFFF]], axis=1), n
+    return _distinct(*_keys(rows), counts)
 
 
 class _Words:
@@ -174,10 +224,11 @@ def deserialise(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     rest = np.ascontiguousarray(np.frombuffer(rest, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
     own = np.arange(LONGEST) >= shared[:, None]
     # a place that is shared comes from the last leaf before that has its own
-    last = np.maximum.accumulate(np.where(own, np.arange(len(shared))[:, None], 0), axis=0)
-    rows = np.zeros((len(shared), LONGEST), np.int64)
+    rows = np.zeros((len(shared), LONGEST), np.int32)
     rows[own] = rest
-    rows = np.take_along_axis(rows, last, axis=0)
+    for k in range(LONGEST):
+        at = np.flatnonzero(own[:, k])
+        rows[:, k] = np.repeat(rows[at, k], np.diff(np.append(at, len(shared))))
     return words.split(b"\n") if words else [], rows, np.frombuffer(counts, np.int64)
 
 
@@ -208,13 +259,16 @@ def _tries(held):
             langs = part.column("lang").dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = part.column("text").filter(pc.equal(langs.indices, i))
-                stream = streams.setdefault(lang, Stream())
-                stream.add(*code(texts, TABLE, pieces=True))
-                if stream.n >= SHARD_WORDS:
-                    yield emit(lang, streams.pop(lang), bounds)
+                for lo, hi in slices(texts, CODED_BYTES):
+                    stream = streams.setdefault(lang, Stream())
+                    stream.add(*code(texts.slice(lo, hi - lo), TABLE, pieces=True))
+                    if stream.n >= SHARD_WORDS:
+                        yield emit(lang, streams.pop(lang), bounds)
+                        give_back()
             while sum(s.n for s in streams.values()) > HELD_WORDS:
                 lang = max(streams, key=lambda x: streams[x].n)
                 yield emit(lang, streams.pop(lang), bounds)
+                give_back()
         for lang, stream in streams.items():
             if stream.n:
                 yield emit(lang, stream, bounds)
@@ -230,15 +284,24 @@ PHRASES = "lang string, phrase string, n_words int, a bigint, l1 bigint, l2 bigi
 def _walk(bounds: list[Bound], j: int, lang: str, blocks: list[tuple[bytes, bytes]], least: int) -> pa.RecordBatch:
     """The frequent phrases of a language in range j with their first parts' counts, and the number of positions (no phrase)."""
     decoded = [deserialise(leaves) for _, leaves in blocks]
-    words = pa.array([w for names, _, _ in decoded for w in names], pa.binary()).dictionary_encode()
+    sizes = [len(names) for names, _, _ in decoded]
+    words = pa.chunked_array([pa.array(names, pa.binary()) for names, _, _ in decoded]).combine_chunks().dictionary_encode()
+    counts = np.concatenate([c for _, _, c in decoded])
+    parts = [own for _, own, _ in decoded]
+    del decoded
     order = byte_order(words.dictionary)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(1, len(order) + 1)
-    number, known, rows, at = place[words.indices.to_numpy()] if len(order) else place, words.dictionary.take(pa.array(order)), [], 0
-    for names, own, _ in decoded:
-        rows.append(np.append(0, number[at : at + len(names)])[own])
-        at += len(names)
-    rows, counts = counted(np.concatenate(rows), np.concatenate([c for _, _, c in decoded]))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+    number, known, at = place[words.indices.to_numpy()], words.dictionary.take(pa.array(order)), 0
+    for i, n in enumerate(sizes):
+        parts[i] = np.append(np.int32(0), number[at : at + n])[parts[i]]
+        at += n
+    rows = np.concatenate(parts)
+    del words, number, place, order, parts
+    keys, pairs = _keys(rows)
+    del rows
+    rows, counts = _distinct(keys, pairs, counts)
+    del keys, pairs
     cut = np.sum([np.frombuffer(c, np.int64) for c, _ in blocks], axis=0)
     cut = dict(zip(cut_phrases(bounds, lang, j), cut.tolist() if np.ndim(cut) else [], strict=True))
     low = bounds[j - 1] if j else ("", ())
@@ -307,7 +370,7 @@ def _sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
             stream = Stream()
             stream.add(*code(pa.array([text], pa.string()), TABLE, pieces=True))
-            names = ["", *stream.words]
+            names = ["", *stream.known[0].to_pylist()]
             rows = _runs(np.concatenate([*stream.parts, np.zeros(LONGEST, np.int64)]))
             at = np.unique(np.linspace(0, len(rows) - 1, SAMPLE_RUNS).astype(int)) if len(rows) else []
             runs = ["\n".join(names[k] for k in rows[i].tolist() if k) for i in at]
