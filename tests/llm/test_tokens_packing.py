@@ -155,3 +155,18 @@ def test_rounds_merge_underfull_bins(spark):
     df = spark.createDataFrame([(i, "a " * rng.randint(5, 40)) for i in range(400)], "doc_id bigint, text string").repartition(8)
     rows = packing.pack(df, tokenizer_path(FILES[1]), capacity=64, group_items=16).collect()
     assert check_packing(rows, 64) <= 1.12 * sum(r.length for r in rows) / 64 + 1
+
+
+def test_a_cache_holds_many_chunks(monkeypatch):
+    """20,000 words of 7 characters fit into 1 MB, so the second time none is encoded (before, a third of them fitted)."""
+    from corvane.llm import tokens
+
+    enc, plain = tokens.ChunkEncoder(tokenizer_path(FILES[0]), 1 << 20), Tokenizer.from_file(tokenizer_path(FILES[0]))
+    text = " ".join(f"w{i:05d}x" for i in range(20_000))
+    for again in (False, True):
+        if again:
+            monkeypatch.setattr(enc, "_whole", lambda texts: [] if not texts else pytest.fail(f"{len(texts)} encoded again"))
+        for odd in ("", " é\n", "x" * 60 if not again else ""):
+            words = text + odd if not again else text
+            ids, _ = enc.encode(pa.array([words, None, words]))
+            assert ids.tolist() == 2 * plain.encode(words, add_special_tokens=False).ids
